@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pricepanel.battery import Battery, with_scenarios
 from pricepanel.functions.kernels import day_response
@@ -72,7 +72,12 @@ def _day_rows(signal_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<struct<x:double,soc:double,slope:double>>")
+_PIECES = T.ArrayType(
+    T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "soc", "slope")])
+)
+
+
+@F.pandas_udf(_PIECES)
 def _response(
     signal_lists: pd.Series, chg: pd.Series, dis: pd.Series, e_max: pd.Series
 ) -> pd.Series:
