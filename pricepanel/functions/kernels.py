@@ -168,3 +168,185 @@ def day_response(
         elif action:
             pieces = apply(pieces, action, times)
     return [(p[0], p[1], p[2]) for p in pieces]
+
+
+# --- ridge regression ----------------------------------------------------------
+
+# One-hot calendar features with the first level dropped.
+LEVELS = {"hr": 24, "qtr": 4, "dow": 7, "mon": 12}
+OFFSETS = {"hr": 0, "qtr": 23, "dow": 26, "mon": 32}
+N_CALENDAR = 43
+
+
+def spread_coefficients(intercept: float, beta: np.ndarray) -> dict:
+    """Coefficients per calendar level, 0 for the dropped first level."""
+    out = {"intercept": float(intercept)}
+    for name, count in LEVELS.items():
+        a = OFFSETS[name]
+        out[name] = [0.0, *(float(b) for b in beta[a : a + count - 1])]
+    return out
+
+
+def ridge_from_moments(
+    n: float, sx: np.ndarray, sy: float, sxx: np.ndarray, sxy: np.ndarray, alpha: float
+) -> tuple[float, np.ndarray]:
+    """Ridge with an unpenalised intercept, from plain sums of products."""
+    mx, my = sx / n, sy / n
+    gram = sxx - n * np.outer(mx, mx) + alpha * np.eye(len(mx))
+    beta = np.linalg.solve(gram, sxy - n * mx * my)
+    return my - mx @ beta, beta
+
+
+def calendar_ridge(codes: dict[str, np.ndarray], y: np.ndarray, alpha: float) -> dict:
+    """Fit on one training window given as calendar codes and prices."""
+    n = len(y)
+    x = np.zeros((n, N_CALENDAR))
+    rows = np.arange(n)
+    for name, a in OFFSETS.items():
+        code = np.asarray(codes[name])
+        on = code > 0
+        x[rows[on], a + code[on] - 1] = 1.0
+    y = np.asarray(y, dtype=float)
+    return spread_coefficients(
+        *ridge_from_moments(n, x.sum(0), y.sum(), x.T @ x, x.T @ y, alpha)
+    )
+
+
+def calendar_ridge_from_gram(cells, alpha: float) -> dict:
+    """Fit from summed cells ``(i, j, count, sum of prices)``; index 0 is the intercept."""
+    size = N_CALENDAR + 1
+    gram, right = np.zeros((size, size)), np.zeros(size)
+    for c in cells:
+        gram[c["i"], c["j"]] = gram[c["j"], c["i"]] = c["cnt"]
+        if c["i"] == c["j"]:
+            right[c["i"]] = c["total"]
+    return spread_coefficients(
+        *ridge_from_moments(gram[0, 0], gram[0, 1:], right[0], gram[1:, 1:], right[1:], alpha)
+    )
+
+
+def choose_alpha(blocks: list[np.ndarray], alphas: list[float]) -> dict:
+    """Best penalty by expanding-window validation, from block moments.
+
+    ``blocks[k]`` holds sums of products of ``(1, features, y)``; block 0 is the
+    first training set, each later block is tested on what precedes it and then
+    joins the training data. The score is the mean R² over the tested blocks.
+    """
+
+    def parts(m):
+        return m[0, 0], m[0, 1:-1], m[0, -1], m[1:-1, 1:-1], m[1:-1, -1]
+
+    scores = []
+    for alpha in alphas:
+        seen, folds = np.zeros_like(blocks[0]), []
+        for k, block in enumerate(blocks):
+            if k:
+                b0, beta = ridge_from_moments(*parts(seen), alpha)
+                w = np.concatenate([[-b0], -beta, [1.0]])
+                sse = w @ block @ w
+                sst = block[-1, -1] - block[0, -1] ** 2 / block[0, 0]
+                folds.append(1 - sse / sst)
+            seen = seen + block
+        scores.append(float(np.mean(folds)))
+    best = int(np.argmax(scores))
+    b0, beta = ridge_from_moments(*parts(sum(blocks)), alphas[best])
+    return {
+        "alpha": float(alphas[best]),
+        "scores": scores,
+        "intercept": float(b0),
+        "beta": [float(b) for b in beta],
+    }
+
+
+# --- storage value -------------------------------------------------------------
+
+
+def day_transfer(
+    prices: np.ndarray, levels: int, cap: int, unit: float, eta: float
+) -> np.ndarray:
+    """Best revenue of one day for every pair of opening and closing level.
+
+    One unit per interval in either direction, at most ``cap`` units delivered.
+    At a negative price charging and delivering at once pays, as in the linear
+    program, and uses up allowance. Impossible pairs are ``-inf``.
+    """
+    cap = min(cap, len(prices))
+    best = np.full((levels, levels, cap + 1), -np.inf)
+    best[np.arange(levels), np.arange(levels), 0] = 0.0
+    for p in prices:
+        nxt = best.copy()
+        np.maximum(nxt[:, 1:, :], best[:, :-1, :] - p * unit / eta, out=nxt[:, 1:, :])
+        if cap:
+            np.maximum(nxt[:, :-1, 1:], best[:, 1:, :-1] + p * unit, out=nxt[:, :-1, 1:])
+            if p < 0:
+                np.maximum(
+                    nxt[:, :, 1:], best[:, :, :-1] + p * unit * (1 - 1 / eta), out=nxt[:, :, 1:]
+                )
+        best = nxt
+    return best.max(axis=2)
+
+
+def compose(tables: list[np.ndarray]) -> np.ndarray:
+    """(max, +) product of transfer tables in sequence."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = (out[:, :, None] + t[None, :, :]).max(axis=1)
+    return out
+
+
+# Action codes of a look-ahead table.
+HOLD, CHARGE, DISCHARGE = 0, 1, 2
+
+
+def first_actions(
+    paths: np.ndarray, levels: int, unit: float, eta: float
+) -> np.ndarray:
+    """First action of the best plan on each price path, per charge level and
+    allowance level; shape ``(paths, levels, levels)``.
+
+    A charging interval stores ``eta`` of a level, valued between its neighbours.
+    Equal plans act as early as possible: discharge, then charge, then hold.
+    """
+    b, horizon = paths.shape
+    value = np.zeros((b, levels, levels))
+    keep = None
+    for h in range(horizon - 1, -1, -1):
+        p = paths[:, h][:, None, None] * unit
+        give = np.full_like(value, -np.inf)
+        give[:, 1:, 1:] = value[:, :-1, :-1] + p
+        take = np.full_like(value, -np.inf)
+        take[:, :-1, :] = (1 - eta) * value[:, :-1, :] + eta * value[:, 1:, :] - p
+        if h == 0:
+            keep = value
+        else:
+            value = np.maximum(np.maximum(give, take), value)
+    slack = 1e-9
+    act = np.where(give >= take, DISCHARGE, CHARGE)
+    gain = np.maximum(give, take)
+    return np.where(gain >= keep - slack, act, HOLD).astype(np.uint8)
+
+
+def follow_actions(
+    tables: np.ndarray, soc: np.ndarray, chg: float, dis: float, e_max: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Run one day of action tables from each opening charge in ``soc``.
+
+    Returns delivered minus stored energy and the charge after each step, both of
+    shape ``(steps, openings)``.
+    """
+    levels = tables.shape[1]
+    unit = e_max / (levels - 1)
+    left = np.full_like(soc, e_max)
+    flows, charges = [], []
+    for table in tables:
+        row = np.rint(soc / unit).astype(int)
+        col = np.floor(left / unit + 1e-9).astype(int)
+        action = table[row, col]
+        take = np.where(action == CHARGE, np.minimum(chg, e_max - soc), 0.0)
+        give = np.where(action == DISCHARGE, np.minimum(np.minimum(dis, soc), left), 0.0)
+        soc = soc + take - give
+        left = left - give
+        flows.append((give, take))
+        charges.append(soc)
+    out = np.array([g for g, _ in flows]), np.array([t for _, t in flows])
+    return np.stack(out), np.array(charges)

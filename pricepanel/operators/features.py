@@ -182,7 +182,8 @@ def slot_ewma(
     """Exponentially weighted level of the same time-of-day slot.
 
     Weights are normalised. The frame is cut at ``terms`` rows, where a weight of
-    ``(1-alpha)**150`` is below double precision for the default ``alpha``.
+    ``(1-alpha)**150`` is below double precision for the default ``alpha``. A null
+    price on a regular grid ages the level without entering it.
     """
     frame = (-(terms - 1), 0) if include_current else (-terms, -1)
     w = (
@@ -193,19 +194,16 @@ def slot_ewma(
     keep = 1.0 - alpha
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
     state = F.aggregate(
-        F.collect_list("price").over(w),
+        F.collect_list(F.struct("price")).over(w),
         zero,
         lambda s, x: F.struct(
-            (s["num"] * keep + x).alias("num"), (s["den"] * keep + 1.0).alias("den")
+            (s["num"] * keep + F.coalesce(x["price"], F.lit(0.0))).alias("num"),
+            (s["den"] * keep + x["price"].isNotNull().cast("double")).alias("den"),
         ),
     )
-    return (
-        panel.filter("price is not null")
-        .withColumn("_s", state)
-        .select(
-            "node", "timestamp", "price",
-            F.when(F.col("_s.den") > 0, F.col("_s.num") / F.col("_s.den")).alias("level"),
-        )
+    return panel.withColumn("_s", state).select(
+        *panel.columns,
+        F.when(F.col("_s.den") > 0, F.col("_s.num") / F.col("_s.den")).alias("level"),
     )
 
 

@@ -110,26 +110,24 @@ def previous(
     keys: Sequence[str] = NODE,
     ts: str = "timestamp",
 ) -> DataFrame:
-    """Value of the preceding row in time order, without numbering the rows.
+    """Last known value of strictly earlier rows, without numbering the rows.
 
     Works on raw ticks with any number of rows per node: detail windows cover one
     hour, and the last value of each hour is carried over by a scan of hours.
     """
     tagged = df.withColumn("_v", value).withColumn("_hour", floor_to(ts, 60))
-    ends = tagged.groupBy(*_by(keys, "_hour")).agg(F.max_by("_v", ts).alias("_last"))
-    scan = Window.partitionBy(*keys).orderBy("_hour")
+    known_at = F.when(F.col("_v").isNotNull(), F.col(ts))
+    ends = tagged.groupBy(*_by(keys, "_hour")).agg(F.max_by("_v", known_at).alias("_last"))
+    earlier = (Window.unboundedPreceding, -1)
+    scan = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(*earlier)
     carried = ends.select(
-        *_by(keys, "_hour"), F.lag("_last").over(scan).alias("_carried")
+        *_by(keys, "_hour"), F.last("_last", ignorenulls=True).over(scan).alias("_carried")
     )
-    inside = Window.partitionBy(*_by(keys, "_hour")).orderBy(ts)
+    inside = Window.partitionBy(*_by(keys, "_hour")).orderBy(ts).rowsBetween(*earlier)
     return (
         tagged.join(carried, _by(keys, "_hour"))
-        .withColumn("_rank", F.row_number().over(inside))
         .withColumn(
-            alias,
-            F.when(F.col("_rank") == 1, F.col("_carried")).otherwise(
-                F.lag("_v").over(inside)
-            ),
+            alias, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carried"))
         )
         .select(*df.columns, alias)
     )

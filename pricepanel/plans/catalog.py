@@ -2,6 +2,7 @@
 
 from pricepanel.plans import (  # noqa: F401
     dispatch_queries,
+    forecast_queries,
     panel_queries,
 )
 from pricepanel.plans.registry import CATALOGUE
