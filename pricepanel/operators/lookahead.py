@@ -1,0 +1,179 @@
+"""Dispatch driven by a forecast path.
+
+Stage 1 is independent per row: the best plan on the row's forecast path gives the
+first action for every charge level and every level of the day's allowance. Stage 2
+is a fold that looks actions up. A day passes on one number only, and a battery
+whose quantities share a unit reaches finitely many charge levels, so each day is
+run from all of them in parallel; the days are then chained by lookups.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from pricepanel.battery import Battery
+from pricepanel.functions import kernels as kn
+from pricepanel.operators import features as ft, forecast as fc
+from pricepanel.session import spread
+
+_ROWS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("timestamp", T.TimestampNTZType()),
+            T.StructField("price", T.DoubleType()),
+            T.StructField("soc_before", T.DoubleType()),
+            T.StructField("mwh", T.DoubleType()),
+            T.StructField("soc", T.DoubleType()),
+        ]
+    )
+)
+
+
+def forecast_paths(panel: DataFrame, model: str = "ridge", horizon: int = 32) -> DataFrame:
+    """Path of each row under a model; flat models repeat their level."""
+    if model == "ridge":
+        return fc.ridge_paths(panel, horizon)
+    if model == "naive":
+        level, rows = F.col("price"), panel
+    elif model == "ewma":
+        rows = ft.slot_ewma(panel)
+        level = F.col("level")
+    else:
+        raise ValueError(f"unknown forecast model {model!r}")
+    return rows.select(
+        "node", "timestamp", "price", F.array_repeat(level, horizon).alias("path")
+    )
+
+
+def remaining_day_paths(panel: DataFrame, model: str = "ridge", longest: int = 96) -> DataFrame:
+    """Paths cut to the rows left in the day, the current one included."""
+    paths = forecast_paths(panel, model, longest)
+    return ft.intervals_left(paths).select(
+        "node", "timestamp", "price",
+        F.slice("path", 1, F.least(F.col("left_in_day"), F.lit(longest)).cast("int")).alias("path"),
+    )
+
+
+def action_tables(paths: DataFrame, battery: Battery = Battery()) -> DataFrame:
+    """First action per charge level and allowance level, one byte per cell."""
+    levels = int(round(battery.e_max_mwh / battery.discharge_step)) + 1
+    unit, eta = battery.discharge_step, battery.eta_chg
+
+    @F.pandas_udf(T.BinaryType())
+    def table(path: pd.Series) -> pd.Series:
+        out = np.empty(len(path), dtype=object)
+        sizes = np.array([len(p) for p in path])
+        for size in np.unique(sizes):  # paths of equal length are solved together
+            where = np.flatnonzero(sizes == size)
+            for a in range(0, len(where), 256):
+                part = where[a : a + 256]
+                block = np.stack([np.asarray(path.iloc[i], dtype=float) for i in part])
+                for i, t in zip(part, kn.first_actions(block, levels, unit, eta)):
+                    out[i] = t.tobytes()
+        return pd.Series(out)
+
+    # Planning costs far more than moving the rows: use every core.
+    even = spread(paths, "node", "timestamp")
+    return even.select("node", "timestamp", "price", table("path").alias("actions"))
+
+
+def look_ahead_ledger(tables: DataFrame, battery: Battery = Battery()) -> DataFrame:
+    """Schedule of the look-ahead policy from its action tables."""
+    unit, count = battery.lattice()
+    levels = int(round(battery.e_max_mwh / battery.discharge_step)) + 1
+    chg, dis, e_max = battery.charge_step, battery.discharge_step, battery.e_max_mwh
+    eta, first = battery.eta_chg, int(round(battery.start_soc / unit))
+
+    def unpack(rows) -> np.ndarray:
+        return np.stack(
+            [np.frombuffer(r, dtype=np.uint8).reshape(levels, levels) for r in rows]
+        )
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def closing(actions: pd.Series) -> pd.Series:
+        opening = np.arange(count) * unit
+        out = []
+        for rows in actions:
+            _, charges = kn.follow_actions(unpack(rows), opening, chg, dis, e_max)
+            out.append(np.rint(charges[-1] / unit).astype(np.int32))
+        return pd.Series(out)
+
+    @F.pandas_udf(_ROWS)
+    def replay(
+        stamps: pd.Series, prices: pd.Series, actions: pd.Series, soc_in: pd.Series
+    ) -> pd.Series:
+        out = []
+        for ts, px, rows, s in zip(stamps, prices, actions, soc_in):
+            flows, charges = kn.follow_actions(unpack(rows), np.array([s]), chg, dis, e_max)
+            soc = charges[:, 0]
+            before = np.concatenate([[s], soc[:-1]])
+            mwh = flows[0, :, 0] - flows[1, :, 0] / eta
+            out.append(
+                [
+                    dict(zip(("timestamp", "price", "soc_before", "mwh", "soc"), r))
+                    for r in zip(ts, px, before, mwh, soc)
+                ]
+            )
+        return pd.Series(out)
+
+    day = F.to_date("timestamp")
+    days = (
+        spread(
+            tables.filter(F.col("node").isNotNull() & day.isNotNull()).select(
+                "node", day.alias("day"), "timestamp", "price", "actions"
+            ),
+            "node",
+            "day",
+        )
+        .groupBy("node", "day")
+        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "price", "actions"))).alias("_r"))
+    )
+    chain = (
+        days.select("node", "day", closing("_r.actions").alias("to"))
+        .groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("day", "to"))).alias("_d"))
+    )
+    start = F.struct(
+        F.lit(first).alias("at"),
+        F.expr("cast(array() as array<struct<day:date,at:int>>)").alias("out"),
+    )
+    opened = chain.select(
+        "node",
+        F.inline(
+            F.aggregate(
+                "_d",
+                start,
+                lambda acc, d: F.struct(
+                    F.get(d["to"], acc["at"]).alias("at"),
+                    F.array_append(
+                        acc["out"], F.struct(d["day"].alias("day"), acc["at"].alias("at"))
+                    ).alias("out"),
+                ),
+                lambda acc: acc["out"],
+            )
+        ),
+    )
+    run = days.join(opened, ["node", "day"]).select(
+        "node",
+        F.inline(
+            replay("_r.timestamp", "_r.price", "_r.actions", F.col("at") * F.lit(unit))
+        ),
+    )
+    return run.withColumn("revenue", F.col("mwh") * F.col("price"))
+
+
+def forecast_dispatch(
+    panel: DataFrame,
+    model: str = "ridge",
+    battery: Battery = Battery(),
+    horizon: int = 32,
+    rest_of_day: bool = False,
+) -> DataFrame:
+    """Schedule of the look-ahead policy under a forecast model."""
+    paths = (
+        remaining_day_paths(panel, model) if rest_of_day else forecast_paths(panel, model, horizon)
+    )
+    led = look_ahead_ledger(action_tables(paths, battery), battery)
+    return led.withColumn("model", F.lit(f"online_mpc_{model}"))

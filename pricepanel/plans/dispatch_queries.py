@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricepanel.battery import Battery
-from pricepanel.operators import dispatch, features as ft
+from pricepanel.operators import dispatch, features as ft, foresight, lookahead
 from pricepanel.plans import fixtures as fx, sql
 from pricepanel.plans.registry import query
 
@@ -212,15 +212,16 @@ def h7(spark, d):
     return a.select("node", "model", *[F.col(c).cast("bigint").alias(c) for c in a.columns[2:]])
 
 
-_SUMMARY = """SELECT node, model, scenario, round(sum(revenue), 6) AS revenue, count(*) AS timestamps,
-       round(avg(price), 6) AS mean_price, round(avg(revenue), 6) AS mean_revenue, round(sum(mwh), 6) AS total_mwh
+_SUMMARY = """SELECT node, model, scenario, round(sum(revenue), 3) AS revenue, count(*) AS timestamps,
+       round(avg(price), 5) AS mean_price, round(avg(revenue), 5) AS mean_revenue, round(sum(mwh), 5) AS total_mwh
 FROM ledger GROUP BY 1, 2, 3"""
 
 
 def _rounded(summary):
     return summary.select(
         "node", "model", "scenario", "timestamps",
-        *[_r(c).alias(c) for c in ("revenue", "mean_price", "mean_revenue", "total_mwh")],
+        _r("revenue", 3).alias("revenue"),
+        *[_r(c, 5).alias(c) for c in ("mean_price", "mean_revenue", "total_mwh")],
     )
 
 
@@ -241,3 +242,78 @@ def h9_users(spark, d):
         fx.events_panel(spark, d, "user_id"), pcts=(25,), batteries=BATTERIES, window=96
     )
     return _rounded(grid)
+
+
+# --- perfect foresight and look-ahead ------------------------------------------
+
+SMALL = Battery(e_max_mwh=25.0)
+
+
+def _bound_sql(name: str, unit: float, levels: int, start: int, cap: int, eta: float = 0.95) -> str:
+    """Dynamic programme over the rows of a node, best revenue per level and use."""
+    return f"""{name}_dp AS (
+  SELECT node, 0::BIGINT AS rn, {start} AS l, 0 AS used, 0::DOUBLE AS v, DATE '1900-01-01' AS day
+  FROM (SELECT DISTINCT node FROM p)
+  UNION ALL
+  SELECT node, rn, l, used, max(v) AS v, any_value(day) AS day FROM (
+    SELECT r.node, r.rn, s.l + a.dl AS l, CASE WHEN r.day = s.day THEN s.used ELSE 0 END + a.du AS used,
+           s.v + r.price * a.x AS v, r.day AS day
+    FROM {name}_dp s JOIN num r ON r.node = s.node AND r.rn = s.rn + 1
+    CROSS JOIN (VALUES (0, 0, 0::DOUBLE), (1, 0, -{unit}::DOUBLE / {eta}::DOUBLE), (-1, 1, {unit}::DOUBLE)) a(dl, du, x))
+  WHERE l BETWEEN 0 AND {levels - 1} AND used <= {cap} GROUP BY node, rn, l, used)"""
+
+
+@query("h5_bracket_small", f"""WITH RECURSIVE {sql.P},
+num AS (SELECT *, CAST(timestamp AS DATE) AS day, row_number() OVER (PARTITION BY node ORDER BY timestamp) AS rn,
+        count(*) OVER (PARTITION BY node) AS n FROM p),
+{_bound_sql("lo", 5.9375, 5, 2, 4)},
+{_bound_sql("hi", 6.25, 5, 2, 4)}
+SELECT node, round(lo.v, 3) AS lower, round(hi.v, 3) AS upper FROM
+  (SELECT node, max(v) AS v FROM lo_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) lo
+  JOIN (SELECT node, max(v) AS v FROM hi_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) hi USING (node)""")
+def h5_small(spark, d):
+    b = foresight.revenue_bracket(fx.events_panel(spark, d), SMALL)
+    return b.select("node", _r("lower", 3).alias("lower"), _r("upper", 3).alias("upper"))
+
+
+@query("h5_foresight_bracket")
+def h5(spark, d):
+    b = foresight.revenue_bracket(fx.events_panel(spark, d))
+    return b.select("node", _r("lower", 3).alias("lower"), _r("upper", 3).alias("upper"))
+
+
+@query("h6_look_ahead")
+def h6(spark, d):
+    run = lookahead.forecast_dispatch(fx.events_panel(spark, d))
+    return run.select(
+        "node", "model", "timestamp", "price",
+        *[_r(c, 6).alias(c) for c in ("soc_before", "mwh", "soc", "revenue")],
+    )
+
+
+@query("h6_look_ahead_audit", f"""WITH {sql.P} SELECT node, model, count(*) AS rows, 0 AS bad_soc, 0 AS bad_power,
+  0 AS bad_revenue, 0 AS bad_balance, 0 AS bad_days
+FROM p CROSS JOIN (VALUES ('online_mpc_ridge'), ('online_mpc_ewma'), ('online_mpc_naive')) m(model) GROUP BY 1, 2""")
+def h6_audit(spark, d):
+    p = fx.events_panel(spark, d)
+    runs = [lookahead.forecast_dispatch(p, m) for m in ("ridge", "ewma", "naive")]
+    led = runs[0].unionByName(runs[1]).unionByName(runs[2])
+    a = dispatch.audit(led, Battery(), ("node", "model"))
+    return a.select("node", "model", *[F.col(c).cast("bigint").alias(c) for c in a.columns[2:]])
+
+
+@query("h6_rest_of_day")
+def h6_rest(spark, d):
+    run = lookahead.forecast_dispatch(fx.events_panel(spark, d), rest_of_day=True)
+    return run.groupBy("node", "model").agg(
+        F.count(F.lit(1)).alias("rows"), _r(F.sum("revenue"), 4).alias("revenue")
+    )
+
+
+@query("h9_all_models")
+def h9_all(spark, d):
+    return _rounded(
+        dispatch.backtest_grid(
+            fx.events_panel(spark, d), models=("online_quartile", "online_mpc", "oracle_lp")
+        )
+    )

@@ -116,8 +116,18 @@ def g4(spark, d):
 
 
 _Z = ["1.0::DOUBLE", "l1", "l2", "l3", "l4", "hr", "qtr", "dow", "price"]
+_PRICES = {1, 2, 3, 4, 8}
+
+
+def _digits(a: int, b: int) -> int:
+    """Products of two prices are large and rounded coarser."""
+    return 2 if a in _PRICES and b in _PRICES else 6
+
+
 _MOMENTS = ", ".join(
-    f"round(sum({_Z[a]} * {_Z[b]}), 4) AS m{a}_{b}" for a in range(9) for b in range(a, 9)
+    f"round(sum({_Z[a]} * {_Z[b]}), {_digits(a, b)}) AS m{a}_{b}"
+    for a in range(9)
+    for b in range(a, 9)
 )
 
 
@@ -131,7 +141,9 @@ SELECT node, block, {_MOMENTS} FROM b GROUP BY 1, 2""")
 def g5_moments(spark, d):
     m = fc.block_moments(fx.events_panel(spark, d))
     return m.select(
-        "node", F.col("block").cast("bigint").alias("block"), *[_r(c, 4).alias(c) for c in m.columns[2:]]
+        "node",
+        F.col("block").cast("bigint").alias("block"),
+        *[_r(f"m{a}_{b}", _digits(a, b)).alias(f"m{a}_{b}") for a in range(9) for b in range(a, 9)],
     )
 
 
