@@ -3,6 +3,7 @@
 from pricepanel.plans import (  # noqa: F401
     dispatch_queries,
     forecast_queries,
+    metric_queries,
     panel_queries,
 )
 from pricepanel.plans.registry import CATALOGUE
