@@ -5,6 +5,7 @@ from pricepanel.plans import (  # noqa: F401
     forecast_queries,
     metric_queries,
     panel_queries,
+    source_queries,
 )
 from pricepanel.plans.registry import CATALOGUE
 
