@@ -69,3 +69,26 @@ def plus_minutes(ts: str | Column, minutes: str | Column | int) -> Column:
 
 def day_of(ts: str | Column) -> Column:
     return F.to_date(_col(ts))
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def seconds_between(later: str | Column, earlier: str | Column) -> Column:
+    """Exact seconds between two naive times, whatever the session time zone."""
+    gap = _col(later) - _col(earlier)
+    return gap.cast("interval second").cast("decimal(18,6)")
+
+
+def to_instant(ts: str | Column) -> Column:
+    """Naive time as the instant it would be in UTC (event time needs an instant)."""
+    epoch = F.lit(_EPOCH).cast("timestamp_ntz")
+    return F.timestamp_micros((seconds_between(ts, epoch) * 1_000_000).cast("bigint"))
+
+
+def from_instant(ts: str | Column) -> Column:
+    """Inverse of :func:`to_instant`."""
+    seconds = (F.unix_micros(_col(ts)) / F.lit(1_000_000).cast("decimal(18,0)")).cast("decimal(18,6)")
+    return F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), seconds
+    )

@@ -8,7 +8,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricepanel.functions.scalars import clean_number
-from pricepanel.functions.timegrid import delivery_to_ts, floor_to, plus_minutes
+from pricepanel.functions.timegrid import (
+    delivery_to_ts,
+    floor_to,
+    plus_minutes,
+    seconds_between,
+)
 from pricepanel.operators.ordering import NODE, number_rows, previous
 
 # Column headings of the published report layouts, lower case.
@@ -287,19 +292,15 @@ def infer_step(df: DataFrame) -> DataFrame:
     """Most frequent step per node with its label; ties take the smaller step and
     a node with one row counts as daily."""
     gaps = previous(df.select("node", "timestamp"), F.col("timestamp"), "_prev").select(
-        "node",
-        (
-            F.unix_micros(F.col("timestamp").cast("timestamp"))
-            - F.unix_micros(F.col("_prev").cast("timestamp"))
-        ).alias("_us"),
+        "node", seconds_between("timestamp", "_prev").alias("_s")
     )
-    counted = gaps.groupBy("node", "_us").agg(F.count(F.lit(1)).alias("_c"))
+    counted = gaps.groupBy("node", "_s").agg(F.count(F.lit(1)).alias("_c"))
     best = counted.groupBy("node").agg(
         F.max(
-            F.struct(F.col("_us").isNotNull().alias("known"), "_c", (-F.col("_us")).alias("neg"))
+            F.struct(F.col("_s").isNotNull().alias("known"), "_c", (-F.col("_s")).alias("neg"))
         ).alias("b")
     )
-    seconds = -F.col("b.neg") / 1e6
+    seconds = -F.col("b.neg")
     label = F.when(seconds.isNull(), F.lit("1D"))
     for s, text in STEP_LABELS.items():
         label = label.when(seconds == s, F.lit(text))
@@ -312,7 +313,8 @@ def infer_step(df: DataFrame) -> DataFrame:
 
 
 def bucket_mean(df: DataFrame, freq: str) -> DataFrame:
-    """Mean price per node and tumbling window; also valid on a stream."""
+    """Mean price per node and tumbling window. On a stream the event time is an
+    instant, so there it runs on what :func:`to_instant` gives."""
     return (
         df.groupBy("node", F.window("timestamp", freq).alias("_w"))
         .agg(F.avg("price").alias("price"))

@@ -6,6 +6,7 @@ from pricepanel.plans import (  # noqa: F401
     metric_queries,
     panel_queries,
     source_queries,
+    stream_queries,
 )
 from pricepanel.plans.registry import CATALOGUE
 
