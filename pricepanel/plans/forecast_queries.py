@@ -119,13 +119,14 @@ _Z = ["1.0::DOUBLE", "l1", "l2", "l3", "l4", "hr", "qtr", "dow", "price"]
 _PRICES = {1, 2, 3, 4, 8}
 
 
-def _digits(a: int, b: int) -> int:
-    """Products of two prices are large and rounded coarser."""
-    return 2 if a in _PRICES and b in _PRICES else 6
+def _large(a: int, b: int) -> bool:
+    """Products of two prices are compared by their root, which keeps six digits
+    meaningful and cannot fall on a rounding tie."""
+    return a in _PRICES and b in _PRICES
 
 
 _MOMENTS = ", ".join(
-    f"round(sum({_Z[a]} * {_Z[b]}), {_digits(a, b)}) AS m{a}_{b}"
+    f"round({'sqrt' if _large(a, b) else ''}(sum({_Z[a]} * {_Z[b]})), 6) AS m{a}_{b}"
     for a in range(9)
     for b in range(a, 9)
 )
@@ -143,7 +144,11 @@ def g5_moments(spark, d):
     return m.select(
         "node",
         F.col("block").cast("bigint").alias("block"),
-        *[_r(f"m{a}_{b}", _digits(a, b)).alias(f"m{a}_{b}") for a in range(9) for b in range(a, 9)],
+        *[
+            _r(F.sqrt(f"m{a}_{b}") if _large(a, b) else f"m{a}_{b}").alias(f"m{a}_{b}")
+            for a in range(9)
+            for b in range(a, 9)
+        ],
     )
 
 

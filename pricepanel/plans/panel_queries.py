@@ -360,7 +360,7 @@ def e6(spark, d):
     return f.withColumn("fold", F.col("fold").cast("bigint"))
 
 
-@query("e6_folds_gap", _folds_sql(5, "96", 12))
+@query("e6_folds_gap", _folds_sql(5, "12", 6))
 def e6_gap(spark, d):
-    f = op.walk_forward_folds(fx.events_panel(spark, d), 5, 96, 12)
+    f = op.walk_forward_folds(fx.events_panel(spark, d), 5, 12, 6)
     return f.withColumn("fold", F.col("fold").cast("bigint"))
