@@ -8,9 +8,9 @@ import sys
 
 from pyspark import cloudpickle
 
-from pricepanel.battery import Battery, scenarios
+from pricepanel.battery import Battery
 
-__all__ = ["Battery", "scenarios"]
+__all__ = ["Battery"]
 
 # Functions that run in Python workers travel with the job, so the package needs
 # no installation on the executors.

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 from math import gcd
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 
 @dataclass(frozen=True)
@@ -65,29 +65,33 @@ class Battery:
         return float(unit), levels
 
 
-def scenarios(batteries: Sequence[Battery]) -> Column:
-    """Array literal with one struct per battery, numbered from 1.
+def as_struct(b: Battery) -> Column:
+    """The parameters a ledger step needs, as a literal."""
+    return F.struct(
+        F.lit(b.eta_chg).alias("eta"),
+        F.lit(b.charge_step).alias("chg"),
+        F.lit(b.discharge_step).alias("dis"),
+        F.lit(b.e_max_mwh).alias("e_max"),
+        F.lit(b.start_soc).alias("soc0"),
+    )
+
+
+def runs(models: Sequence[str], batteries: Sequence[Battery]) -> Column:
+    """Array literal of every model with every battery.
 
-    Exploding a literal multiplies rows in place, so the scenario grid costs
-    neither a join nor a broadcast.
+    ``k`` numbers the model's signal from 0 and ``scenario`` the battery from 1.
+    Exploding a literal multiplies rows in place, so the grid of models and
+    batteries costs neither a join nor a broadcast.
     """
     return F.array(
         *[
             F.struct(
+                F.lit(k).alias("k"),
+                F.lit(m).alias("model"),
                 F.lit(i).alias("scenario"),
-                F.lit(b.eta_chg).alias("eta"),
-                F.lit(b.charge_step).alias("chg"),
-                F.lit(b.discharge_step).alias("dis"),
-                F.lit(b.e_max_mwh).alias("e_max"),
-                F.lit(b.start_soc).alias("soc0"),
+                as_struct(b).alias("battery"),
             )
+            for k, m in enumerate(models)
             for i, b in enumerate(batteries, start=1)
         ]
     )
-
-
-def with_scenarios(df: DataFrame, batteries: Sequence[Battery]) -> DataFrame:
-    """Every row once per battery: a scenario number and a ``battery`` struct."""
-    return df.select("*", F.explode(scenarios(batteries)).alias("battery")).select(
-        *df.columns, F.col("battery.scenario").alias("scenario"), "battery"
-    )

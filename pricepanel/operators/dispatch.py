@@ -4,13 +4,15 @@ The charge level is a running balance with clamps, which no window sum can
 express. The daily discharge allowance restarts at midnight, so a day passes on
 one number only. The ledger is therefore built in three steps:
 
-1. per (keys, day), independently: how the closing charge depends on the opening
+1. per (node, day), independently: how the closing charge depends on the opening
    charge, as a few linear pieces;
-2. per key: the opening charge of every day, a fold over these pieces (one short
+2. per node: the opening charge of every day, a fold over these pieces (one short
    row per day, no prices);
-3. per (keys, day), independently: the rows, replayed from the opening charge.
+3. per (node, day), independently: the rows, replayed from the opening charge.
 
 No group is larger than a day in steps 1 and 3, whatever the length of a node.
+Models and batteries are expanded inside the tasks: prices are shuffled once, to
+their day, however many models and batteries are run.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pricepanel.battery import Battery, with_scenarios
+from pricepanel.battery import Battery, runs
 from pricepanel.functions.kernels import day_response
-from pricepanel.operators.features import threshold_models
+from pricepanel.operators.features import model_names, threshold_pairs
 from pricepanel.session import spread
 
 
@@ -51,85 +53,89 @@ def with_revenue(
     return df.withColumn("mwh", mwh).withColumn("revenue", F.col("mwh") * F.col("price"))
 
 
-def _day_rows(signal_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (keys, day) with the day's steps in time order.
+def _day_rows(signal_sets: DataFrame) -> DataFrame:
+    """One row per (node, day) with the day's steps in time order.
 
-    Steps 1 and 3 both start here and need every column, so they share the
-    exchange (the null filter keeps the two plans identical).
+    Steps 1 and 3 both start here and read the same columns, so they share the
+    exchange (the null filters keep the two plans identical).
     """
     day = F.to_date("timestamp")
     rows = spread(
-        signal_rows.filter(day.isNotNull())
-        .select(*keys, day.alias("day"), "timestamp", "price", "signal", "battery"),
-        *keys,
+        signal_sets.filter(day.isNotNull() & F.col("node").isNotNull()).select(
+            "node", day.alias("day"), "timestamp", "price", "signals"
+        ),
+        "node",
         "day",
     )
-    for k in keys:
-        rows = rows.filter(F.col(k).isNotNull())
-    return rows.groupBy(*keys, "day").agg(
-        F.sort_array(F.collect_list(F.struct("timestamp", "price", "signal"))).alias("steps"),
-        F.first("battery").alias("battery"),
+    return rows.groupBy("node", "day").agg(
+        F.sort_array(F.collect_list(F.struct("timestamp", "price", "signals"))).alias("steps")
     )
 
 
-_PIECES = T.ArrayType(
-    T.StructType([T.StructField(c, T.DoubleType()) for c in ("x", "soc", "slope")])
+_PIECES = T.StructType(
+    [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("x", "soc", "slope")]
 )
 
 
 @F.pandas_udf(_PIECES)
 def _response(
     signal_lists: pd.Series, chg: pd.Series, dis: pd.Series, e_max: pd.Series
-) -> pd.Series:
-    return pd.Series(
-        [
-            [{"x": x, "soc": s, "slope": k} for x, s, k in day_response(*args)]
-            for args in zip(signal_lists, chg, dis, e_max)
-        ]
-    )
+) -> pd.DataFrame:
+    found = [
+        list(zip(*day_response(s, *b)))
+        for s, b in zip(signal_lists, zip(chg, dis, e_max))
+    ]
+    return pd.DataFrame(found, columns=["x", "soc", "slope"])
 
 
-def day_responses(signal_rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Closing charge of each day as linear pieces of its opening charge."""
-    days = _day_rows(signal_rows, keys)
-    return days.select(
-        *keys,
-        "day",
-        F.col("battery.soc0").alias("soc0"),
-        _response(
-            F.col("steps.signal"), "battery.chg", "battery.dis", "battery.e_max"
-        ).alias("pieces"),
-    )
+def _follow(soc: Column, pieces: Column) -> Column:
+    """Closing charge for an opening charge: the last piece that starts below it."""
+    at = F.size(F.filter(pieces["x"], lambda x: x <= soc)) - 1
+    return F.get(pieces["soc"], at) + F.get(pieces["slope"], at) * (soc - F.get(pieces["x"], at))
 
 
-def _follow(soc: Column, pieces: Column) -> Column:
-    piece = F.element_at(F.filter(pieces, lambda p: p["x"] <= soc), -1)
-    return piece["soc"] + piece["slope"] * (soc - piece["x"])
+def day_balance(
+    signal_sets: DataFrame, models: Sequence[str], batteries: Sequence[Battery] = (Battery(),)
+) -> DataFrame:
+    """Opening and closing charge per node, day, model and battery.
+
+    Days are summarised independently and chained per (node, model, battery).
+    """
+    return _chained(_day_rows(signal_sets), models, batteries).select(
+        "node", "run.model", "run.scenario", "day", "soc_in", "soc_out"
+    )
 
 
-def opening_charges(responses: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Opening and closing charge per (keys, day): the day responses in sequence."""
-    per_key = responses.groupBy(*keys).agg(
+def _chained(days: DataFrame, models: Sequence[str], batteries: Sequence[Battery]) -> DataFrame:
+    run = days.select("node", "day", "steps", F.explode(runs(models, batteries)).alias("run"))
+    chosen = F.transform("steps", lambda s: F.get(s["signals"], F.col("run.k")))
+    responses = run.select(
+        "node",
+        "day",
+        "run",
+        _response(chosen, "run.battery.chg", "run.battery.dis", "run.battery.e_max").alias("pieces"),
+    )
+    per_run = responses.groupBy("node", F.col("run.k").alias("k"), F.col("run.scenario").alias("scenario")).agg(
         F.sort_array(F.collect_list(F.struct("day", "pieces"))).alias("days"),
-        F.first("soc0").alias("soc0"),
+        F.first("run").alias("run"),
     )
     start = F.struct(
-        F.col("soc0").alias("soc"),
+        F.col("run.battery.soc0").alias("soc"),
         F.expr("cast(array() as array<struct<day:date,soc_in:double,soc_out:double>>)").alias("out"),
     )
 
     def step(acc: Column, d: Column) -> Column:
-        out = _follow(acc["soc"], d["pieces"])
-        row = F.struct(d["day"].alias("day"), acc["soc"].alias("soc_in"), out.alias("soc_out"))
-        return F.struct(out.alias("soc"), F.array_append(acc["out"], row).alias("out"))
+        after = _follow(acc["soc"], d["pieces"])
+        row = F.struct(d["day"].alias("day"), acc["soc"].alias("soc_in"), after.alias("soc_out"))
+        return F.struct(after.alias("soc"), F.array_append(acc["out"], row).alias("out"))
 
     folded = F.aggregate("days", start, step, lambda acc: acc["out"])
-    return per_key.select(*keys, F.inline(folded))
+    return per_run.select("node", "run", F.inline(folded))
 
 
-def _replay(steps: Column, soc_in: Column) -> Column:
+def _replay(steps: Column, run: Column, soc_in: Column) -> Column:
     """Rows of one day from its opening charge."""
-    chg, dis, e_max, eta = (F.col(f"battery.{c}") for c in ("chg", "dis", "e_max", "eta"))
+    chg, dis, e_max, eta = (run["battery"][c] for c in ("chg", "dis", "e_max", "eta"))
     row_type = (
         "array<struct<timestamp:timestamp_ntz,price:double,signal:int,"
         "soc_before:double,mwh:double,revenue:double,soc:double>>"
@@ -142,8 +148,9 @@ def _replay(steps: Column, soc_in: Column) -> Column:
 
     def step(acc: Column, r: Column) -> Column:
         soc, used = acc["soc"], acc["used"]
-        charging = (r["signal"] > 0) & (soc < e_max)
-        wants_out = (r["signal"] < 0) | ((r["signal"] == 2) & (soc >= e_max))
+        signal_no = F.get(r["signals"], run["k"])
+        charging = (signal_no > 0) & (soc < e_max)
+        wants_out = (signal_no < 0) | ((signal_no == 2) & (soc >= e_max))
         take = F.when(charging, F.least(chg, e_max - soc)).otherwise(0.0)
         give = F.when(wants_out, F.least(dis, soc, e_max - used)).otherwise(0.0)
         after = soc + take - give
@@ -151,7 +158,7 @@ def _replay(steps: Column, soc_in: Column) -> Column:
         row = F.struct(
             r["timestamp"].alias("timestamp"),
             r["price"].alias("price"),
-            r["signal"].alias("signal"),
+            signal_no.alias("signal"),
             soc.alias("soc_before"),
             mwh.alias("mwh"),
             (mwh * r["price"]).alias("revenue"),
@@ -166,38 +173,61 @@ def _replay(steps: Column, soc_in: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
-def storage_ledger(signal_rows: DataFrame, keys: Sequence[str] = ("node", "model", "scenario")) -> DataFrame:
-    """Energy, revenue and charge per row for signals that carry a battery
-    (see :func:`pricepanel.battery.with_scenarios`)."""
-    days = _day_rows(signal_rows, keys)
-    opened = opening_charges(day_responses(signal_rows, keys), keys).drop("soc_out")
-    return (
-        days.join(opened, [*keys, "day"])
-        .select(*keys, F.inline(_replay(F.col("steps"), F.col("soc_in"))))
-    )
-
+def storage_ledger(
+    signal_sets: DataFrame, models: Sequence[str], batteries: Sequence[Battery] = (Battery(),)
+) -> DataFrame:
+    """Energy, revenue and charge per row for every model and battery.
 
-def day_balance(signal_rows: DataFrame, keys: Sequence[str] = ("node", "model", "scenario")) -> DataFrame:
-    """Opening and closing charge per day, without replaying the rows."""
-    return opening_charges(day_responses(signal_rows, keys), keys)
+    ``signal_sets`` holds ``(node, timestamp, price, signals ARRAY<INT>)`` with one
+    signal per model. The opening charges come back as one small row per day, so
+    the days themselves stay where they are.
+    """
+    days = _day_rows(signal_sets)
+    opened = (
+        _chained(days, models, batteries)
+        .groupBy("node", "day")
+        .agg(F.collect_list(F.struct("run", "soc_in")).alias("runs"))
+    )
+    each = days.join(opened, ["node", "day"]).select("node", "steps", F.inline("runs"))
+    return each.select(
+        "node",
+        "run.model",
+        "run.scenario",
+        F.inline(_replay(F.col("steps"), F.col("run"), F.col("soc_in"))),
+    )
 
 
 def threshold_signals(
     panel: DataFrame,
     pcts: Sequence[float] = (10, 25, 45),
-    batteries: Sequence[Battery] = (Battery(),),
     window: int = 672,
     min_samples: int | None = None,
 ) -> DataFrame:
-    """Signals of the threshold policies for every battery."""
-    return with_scenarios(
-        signals(threshold_models(panel, pcts, window, min_samples)), batteries
+    """Signals of the threshold policies, one array element per percentile."""
+    rows = threshold_pairs(panel, pcts, window, min_samples)
+    return rows.select(
+        "node",
+        "timestamp",
+        "price",
+        F.array(
+            *[
+                signal(F.col("price"), F.col("pairs")[i]["low"], F.col("pairs")[i]["high"])
+                for i in range(len(pcts))
+            ]
+        ).alias("signals"),
     )
 
 
-def threshold_dispatch(panel: DataFrame, **options) -> DataFrame:
+def threshold_dispatch(
+    panel: DataFrame,
+    pcts: Sequence[float] = (10, 25, 45),
+    batteries: Sequence[Battery] = (Battery(),),
+    **options,
+) -> DataFrame:
     """Full schedule of the threshold policies."""
-    return storage_ledger(threshold_signals(panel, **options))
+    return storage_ledger(
+        threshold_signals(panel, pcts, **options), model_names(pcts), batteries
+    )
 
 
 def summarise(schedule: DataFrame, keys: Sequence[str] = ("node", "model", "scenario")) -> DataFrame:

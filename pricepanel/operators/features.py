@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pricepanel.functions.kernels import trailing_cuts
 from pricepanel.functions.timegrid import calendar, minute_of_day, plus_minutes
@@ -49,18 +49,25 @@ def trailing_quantiles(
         F.sort_array(F.collect_list(F.struct("rn", "timestamp", "price", "_own"))).alias("_r")
     )
 
-    @F.pandas_udf("array<array<double>>")
-    def cuts(prices: pd.Series) -> pd.Series:
-        return pd.Series(
-            [list(trailing_cuts(p, window, shares, with_current)) for p in prices]
-        )
+    names = [f"c{i}" for i in range(len(shares))]
+    columns = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in names])
+
+    @F.pandas_udf(columns)
+    def cuts(prices: pd.Series) -> pd.DataFrame:
+        found = [trailing_cuts(p, window, shares, with_current) for p in prices]
+        return pd.DataFrame({c: [f[:, i] for f in found] for i, c in enumerate(names)})
 
     frame = F.least(F.col("r.rn") - (0 if with_current else 1), F.lit(window))
+    zipped = F.arrays_zip(
+        F.col("_r").alias("r"), *[F.col("_q")[c].alias(c) for c in names]
+    )
     return (
         grouped.withColumn("_q", cuts(F.col("_r.price")))
-        .select("node", F.explode(F.arrays_zip(F.col("_r").alias("r"), F.col("_q").alias("q"))).alias("e"))
-        .select("node", F.col("e.r").alias("r"), F.col("e.q").alias("cuts"))
-        .filter("r._own")
+        .select("node", F.explode(zipped).alias("e"))
+        .filter("e.r._own")
+        .select(
+            "node", F.col("e.r").alias("r"), F.array(*[F.col("e")[c] for c in names]).alias("cuts")
+        )
         .select(
             "node",
             F.col("r.timestamp").alias("timestamp"),
@@ -92,29 +99,45 @@ def thresholds(
     )
 
 
-def threshold_models(
+def threshold_pairs(
     panel: DataFrame,
     pcts: Sequence[float] = (10, 25, 45),
     window: int = WEEK,
     min_samples: int | None = None,
 ) -> DataFrame:
-    """Thresholds of several percentiles from one pass over the sorted windows;
-    one row per (node, timestamp, model)."""
+    """Thresholds of several percentiles from one pass over the sorted windows, as
+    an array ``pairs`` of ``(low, high)`` in the order of ``pcts``."""
     need = min_history(window) if min_samples is None else min_samples
     shares = [p / 100 for p in pcts] + [(100 - p) / 100 for p in pcts]
     q = trailing_quantiles(panel, shares, window)
-    k = len(pcts)
-    models = F.array(
+    pairs = F.array(
         *[
             F.struct(
-                F.lit(f"online_quartile_p{p:g}").alias("model"),
                 _threshold(F.col("cuts")[i], need).alias("low"),
-                _threshold(F.col("cuts")[i + k], need).alias("high"),
+                _threshold(F.col("cuts")[i + len(pcts)], need).alias("high"),
             )
-            for i, p in enumerate(pcts)
+            for i in range(len(pcts))
         ]
     )
-    return q.select("node", "timestamp", "price", F.inline(models))
+    return q.select("node", "timestamp", "price", pairs.alias("pairs"))
+
+
+def model_names(pcts: Sequence[float]) -> list[str]:
+    return [f"online_quartile_p{p:g}" for p in pcts]
+
+
+def threshold_models(panel: DataFrame, pcts: Sequence[float] = (10, 25, 45), **options) -> DataFrame:
+    """Thresholds with one row per (node, timestamp, model)."""
+    rows = threshold_pairs(panel, pcts, **options)
+    models = [
+        F.struct(
+            F.lit(m).alias("model"),
+            F.col("pairs")[i]["low"].alias("low"),
+            F.col("pairs")[i]["high"].alias("high"),
+        )
+        for i, m in enumerate(model_names(pcts))
+    ]
+    return rows.select("node", "timestamp", "price", F.inline(F.array(*models)))
 
 
 def price_regime(panel: DataFrame, window: int = 288, min_samples: int = 20) -> DataFrame:

@@ -179,8 +179,8 @@ SELECT node, model, scenario, strftime(timestamp, '%Y-%m-%d') AS day,
        round(arg_min(soc_before, rn), 6) AS soc_in, round(arg_max(soc, rn), 6) AS soc_out
 FROM ledger GROUP BY 1, 2, 3, 4""")
 def h3(spark, d):
-    s = dispatch.threshold_signals(fx.events_panel(spark, d), batteries=BATTERIES)
-    return dispatch.day_balance(s).select(
+    s = dispatch.threshold_signals(fx.events_panel(spark, d))
+    return dispatch.day_balance(s, ft.model_names((10, 25, 45)), BATTERIES).select(
         "node", "model", "scenario", F.col("day").cast("string").alias("day"),
         _r("soc_in").alias("soc_in"), _r("soc_out").alias("soc_out"),
     )

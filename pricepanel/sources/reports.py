@@ -87,7 +87,9 @@ def concat_reports(
     another length are skipped.
     """
     docs = _documents(spark, paths, one_per_file)
-    first = docs.agg(F.min_by("fields", "file").alias("fields")).first()
+    # Only the first file is opened for its fields; the listing is metadata.
+    files = sorted(docs.inputFiles())
+    first = _documents(spark, files[0], one_per_file).first() if files else None
     if first is None or first["fields"] is None:
         raise ValueError("no report document with fields")
     names = [f["name"] for f in sorted(first["fields"], key=lambda f: f["cardinality"])]

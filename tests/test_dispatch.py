@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pricepanel.battery import Battery, with_scenarios
+from pricepanel.battery import Battery
 from pricepanel.operators import dispatch, foresight, lookahead
 
 BATTERIES = [Battery(), Battery(eta_chg=0.87, p_max_mw=31.0, e_max_mwh=77.0, initial_soc_frac=0.3)]
@@ -96,12 +96,11 @@ def test_look_ahead_schedule_is_valid(spark):
 
 def test_day_balance_matches_ledger(spark):
     p = prices(spark)
-    from pricepanel.operators.features import threshold_models
-
-    sig = with_scenarios(dispatch.signals(threshold_models(p, window=96)), BATTERIES)
+    sig = dispatch.threshold_signals(p, (10, 45), window=96)
     keys = ["node", "model", "scenario"]
-    days = dispatch.day_balance(sig).toPandas().sort_values([*keys, "day"]).reset_index(drop=True)
-    led = dispatch.storage_ledger(sig).toPandas()
+    days = dispatch.day_balance(sig, ["a", "b"], BATTERIES).toPandas()
+    days = days.sort_values([*keys, "day"]).reset_index(drop=True)
+    led = dispatch.storage_ledger(sig, ["a", "b"], BATTERIES).toPandas()
     led["day"] = led.timestamp.dt.date
     last = led.sort_values("timestamp").groupby([*keys, "day"]).soc.last().reset_index()
     assert np.allclose(days.soc_out, last.soc)
