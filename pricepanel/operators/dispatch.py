@@ -133,44 +133,34 @@ def _chained(days: DataFrame, models: Sequence[str], batteries: Sequence[Battery
     return per_run.select("node", "run", F.inline(folded))
 
 
-def _replay(steps: Column, run: Column, soc_in: Column) -> Column:
-    """Rows of one day from its opening charge."""
-    chg, dis, e_max, eta = (run["battery"][c] for c in ("chg", "dis", "e_max", "eta"))
-    row_type = (
-        "array<struct<timestamp:timestamp_ntz,price:double,signal:int,"
-        "soc_before:double,mwh:double,revenue:double,soc:double>>"
-    )
+def _flows(steps: Column, run: Column, soc_in: Column) -> Column:
+    """Charge before each step of a day and the stored energy that leaves the
+    battery (negative: enters). Only the state that depends on the order is folded;
+    everything else is derived from it afterwards, row by row."""
+    chg, dis, e_max = (run["battery"][c] for c in ("chg", "dis", "e_max"))
     start = F.struct(
         soc_in.alias("soc"),
         F.lit(0.0).alias("used"),
-        F.expr(f"cast(array() as {row_type})").alias("out"),
+        F.expr("cast(array() as array<struct<soc_before:double,flow:double>>)").alias("out"),
     )
 
-    def step(acc: Column, r: Column) -> Column:
-        soc, used = acc["soc"], acc["used"]
-        signal_no = F.get(r["signals"], run["k"])
-        charging = (signal_no > 0) & (soc < e_max)
-        wants_out = (signal_no < 0) | ((signal_no == 2) & (soc >= e_max))
-        take = F.when(charging, F.least(chg, e_max - soc)).otherwise(0.0)
-        give = F.when(wants_out, F.least(dis, soc, e_max - used)).otherwise(0.0)
-        after = soc + take - give
-        mwh = give - take / eta
-        row = F.struct(
-            r["timestamp"].alias("timestamp"),
-            r["price"].alias("price"),
-            signal_no.alias("signal"),
-            soc.alias("soc_before"),
-            mwh.alias("mwh"),
-            (mwh * r["price"]).alias("revenue"),
-            after.alias("soc"),
+    def step(acc: Column, signals_now: Column) -> Column:
+        soc, used, now = acc["soc"], acc["used"], F.get(signals_now, run["k"])
+        flow = (
+            F.when(now == 0, F.lit(0.0))
+            .when((now > 0) & (soc < e_max), -F.least(chg, e_max - soc))
+            .when(now != 1, F.least(dis, soc, e_max - used))
+            .otherwise(0.0)
         )
         return F.struct(
-            after.alias("soc"),
-            (used + give).alias("used"),
-            F.array_append(acc["out"], row).alias("out"),
+            (soc - flow).alias("soc"),
+            (used + F.greatest(flow, F.lit(0.0))).alias("used"),
+            F.array_append(
+                acc["out"], F.struct(soc.alias("soc_before"), flow.alias("flow"))
+            ).alias("out"),
         )
 
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return F.aggregate(steps["signals"], start, step, lambda acc: acc["out"])
 
 
 def storage_ledger(
@@ -189,11 +179,23 @@ def storage_ledger(
         .agg(F.collect_list(F.struct("run", "soc_in")).alias("runs"))
     )
     each = days.join(opened, ["node", "day"]).select("node", "steps", F.inline("runs"))
-    return each.select(
+    flows = _flows(F.col("steps"), F.col("run"), F.col("soc_in"))
+    rows = each.select(
+        "node", "run", F.explode(F.arrays_zip(F.col("steps").alias("s"), flows.alias("f"))).alias("e")
+    ).select("node", "run", "e.s.*", "e.f.*")
+    flow, price = F.col("flow"), F.col("price")
+    mwh = F.when(flow < 0, flow / F.col("run.battery.eta")).otherwise(flow)
+    return rows.select(
         "node",
         "run.model",
         "run.scenario",
-        F.inline(_replay(F.col("steps"), F.col("run"), F.col("soc_in"))),
+        "timestamp",
+        "price",
+        F.get("signals", F.col("run.k")).alias("signal"),
+        "soc_before",
+        mwh.alias("mwh"),
+        (mwh * price).alias("revenue"),
+        (F.col("soc_before") - flow).alias("soc"),
     )
 
 
