@@ -163,14 +163,14 @@ def h1(spark, d):
 
 @query("h2_ledger", f"""WITH RECURSIVE {sql.P}, {sql.models()}, {sql.SCEN}, {sql.LEDGER}
 SELECT node, model, scenario, timestamp, price, CAST(signal AS BIGINT) AS signal, round(soc_before, 6) AS soc_before,
-       round(mwh, 6) AS mwh, round(revenue, 8) AS revenue, round(soc, 6) AS soc FROM ledger""")
+       round(mwh, 6) AS mwh, round(revenue, 10) AS revenue, round(soc, 6) AS soc FROM ledger""")
 def h2(spark, d):
     led = dispatch.threshold_dispatch(fx.events_panel(spark, d), batteries=BATTERIES)
     return led.select(
         "node", "model", "scenario", "timestamp", "price",
         F.col("signal").cast("bigint").alias("signal"),
         _r("soc_before").alias("soc_before"), _r("mwh").alias("mwh"),
-        _r("revenue", 8).alias("revenue"), _r("soc").alias("soc"),
+        _r("revenue", 10).alias("revenue"), _r("soc").alias("soc"),
     )
 
 
@@ -263,20 +263,22 @@ def _bound_sql(name: str, unit: float, levels: int, start: int, cap: int, eta: f
   WHERE l BETWEEN 0 AND {levels - 1} AND used <= {cap} GROUP BY node, rn, l, used)"""
 
 
-@query("h5_bracket_small", f"""WITH RECURSIVE {sql.P},
-num AS (SELECT *, CAST(timestamp AS DATE) AS day, row_number() OVER (PARTITION BY node ORDER BY timestamp) AS rn,
-        count(*) OVER (PARTITION BY node) AS n FROM p),
-{_bound_sql("lo", 5.9375, 5, 2, 4)},
-{_bound_sql("hi", 6.25, 5, 2, 4)}
-SELECT node, round(lo.v, 3) AS lower, round(hi.v, 3) AS upper FROM
-  (SELECT node, max(v) AS v FROM lo_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) lo
-  JOIN (SELECT node, max(v) AS v FROM hi_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) hi USING (node)""")
+def _bracket_sql(low: tuple, high: tuple) -> str:
+    best = "(SELECT node, max(v) AS v FROM {0}_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) {0}"
+    return f"""WITH RECURSIVE {sql.P},
+num AS (SELECT *, CAST(timestamp AS DATE) AS day, row_number() OVER (PARTITION BY node ORDER BY timestamp) AS rn FROM p),
+{_bound_sql("lo", *low)},
+{_bound_sql("hi", *high)}
+SELECT node, round(lo.v, 3) AS lower, round(hi.v, 3) AS upper FROM {best.format("lo")} JOIN {best.format("hi")} USING (node)"""
+
+
+@query("h5_bracket_small", _bracket_sql((5.9375, 5, 2, 4), (6.25, 5, 2, 4)))
 def h5_small(spark, d):
     b = foresight.revenue_bracket(fx.events_panel(spark, d), SMALL)
     return b.select("node", _r("lower", 3).alias("lower"), _r("upper", 3).alias("upper"))
 
 
-@query("h5_foresight_bracket")
+@query("h5_foresight_bracket", _bracket_sql((5.9375, 33, 16, 33), (6.25, 33, 16, 32)))
 def h5(spark, d):
     b = foresight.revenue_bracket(fx.events_panel(spark, d))
     return b.select("node", _r("lower", 3).alias("lower"), _r("upper", 3).alias("upper"))

@@ -45,7 +45,8 @@ def ship_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("node"),
         F.col("l_shipdate").alias("timestamp"),
         F.col("l_extendedprice").alias("price"),
-        (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("seq"),
+        # Order and line repeat in the test data; the part makes the position unique.
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey")).alias("seq"),
     )
 
 

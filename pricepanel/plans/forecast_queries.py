@@ -212,11 +212,11 @@ def _day_mean(train, t0, horizon):
 
 
 @query("g8_registered_function", f"""WITH {sql.P}, {sql.GRID}, {_ORIGINS}
-SELECT org.node, org.timestamp AS origin, h, round(m, 6) AS yhat FROM (
+SELECT org.node, org.timestamp AS origin, h, round(m, 4) AS yhat FROM (
   SELECT org.node, org.timestamp, avg(q.price) AS m FROM org JOIN pos q
   ON q.node = org.node AND q.pos BETWEEN org.pos - 96 AND org.pos - 1 GROUP BY 1, 2) org CROSS JOIN range(32) x(h)""")
 def g8(spark, d):
     fc.register_function("day_mean", _day_mean, history=96)
     grid = fc.gridded(fx.events_panel(spark, d))
     f = fc.FORECASTERS["day_mean"](grid, 1344, 32)
-    return f.select("node", "origin", F.col("h").cast("bigint").alias("h"), _r("yhat").alias("yhat"))
+    return f.select("node", "origin", F.col("h").cast("bigint").alias("h"), _r("yhat", 4).alias("yhat"))

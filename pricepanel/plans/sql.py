@@ -18,7 +18,7 @@ DAILY = """daily AS (
 
 SHIP = """ship AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS node, l_shipdate AS timestamp,
-         l_extendedprice AS price, l_orderkey * 1000 + l_linenumber AS seq FROM lineitem)"""
+         l_extendedprice AS price, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS seq FROM lineitem)"""
 
 RES = """res AS (
   SELECT o_orderstatus AS iso, c_mktsegment AS node, o_orderpriority AS model,

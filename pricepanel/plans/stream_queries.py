@@ -32,12 +32,12 @@ def e2_stream(spark, d):
 
 @query("h10_stream_ledger", f"""WITH RECURSIVE {sql.P}, {sql.models((10,))}, {sql.SCEN}, {sql.LEDGER}
 SELECT node, timestamp, price, CAST(signal AS BIGINT) AS signal, round(mwh, 6) AS mwh,
-       round(revenue, 8) AS revenue, round(soc, 6) AS soc FROM ledger WHERE scenario = 1 AND {_CLOSED}""")
+       round(revenue, 10) AS revenue, round(soc, 6) AS soc FROM ledger WHERE scenario = 1 AND {_CLOSED}""")
 def h10(spark, d):
     out = ledger.run_available(
         ledger.ledger_stream(_ticks(spark, d)), scratch(spark, "ledger"), scratch(spark, "state")
     )
     return out.select(
         "node", "timestamp", "price", "signal",
-        F.round("mwh", 6).alias("mwh"), F.round("revenue", 8).alias("revenue"), F.round("soc", 6).alias("soc"),
+        F.round("mwh", 6).alias("mwh"), F.round("revenue", 10).alias("revenue"), F.round("soc", 6).alias("soc"),
     )
