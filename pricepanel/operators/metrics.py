@@ -270,11 +270,19 @@ def oracle_histogram(detailed: DataFrame, bins: int = 15, oracle: str = ORACLE)
     span = rows.groupBy("model").agg(
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("x").alias("mean")
     )
-    pos = F.floor((F.col("x") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins)
-    bin_no = F.coalesce(F.least(pos, F.lit(bins - 1)), F.lit(0)).alias("bin")
+    # All spans as one row: the rows need not be shuffled on the few model names.
+    spans = span.agg(
+        F.map_from_entries(
+            F.collect_list(F.struct("model", F.struct("lo", "hi", "mean")))
+        ).alias("_spans")
+    )
+    s = F.col("_spans")[F.col("model")]
+    pos = F.floor((F.col("x") - s["lo"]) / F.nullif(s["hi"] - s["lo"], F.lit(0.0)) * bins)
+    bin_no = F.coalesce(F.least(pos, F.lit(bins - 1)), F.lit(0))
     return (
-        rows.join(span, "model")
-        .groupBy("model", "lo", "hi", "mean", bin_no)
+        rows.crossJoin(F.broadcast(spans))
+        .select("model", s["lo"].alias("lo"), s["hi"].alias("hi"), s["mean"].alias("mean"), bin_no.alias("bin"))
+        .groupBy("model", "lo", "hi", "mean", "bin")
         .agg(F.count(F.lit(1)).alias("nodes"))
     )
 

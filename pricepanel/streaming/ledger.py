@@ -20,6 +20,7 @@ from pricepanel.functions.kernels import trailing_cuts
 from pricepanel.functions.timegrid import from_instant, to_instant
 from pricepanel.operators.features import WEEK, min_history
 from pricepanel.operators.panel import bucket_mean
+from pricepanel.session import width
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -134,9 +135,15 @@ def naive(rows: DataFrame) -> DataFrame:
 def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> DataFrame:
     """Process what the source holds now into Parquet at ``path`` and read it back."""
     spark: SparkSession = stream.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)
+    # One state store per partition: more than two per core only cost start-up.
+    stores = min(width(spark), 2 * spark.sparkContext.defaultParallelism)
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(stores),
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         q: StreamingQuery = (
             stream.writeStream.outputMode("append")
@@ -150,5 +157,6 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int =
             q.stop()
             raise TimeoutError(f"stream did not finish within {timeout} s")
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(stream.schema).parquet(path)
