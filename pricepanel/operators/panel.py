@@ -325,16 +325,21 @@ def bucket_mean(df: DataFrame, freq: str) -> DataFrame:
 def regular_grid(df: DataFrame, minutes: int = 15) -> DataFrame:
     """Every slot between a node's first and last row; missing prices are null.
 
-    Slots are generated day by day, so one node's grid is built by many tasks.
+    The grid starts at the node's first row; rows off the grid are dropped. Slots
+    are generated day by day and joined on (node, slot), which a bucketed panel is
+    already partitioned by, so one node's grid is spread over all tasks.
     """
     span = df.groupBy("node").agg(
         F.min("timestamp").alias("_a"), F.max("timestamp").alias("_z")
     )
     midnight = F.to_timestamp_ntz(F.col("_day").cast("string"))
     slots = (
-        span.withColumn("_day", F.explode(F.sequence(F.to_date("_a"), F.to_date("_z"))))
+        span.withColumn("_phase", F.col("_a") - floor_to("_a", minutes))
+        .withColumn("_day", F.explode(F.sequence(F.to_date("_a"), F.to_date("_z"))))
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(1440 // minutes - 1))))
-        .withColumn("timestamp", plus_minutes(midnight, F.col("_k") * minutes))
+        .withColumn(
+            "timestamp", plus_minutes(midnight, F.col("_k") * minutes) + F.col("_phase")
+        )
         .filter("timestamp between _a and _z")
         .select("node", "timestamp")
     )

@@ -150,3 +150,13 @@ def test_results_without_oracle_drop_out(spark):
     assert len(cmp) == 1 and cmp[0]["naive_vs_ridge"] == 225.0 and cmp[0]["better_forecaster"] == "ridge"
     rel = {r["node"]: r["ridge_vs_naive"] for r in mt.relative(det).collect()}
     assert rel["n1"] == -225.0 and rel["n2"] is None
+
+
+def test_grid_starts_at_the_first_row_and_fills_whole_days(spark):
+    t0 = dt.datetime(2024, 1, 1, 22, 7)
+    rows = [("A", t0, 1.0), ("A", t0 + dt.timedelta(minutes=40), 9.0), ("A", t0 + dt.timedelta(days=2, minutes=30), 2.0)]
+    df = spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double")
+    got = op.regular_grid(df, 15).orderBy("timestamp").collect()
+    assert len(got) == 2 * 96 + 3
+    assert [r["timestamp"] for r in got] == [t0 + dt.timedelta(minutes=15 * k) for k in range(len(got))]
+    assert [r["price"] for r in got if r["price"] is not None] == [1.0, 2.0]
