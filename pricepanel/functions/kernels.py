@@ -145,10 +145,11 @@ def day_response(
                 if x is not None:
                     out.append((p[0], p[1] - x, 0.0, p[3] - x, 0.0))
                 else:
-                    for q in split(p, until, p[3] - min(dis, e_max), p[4]):
-                        mid = (until - q[0]) / 2
-                        if q[3] + q[4] * mid >= min(dis, e_max):
-                            x = min(dis, e_max)
+                    x = min(dis, p[1])
+                    group = split(p, until, p[3] - x, p[4])
+                    for j, q in enumerate(group):
+                        half = (bound(j, group, until) - q[0]) / 2
+                        if q[3] + q[4] * half >= x:
                             out.append((q[0], q[1] - x, 0.0, q[3] - x, q[4]))
                         else:
                             out.append((q[0], q[1] - q[3], -q[4], 0.0, 0.0))

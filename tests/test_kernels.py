@@ -3,7 +3,7 @@
 import itertools
 
 import numpy as np
-from hypothesis import given, settings, strategies as st
+from hypothesis import example, given, settings, strategies as st
 
 from pricepanel.battery import Battery
 from pricepanel.functions import kernels as kn
@@ -26,6 +26,7 @@ def follow(pieces, soc):
     return y + k * (soc - x)
 
 
+@example([1, 2, -1, 0, -1, -1, 1, 1, 1, 2, 2], (1.0, 1.5, 4.0))
 @settings(max_examples=300, deadline=None)
 @given(
     st.lists(st.sampled_from([1, 1, -1, -1, 0, 2]), max_size=60),
