@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pricepanel.llm import bpe
+from pricepanel.llm import bpe, langid, tokenfile
 from pricepanel.llm.common import table
+from pricepanel.session import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,20 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.fit(docs.filter(~langid.held_out()))
+    return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), dictionaries).drop("text")
+
+
+@query
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), path, vocabulary())
+    return tokenfile.read(spark, path)
+
+
 @query
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
