@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, langid, linededup, tokenfile
+from pricepanel.llm import bpe, langid, linededup, pii, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -31,6 +31,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), dictionaries).drop("text")
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
