@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, langid, linededup, pii, tokenfile
+from pricepanel.llm import bpe, langid, linededup, neardup_vectors, pii, reshard, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -31,11 +31,34 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), dictionaries).drop("text")
 
 
+@query
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # The layout so far: 12 shards by the text's hash; 16 of equal bytes are wanted.
+    old = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("layout")), F.lit(12))
+    placed, _ = reshard.plan(docs, old, 12, [1.0] * 16)
+    files = reshard.rewrite(placed, scratch(spark, "shards"))
+    return files.select(
+        "doc_id",
+        reshard.size_of("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
