@@ -10,17 +10,16 @@ with an empty coordinate are thrown at again for twice as long. Equal coordinate
 two documents are as likely as their weighted Jaccard similarity.
 
 Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates. Within a band's
-bucket every document is a candidate with the bucket's first document and with its
-neighbour in the order of the following bands, so candidates grow with the number of
+bucket every document is a candidate with the bucket's first document and with the
+one before it, so candidates grow with the number of
 documents and not with the square of a group; sorting is a range partition, which
 splits a hot bucket. Candidates are then held against the exact weighted similarity,
 and groups are the connected components of what holds.
 
-Documents of equal word lists are one candidate with copies. Null and empty texts,
-and texts of white space, have no shingle: they form no group, and each is its own
-class. Rows that share a doc_id are separate documents with one id; of a group's
-rows those with the smallest id are the representative, and of rows equal in id too
-one stays.
+Documents of equal word lists meet as one candidate. Null and empty texts and texts
+of white space have no shingle: they form no group, and each is its own class. So
+are documents without an id. Rows that share an id are versions of one document: a
+link of any of them is the document's, and one row of it stays.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pricepanel.llm.common import OWN, record, slices, stored
 from pricepanel.llm.components import components
@@ -137,37 +136,29 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(both / (len(a) + len(b) - both))
 
 
-def distinct_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, first, copies) per text that has a word: a 64-bit hash names it, its
-    smallest doc_id comes first."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).filter(F.col("t").rlike(r"\S"))
-    return rows.groupBy(F.xxhash64("t").alias("node"), F.md5(F.col("t").cast("binary")).alias("key")).agg(
-        F.min("id").alias("first"), F.count("*").alias("copies")
-    )
-
-
-def band_rows(texts: DataFrame) -> DataFrame:
-    """(band, bucket, next, node) of the rows (node, t). ``next`` is the bucket of the band that follows."""
-    out = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("next", pa.int64()), ("node", pa.int64())])
-    number = np.arange(BANDS, dtype=np.int32)
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, hi, lo, bands) per row with an id and a word: a digest of the words and
+    the hash of each band."""
+    out = pa.schema([("id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            nodes, found = [], []
-            for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                strip = strips(shingles(words_of(t), hashes))
-                if len(strip):
-                    nodes.append(node)
-                    found.append(bands(signature(strip)))
-            if nodes:
-                b = np.stack(found)
-                yield record(
-                    out,
-                    [np.tile(number, len(nodes)), b.ravel(), np.roll(b, -1, axis=1).ravel(), np.repeat(np.array(nodes), BANDS)],
-                )
-
-    return texts.mapInArrow(run, "band int, bucket bigint, next bigint, node bigint")
+            ids, names, found = [], [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(t)
+                if words:
+                    ids.append(i)
+                    names.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
+                    found.append(bands(signature(strips(shingles(words, hashes)))))
+            if ids:
+                two = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+                flat = pa.array(np.concatenate(found))
+                ends = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS)
+                yield record(out, [ids, two[:, 0].copy(), two[:, 1].copy(), pa.ListArray.from_arrays(ends, flat)])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL")
+    return rows.mapInArrow(run, "id bigint, hi bigint, lo bigint, bands array<bigint>")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -179,7 +170,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, hub = TaskContext.get().partitionId(), None, None
         for batch in batches:
-            band, bucket, node = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            band, bucket, node = (batch.column(i).to_numpy() for i in (0, 1, 2))
             n = len(node)
             if before is None:  # the first row of the part, to be tied to the last row of an earlier part
                 yield record(out, [[part], [False], band[:1], bucket[:1], node[:1], node[:1]])
@@ -200,9 +191,9 @@ def candidates(rows: DataFrame) -> DataFrame:
             yield record(out, [[part], [True], [before[0]], [before[1]], [before[2]], [hub]])
 
     spark = rows.sparkSession
-    keys = ["band", "bucket", "next", "node"]
+    keys = ["band", "bucket", "node"]
     found = stored(
-        rows.repartitionByRange(width(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "pairs"
+        rows.select(*keys).repartitionByRange(width(spark), *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), "pairs"
     )
     pairs = found.filter("part < 0").select("a", "b")
     # A bucket over several parts: the first row of a part is tied to the last row and the hub of the part before.
@@ -232,17 +223,44 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, first) per text that has a word: its hash and the smallest doc_id of its group."""
-    named = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.col("t").rlike(r"\S"))
-    # One row per text: the digest is 128 bits long, its first half names the text from here on.
-    names = stored(distinct_texts(docs, doc_id, text).select("node", "first", "copies"), "texts")
-    one = names.filter("first IS NOT NULL").select("node", F.col("first").alias("id"))
-    keyed = named.withColumn("node", F.xxhash64("t"))
-    texts = keyed.join(one, ["node", "id"]).dropDuplicates(["node"]).select("node", "t")
-    rows = stored(band_rows(texts), "bands")
-    edges = stored(verified(candidates(rows), texts), "near")
-    parts = components(edges).withColumnRenamed("component", "class")
-    classed = names.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = classed.groupBy("class").agg(F.min("first").alias("least"))
-    return classed.join(least, "class").select("node", F.col("least").alias("first"))
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) per distinct id of a document with a word; the component is the
+    smallest id of its group."""
+    signed = stored(signatures(docs, doc_id, text), "signatures")
+    # Copies meet in one row, named by their smallest id.
+    texts = stored(signed.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "texts")
+    rows = texts.select("node", F.posexplode("bands").alias("band", "bucket"))
+    own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("t"))
+    edges = stored(verified(candidates(rows), own), "near")
+    # Versions of a repeated id are tied through the node of each version's copies.
+    tied = signed.join(texts.select("hi", "lo", "node"), ["hi", "lo"]).select("id", "node")
+    parts = components(edges)
+    return (
+        tied.join(parts, "node", "left")
+        .groupBy("id")
+        .agg(F.min(F.coalesce("component", "node")).alias("component"))
+    )
+
+
+def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, component_id (its own id where it has no group) and kept."""
+    found = classes(docs, doc_id, text)
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+    return ids.join(found, ids["doc_id"] == found["id"], "left").select(
+        "doc_id",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"),
+    )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group, the one of the smallest id."""
+    named = docs.select(*[F.col(c).alias(f"{OWN}{i}") for i, c in enumerate(docs.columns)])
+    i, t = (F.col(f"{OWN}{docs.columns.index(c)}") for c in (doc_id, text))
+    found = classes(docs, doc_id, text)
+    joined = named.withColumn(f"{OWN}key", i.cast("long")).join(found, F.col(f"{OWN}key") == F.col("id"), "left")
+    # Rows that share an id lie together after the join; one of them stays.
+    turn = F.row_number().over(Window.partitionBy(f"{OWN}key").orderBy(F.xxhash64(t)))
+    first = joined.filter(F.col("component") == F.col(f"{OWN}key")).withColumn(f"{OWN}turn", turn).filter(F.col(f"{OWN}turn") == 1)
+    kept = joined.filter(F.col("component").isNull()).unionByName(first.drop(f"{OWN}turn"))
+    return kept.select(*[F.col(f"{OWN}{k}").alias(c) for k, c in enumerate(docs.columns)])
