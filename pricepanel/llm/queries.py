@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, langid, linededup, minhash, neardup_vectors, pii, reshard, tokenfile
+from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, pii, reshard, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -31,6 +31,12 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), dictionaries).drop("text")
 
 
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "n_windows")
+
+
 @query
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.98)
