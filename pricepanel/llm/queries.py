@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, pii, reshard, tokenfile
+from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, pii, reshard, substrings, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -47,6 +47,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+@query
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 @query
 def op6_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
