@@ -4,17 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricepanel.llm import bpe
+from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash
+from pricepanel.llm.common import table
 from pricepanel.llm.queries import vocabulary
 from pricepanel.session import scratch
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding: length in tokens and digests of both ways."""
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or as near to two languages, go."""
+    return langid.keep_known(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten documents or more have leave all of them."""
+    return linededup.rewrite(docs, min_docs=10)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    return minhash.keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length in tokens, and digests of the token ids and of the decoded text."""
     return bpe.round_trip_digests(docs, vocabulary()).drop("text")
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("language", language),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
 
 #: No SQL states what the stages do; tests hold them against brute force.
 ORACLE_SQL = None

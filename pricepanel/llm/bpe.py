@@ -277,22 +277,20 @@ class Codec:
         return counts, written, decoded
 
 
-class Shared:
-    """A value made once per worker process: it travels as a broadcast of the
-    vocabulary file (a few MB whatever the input), and keeps its caches between tasks."""
-
-    def __init__(self, make, content: str):
-        self.make, self.content, self.value = make, content, None
-
-    def get(self):
-        if self.value is None:
-            self.value = self.make(self.content)
-        return self.value
+def shared(spark: SparkSession, path: str):
+    """The vocabulary file (a few MB whatever the input) as a broadcast. Plain data
+    travels, so executors don't need this package."""
+    with open(path, encoding="utf-8") as f:
+        return spark.sparkContext.broadcast({"content": f.read()})
 
 
-def shared(spark: SparkSession, make, path: str):
-    with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(Shared(make, f.read()))
+def of_worker(sent, make):
+    """``make(content)``, made once per worker process: the broadcast's value lives
+    as long as the worker does, and with it the caches of what was made."""
+    state = sent.value
+    if "made" not in state:
+        state["made"] = make(state["content"])
+    return state["made"]
 
 
 def _map(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
@@ -313,25 +311,25 @@ def _map(docs: DataFrame, text: str, fields: str, make) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids array<int>``. A column of that name is replaced."""
-    codec = shared(docs.sparkSession, Codec, path)
-    return _map(docs, text, "ids array<int>", lambda t: [pa.array(codec.value.get().encode(t), pa.list_(pa.int32()))])
+    codec = shared(docs.sparkSession, path)
+    return _map(docs, text, "ids array<int>", lambda t: [pa.array(of_worker(codec, Codec).encode(t), pa.list_(pa.int32()))])
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded string``; null ids decode to ''."""
-    codec = shared(encoded.sparkSession, Codec, path)
+    codec = shared(encoded.sparkSession, path)
     return _map(
-        encoded, ids, "decoded string", lambda rows: [pa.array([codec.value.get().decode(r or []) for r in rows], pa.string())]
+        encoded, ids, "decoded string", lambda rows: [pa.array([of_worker(codec, Codec).decode(r or []) for r in rows], pa.string())]
     )
 
 
 def round_trip_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256 in place of the ids
     and the decoded text, which need not leave the worker for it."""
-    codec = shared(docs.sparkSession, Codec, path)
+    codec = shared(docs.sparkSession, path)
 
     def made(texts: list) -> list:
-        counts, ids, decoded = codec.value.get().digests(texts)
+        counts, ids, decoded = of_worker(codec, Codec).digests(texts)
         return [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
 
     return _map(docs, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", made)

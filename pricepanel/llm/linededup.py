@@ -273,9 +273,23 @@ def _keys_of(rows: list[dict]) -> set[bytes]:
     return {np.array([r["hi"], r["lo"]], "<i8").tobytes() for r in rows}
 
 
-def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One run over a whole table: references and filters, both written, then the lines that stay."""
-    refs = stored(references(docs, min_chars), "line-refs")
+    refs = stored(references(docs, min_chars, doc_id, text), "line-refs")
     shards = shard_count(refs.filter(F.col("refs") >= min_docs).count())
     filters = stored(filters_of(refs, min_docs, shards), "line-filters")
-    return prune(docs, refs, filters, min_docs, shards, min_chars)
+    return prune(docs, refs, filters, min_docs, shards, min_chars, doc_id, text)
+
+
+def rewrite(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the frequent lines taken out of the texts; a text that loses none
+    stays as it is (a null one null), and n_chars, where present, follows the text."""
+    named = docs.select(*[F.col(c).alias(f"{OWN}c{i}") for i, c in enumerate(docs.columns)])
+    i, t = (f"{OWN}c{docs.columns.index(c)}" for c in (doc_id, text))
+    kept = dedup(named, min_docs, min_chars, i, t)
+    changed = F.col("n_dropped") > 0
+    new = {text: F.when(changed, F.col("kept_text")).otherwise(F.col(t))}
+    if "n_chars" in docs.columns:
+        at = docs.columns.index("n_chars")
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast(docs.schema[at].dataType)).otherwise(F.col(f"{OWN}c{at}"))
+    return kept.select(*[new.get(c, F.col(f"{OWN}c{k}")).alias(c) for k, c in enumerate(docs.columns)])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from pricepanel.llm.bpe import chunks, shared
+from pricepanel.llm.bpe import chunks, of_worker, shared
 from pricepanel.llm.common import record, slices
 from pricepanel.session import width
 
@@ -103,13 +103,13 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, doc_id: str
     """Encodes ``docs`` in ascending order of id into files below ``path``, a
     folder that all executors share."""
     spark = docs.sparkSession
-    library = shared(spark, Library, vocabulary)
+    library = shared(spark, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         stem = f"{path}/part-{part:08d}-{uuid.uuid4().hex}"
         store, place = _at(stem)
-        codec, tok, ids, nulls, offsets, at = library.value.get(), None, [], [], [0], 0
+        codec, tok, ids, nulls, offsets, at = of_worker(library, Library), None, [], [], [0], 0
         kind = codec.kind(end)
         last = np.array([end], kind).tobytes()
         for batch in slices(batches):
