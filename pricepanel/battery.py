@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from fractions import Fraction
-from math import gcd
 
 from pyspark.sql import Column, functions as F
 
@@ -44,26 +42,6 @@ class Battery:
     def start_soc(self) -> float:
         return self.e_max_mwh * self.initial_soc_frac
 
-    def lattice(self, max_levels: int = 20_001) -> tuple[float, int]:
-        """Largest energy unit that divides every reachable quantity, and the
-        number of levels it gives; raises when the unit is too fine to tabulate."""
-        exact = [
-            Fraction(str(self.eta_chg)) * Fraction(str(self.p_max_mw)) * Fraction(str(self.delta_t)),
-            Fraction(str(self.p_max_mw)) * Fraction(str(self.delta_t)),
-            Fraction(str(self.e_max_mwh)),
-            Fraction(str(self.e_max_mwh)) * Fraction(str(self.initial_soc_frac)),
-        ]
-        unit = Fraction(0)
-        for q in exact:
-            unit = Fraction(
-                gcd(unit.numerator * q.denominator, q.numerator * unit.denominator),
-                unit.denominator * q.denominator,
-            )
-        levels = int(exact[2] / unit) + 1
-        if levels > max_levels:
-            raise ValueError(f"battery needs {levels} levels, more than {max_levels}")
-        return float(unit), levels
-
 
 def as_struct(b: Battery) -> Column:
     """The parameters a ledger step needs, as a literal."""

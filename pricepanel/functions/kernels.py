@@ -14,20 +14,20 @@ import numpy as np
 def trailing_cuts(
     prices: np.ndarray, window: int, shares: list[float], with_current: bool
 ) -> np.ndarray:
-    """Linear-interpolation quantiles of the last ``window`` values per position.
+    """Linear-interpolation quantiles of the known ones of the last ``window`` values
+    per position.
 
-    Rows without history are NaN. Work is blocked so that the sorted windows of a
+    Rows without history are NaN, as unknown values are. Work is blocked so that the sorted windows of a
     long chunk never exist all at once.
     """
     x = np.asarray(prices, dtype=float)
+    have = trailing_known(x, window, with_current)
+    x = np.where(np.isnan(x), np.inf, x)  # sorts behind every known value
     if not with_current:
         x = np.concatenate([[np.inf], x])[: len(prices)]
     n = len(x)
     padded = np.concatenate([np.full(window - 1, np.inf), x])
     views = np.lib.stride_tricks.sliding_window_view(padded, window)
-    have = np.minimum(np.arange(1, n + 1), window)
-    if not with_current:
-        have = np.minimum(np.arange(n), window)
     out = np.full((n, len(shares)), np.nan)
     for a in range(0, n, 512):
         z = min(a + 512, n)
@@ -46,6 +46,13 @@ def trailing_cuts(
     return out
 
 
+def trailing_known(prices: np.ndarray, window: int, with_current: bool) -> np.ndarray:
+    """How many of the last ``window`` values per position are known."""
+    seen = np.concatenate([[0], np.cumsum(~np.isnan(np.asarray(prices, dtype=float)))])
+    end = np.arange(len(prices)) + int(with_current)
+    return (seen[end] - seen[np.maximum(end - window, 0)]).astype(np.int32)
+
+
 def day_response(
     signals, chg: float, dis: float, e_max: float
 ) -> list[tuple[float, float, float]]:
@@ -293,61 +300,3 @@ def compose(tables: list[np.ndarray]) -> np.ndarray:
     for t in tables[1:]:
         out = (out[:, :, None] + t[None, :, :]).max(axis=1)
     return out
-
-
-# Action codes of a look-ahead table.
-HOLD, CHARGE, DISCHARGE = 0, 1, 2
-
-
-def first_actions(
-    paths: np.ndarray, levels: int, unit: float, eta: float
-) -> np.ndarray:
-    """First action of the best plan on each price path, per charge level and
-    allowance level; shape ``(paths, levels, levels)``.
-
-    A charging interval stores ``eta`` of a level, valued between its neighbours.
-    Equal plans act as early as possible: discharge, then charge, then hold.
-    """
-    b, horizon = paths.shape
-    value = np.zeros((b, levels, levels))
-    keep = None
-    for h in range(horizon - 1, -1, -1):
-        p = paths[:, h][:, None, None] * unit
-        give = np.full_like(value, -np.inf)
-        give[:, 1:, 1:] = value[:, :-1, :-1] + p
-        take = np.full_like(value, -np.inf)
-        take[:, :-1, :] = (1 - eta) * value[:, :-1, :] + eta * value[:, 1:, :] - p
-        if h == 0:
-            keep = value
-        else:
-            value = np.maximum(np.maximum(give, take), value)
-    slack = 1e-9
-    act = np.where(give >= take, DISCHARGE, CHARGE)
-    gain = np.maximum(give, take)
-    return np.where(gain >= keep - slack, act, HOLD).astype(np.uint8)
-
-
-def follow_actions(
-    tables: np.ndarray, soc: np.ndarray, chg: float, dis: float, e_max: float
-) -> tuple[np.ndarray, np.ndarray]:
-    """Run one day of action tables from each opening charge in ``soc``.
-
-    Returns delivered minus stored energy and the charge after each step, both of
-    shape ``(steps, openings)``.
-    """
-    levels = tables.shape[1]
-    unit = e_max / (levels - 1)
-    left = np.full_like(soc, e_max)
-    flows, charges = [], []
-    for table in tables:
-        row = np.rint(soc / unit).astype(int)
-        col = np.floor(left / unit + 1e-9).astype(int)
-        action = table[row, col]
-        take = np.where(action == CHARGE, np.minimum(chg, e_max - soc), 0.0)
-        give = np.where(action == DISCHARGE, np.minimum(np.minimum(dis, soc), left), 0.0)
-        soc = soc + take - give
-        left = left - give
-        flows.append((give, take))
-        charges.append(soc)
-    out = np.array([g for g, _ in flows]), np.array([t for _, t in flows])
-    return np.stack(out), np.array(charges)

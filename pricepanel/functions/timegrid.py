@@ -67,10 +67,6 @@ def plus_minutes(ts: str | Column, minutes: str | Column | int) -> Column:
     )
 
 
-def day_of(ts: str | Column) -> Column:
-    return F.to_date(_col(ts))
-
-
 _EPOCH = "1970-01-01 00:00:00"
 
 

@@ -250,33 +250,37 @@ def backtest_grid(
     batteries: Sequence[Battery] = (Battery(),),
     **options,
 ) -> DataFrame:
-    """Schedule summary of every node, enabled model and battery in one job."""
-    from pricepanel.operators import foresight, lookahead
+    """Schedule summary of every node, enabled model and battery in one job.
 
+    The optimum is given by its bounds, as models ``oracle_lp_lower`` and
+    ``oracle_lp_upper``; a bound has no schedule, so its energy is null.
+    """
+    from pricepanel.operators import foresight
+
+    unknown = sorted(set(models) - {"online_quartile", "oracle_lp"})
+    if unknown or not models:
+        raise ValueError(f"unknown models {unknown}" if unknown else "no model given")
     parts = []
     if "online_quartile" in models:
         parts.append(summarise(threshold_dispatch(panel, pcts=pcts, batteries=batteries, **options)))
-    if "online_mpc" in models:
-        for b_no, b in enumerate(batteries, start=1):
-            run = lookahead.forecast_dispatch(panel, battery=b)
-            parts.append(
-                summarise(run.withColumn("scenario", F.lit(b_no)))
-            )
     if "oracle_lp" in models:
+        seen = panel.groupBy("node").agg(F.count(F.lit(1)).alias("timestamps"), F.avg("price").alias("mean_price"))
         for b_no, b in enumerate(batteries, start=1):
+            bounds = foresight.revenue_bracket(panel, b).select(
+                "node", F.explode(F.create_map(*[x for k in ("lower", "upper") for x in (F.lit(f"oracle_lp_{k}"), F.col(k))])).alias("model", "revenue")
+            )
             parts.append(
-                foresight.revenue_bracket(panel, b).select(
-                    "node",
-                    F.lit("oracle_lp_upper").alias("model"),
+                bounds.join(seen, "node").select(
+                    "node", "model",
                     F.lit(b_no).alias("scenario"),
-                    F.col("upper").alias("revenue"),
+                    "revenue", "timestamps", "mean_price",
+                    (F.col("revenue") / F.col("timestamps")).alias("mean_revenue"),
+                    F.lit(None).cast("double").alias("total_mwh"),
                 )
-            )
-    if not parts:
-        raise ValueError(f"no known model in {list(models)}")
+            )
     out = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        out = out.unionByName(p)
     return out
 
 

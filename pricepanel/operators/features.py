@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from pricepanel.functions.kernels import trailing_cuts
+from pricepanel.functions.kernels import trailing_cuts, trailing_known
 from pricepanel.functions.timegrid import calendar, minute_of_day, plus_minutes
 from pricepanel.operators.ordering import (
     expanding_moments,
@@ -32,8 +32,8 @@ def trailing_quantiles(
     window: int = WEEK,
     with_current: bool = True,
 ) -> DataFrame:
-    """Add ``cuts`` (one quantile per share over the last ``window`` rows of the
-    node) and ``n_hist`` (rows in the frame).
+    """Add ``cuts`` (one quantile per share over the known prices among the last
+    ``window`` rows of the node) and ``n_hist`` (how many are known).
 
     A sliding exact quantile has no incremental form, so rows are grouped into
     chunks of two windows plus one window of lead-in, and each chunk is one Arrow
@@ -50,30 +50,33 @@ def trailing_quantiles(
     )
 
     names = [f"c{i}" for i in range(len(shares))]
-    columns = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in names])
+    columns = T.StructType(
+        [*[T.StructField(c, T.ArrayType(T.DoubleType())) for c in names], T.StructField("known", T.ArrayType(T.IntegerType()))]
+    )
 
     @F.pandas_udf(columns)
     def cuts(prices: pd.Series) -> pd.DataFrame:
         found = [trailing_cuts(p, window, shares, with_current) for p in prices]
-        return pd.DataFrame({c: [f[:, i] for f in found] for i, c in enumerate(names)})
+        known = [trailing_known(p, window, with_current) for p in prices]
+        return pd.DataFrame({c: [f[:, i] for f in found] for i, c in enumerate(names)} | {"known": known})
 
-    frame = F.least(F.col("r.rn") - (0 if with_current else 1), F.lit(window))
     zipped = F.arrays_zip(
-        F.col("_r").alias("r"), *[F.col("_q")[c].alias(c) for c in names]
+        F.col("_r").alias("r"), *[F.col("_q")[c].alias(c) for c in (*names, "known")]
     )
     return (
         grouped.withColumn("_q", cuts(F.col("_r.price")))
         .select("node", F.explode(zipped).alias("e"))
         .filter("e.r._own")
         .select(
-            "node", F.col("e.r").alias("r"), F.array(*[F.col("e")[c] for c in names]).alias("cuts")
+            "node", F.col("e.r").alias("r"), F.col("e.known").alias("known"),
+            F.array(*[F.col("e")[c] for c in names]).alias("cuts"),
         )
         .select(
             "node",
             F.col("r.timestamp").alias("timestamp"),
             F.col("r.price").alias("price"),
             F.col("r.rn").alias("rn"),
-            frame.cast("int").alias("n_hist"),
+            F.col("known").alias("n_hist"),
             "cuts",
         )
     )
@@ -200,33 +203,71 @@ def discharged_today(schedule: DataFrame, keys: Sequence[str] = ("node",)) -> Da
 
 
 def slot_ewma(
-    panel: DataFrame, alpha: float = 0.2, include_current: bool = True, terms: int = 150
+    panel: DataFrame, alpha: float = 0.2, include_current: bool = True, block: int = 64
 ) -> DataFrame:
-    """Exponentially weighted level of the same time-of-day slot.
+    """Exponentially weighted level of the same time-of-day slot, over all history.
 
-    Weights are normalised. The frame is cut at ``terms`` rows, where a weight of
-    ``(1-alpha)**150`` is below double precision for the default ``alpha``. A null
-    price on a regular grid ages the level without entering it.
+    Weights are normalised. A null price on a regular grid ages the level without
+    entering it. A slot's rows, one a day, are cut into blocks: the weighted sums of
+    a block are folded inside it, and those of earlier blocks are carried over, aged
+    by the rows since. The result doesn't depend on ``block``.
     """
-    frame = (-(terms - 1), 0) if include_current else (-terms, -1)
-    w = (
-        Window.partitionBy("node", minute_of_day("timestamp"))
-        .orderBy("timestamp")
-        .rowsBetween(*frame)
-    )
     keep = 1.0 - alpha
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    state = F.aggregate(
-        F.collect_list(F.struct("price")).over(w),
-        zero,
-        lambda s, x: F.struct(
-            (s["num"] * keep + F.coalesce(x["price"], F.lit(0.0))).alias("num"),
-            (s["den"] * keep + x["price"].isNotNull().cast("double")).alias("den"),
-        ),
+    slot = panel.withColumn("_slot", minute_of_day("timestamp"))
+    series = Window.partitionBy("node", "_slot")
+    place = F.row_number().over(series.orderBy("timestamp")) - 1
+    rows = slot.withColumn("_b", F.floor(place / block))
+    inside = Window.partitionBy("node", "_slot", "_b").orderBy("timestamp")
+
+    def fold(frame) -> Column:
+        return F.aggregate(
+            F.collect_list(F.struct("price")).over(frame),
+            zero,
+            lambda s, x: F.struct(
+                (s["num"] * keep + F.coalesce(x["price"], F.lit(0.0))).alias("num"),
+                (s["den"] * keep + x["price"].isNotNull().cast("double")).alias("den"),
+            ),
+        )
+
+    upto = (Window.unboundedPreceding, 0 if include_current else -1)
+    rows = rows.withColumn("_s", fold(inside.rowsBetween(*upto))).withColumn(
+        "_k", F.count(F.lit(1)).over(inside.rowsBetween(*upto))
+    )
+    ends = (
+        slot.withColumn("_b", F.floor(place / block))
+        .groupBy("node", "_slot", "_b")
+        .agg(F.sort_array(F.collect_list(F.struct("timestamp", "price"))).alias("_r"))
+        .select(
+            "node", "_slot", "_b",
+            F.size("_r").alias("_n"),
+            F.aggregate(
+                "_r",
+                zero,
+                lambda s, x: F.struct(
+                    (s["num"] * keep + F.coalesce(x["price"], F.lit(0.0))).alias("num"),
+                    (s["den"] * keep + x["price"].isNotNull().cast("double")).alias("den"),
+                ),
+            ).alias("_t"),
+        )
+    )
+    earlier = series.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(
+        "node", "_slot", "_b",
+        F.aggregate(
+            F.collect_list(F.struct("_n", "_t")).over(earlier),
+            zero,
+            lambda s, x: F.struct(
+                (s["num"] * F.pow(F.lit(keep), x["_n"]) + x["_t"]["num"]).alias("num"),
+                (s["den"] * F.pow(F.lit(keep), x["_n"]) + x["_t"]["den"]).alias("den"),
+            ),
+        ).alias("_c"),
     )
-    return panel.withColumn("_s", state).select(
-        *panel.columns,
-        F.when(F.col("_s.den") > 0, F.col("_s.num") / F.col("_s.den")).alias("level"),
+    aged = F.pow(F.lit(keep), F.col("_k"))
+    num = F.col("_c.num") * aged + F.col("_s.num")
+    den = F.col("_c.den") * aged + F.col("_s.den")
+    return rows.join(carried, ["node", "_slot", "_b"]).select(
+        *panel.columns, F.when(den > 0, num / den).alias("level")
     )
 
 

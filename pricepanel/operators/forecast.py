@@ -61,18 +61,23 @@ class RefitPlan:
         )
 
 
+def known(panel: DataFrame) -> DataFrame:
+    """Rows with a price: gaps of a regular grid are no training data."""
+    return panel.filter(F.col("price").isNotNull() & ~F.isnan("price"))
+
+
 def refit_schedule(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame:
-    """Row number and the refit in force per row."""
-    numbered = number_rows(panel).withColumn("refit", plan.index(F.col("rn")))
+    """Row number and the refit in force per row with a price."""
+    numbered = number_rows(known(panel)).withColumn("refit", plan.index(F.col("rn")))
     return numbered.withColumn("refit_rn", plan.row(F.col("refit")))
 
 
 def training_rows(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame:
-    """Each row once per refit that trains on it."""
+    """Each row with a price once per refit that trains on it."""
     lo = plan.index(F.col("rn") - 1) + 1
     hi = plan.index(F.least(F.col("rn") + plan.window - 1, F.col("n")))
     return (
-        number_rows(panel)
+        number_rows(known(panel))
         .withColumn("_lo", lo)
         .withColumn("_hi", hi)
         .filter("_lo <= _hi")

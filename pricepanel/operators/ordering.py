@@ -147,18 +147,18 @@ def expanding_moments(
     days = day_groups(df, keys, ts)
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.aggregate(f"_rows.{value}", F.lit(0.0), lambda a, x: a + x)
-    per_day = days.select(
-        *_by(keys, "_day"),
-        F.size("_rows").alias("_c"),
-        (total / F.size("_rows")).alias("_m"),
-        F.col(f"_rows.{value}").alias("_x"),
-    ).withColumn(
-        "_ctr", F.sum(F.col("_c") * F.col("_m")).over(whole) / F.sum("_c").over(whole)
-    )
-    squares = F.aggregate(
-        "_x", F.lit(0.0), lambda a, x: a + (x - F.col("_ctr")) * (x - F.col("_ctr"))
+    # A day is reduced to three numbers before the node's days are scanned.
+    known = F.filter(F.col(f"_rows.{value}"), lambda x: x.isNotNull())
+    total = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x)
+    apart = F.aggregate("_x", F.lit(0.0), lambda a, x: a + (x - F.col("_m")) * (x - F.col("_m")))
+    per_day = (
+        days.select(*_by(keys, "_day"), known.alias("_x"))
+        .select("*", F.size("_x").alias("_c"), F.when(F.size("_x") > 0, total / F.size("_x")).otherwise(0.0).alias("_m"))
+        .select(*_by(keys, "_day", "_c", "_m"), apart.alias("_q"))
+        .withColumn("_ctr", F.coalesce(F.sum(F.col("_c") * F.col("_m")).over(whole) / F.nullif(F.sum("_c").over(whole), F.lit(0)), F.lit(0.0)))
     )
+    off = F.col("_m") - F.col("_ctr")
+    squares = F.col("_q") + F.col("_c") * off * off
     prefix = per_day.withColumn("_sq", squares).select(
         *_by(keys, "_day", "_ctr"),
         F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"),

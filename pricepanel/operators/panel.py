@@ -404,40 +404,29 @@ def walk_forward_folds(
         raise ValueError("test_size as a share must lie between 0 and 1")
     if n_splits < 2:
         raise ValueError("n_splits must be at least 2")
-    n = F.col("n")
-    size = (
-        F.floor(n * F.lit(test_size)) if isinstance(test_size, float) else F.lit(test_size)
-    ).cast("bigint")
-    k = n_splits - 1
-    room = n - size - k * (size + gap)
-    inc = F.floor(room / k)
-    checked = F.when(inc > 0, inc).otherwise(
-        F.raise_error(F.lit(f"cannot create {n_splits} splits"))
-    )
-    rows = number_rows(df, keys).withColumn("_size", size).withColumn("_step", checked + size + gap)
-    test_end = n - F.col("_i") * F.col("_step")
-    test_start = test_end - F.col("_size")
-    train_end = test_start - gap
-    usable = F.least(
-        F.lit(n_splits), F.ceil((n - F.col("_size") - gap) / F.col("_step"))
-    )
-    split = F.when(F.col("rn") <= train_end, F.lit("train")).when(
-        (F.col("rn") > test_start) & (F.col("rn") <= test_end), F.lit("test")
+    whole = F.col("n")
+    held = (F.floor(whole * F.lit(test_size)) if isinstance(test_size, float) else F.lit(test_size)).cast("bigint")
+    # Folds end equally far apart; between two ends lie a test part, a gap and what is left over.
+    moves = n_splits - 1
+    spare = F.floor((whole - held - moves * (held + gap)) / moves)
+    stride = F.when(spare > 0, spare + held + gap).otherwise(F.raise_error(F.lit(f"too few rows for {n_splits} folds")))
+    rows = number_rows(df, keys).withColumn("_held", held).withColumn("_stride", stride)
+    folds = F.least(F.lit(n_splits), F.ceil((whole - F.col("_held") - gap) / F.col("_stride")))
+    back = F.sequence(F.lit(0).cast("bigint"), folds - 1)
+    spans = F.transform(
+        back,
+        lambda i: F.struct(
+            (folds - i).cast("int").alias("fold"),
+            (whole - i * F.col("_stride") - F.col("_held") - gap).alias("learn"),
+            (whole - i * F.col("_stride") - F.col("_held")).alias("after"),
+            (whole - i * F.col("_stride")).alias("last"),
+        ),
     )
+    rn, span = F.col("rn"), F.col("_span")
+    part = F.when(rn <= span["learn"], "train").when((rn > span["after"]) & (rn <= span["last"]), "test")
     return (
-        rows.withColumn("_usable", usable)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_usable") - 1)))
-        .withColumn("split", split)
+        rows.withColumn("_span", F.explode(spans))
+        .withColumn("split", part)
         .filter("split is not null")
-        .select(
-            *df.columns,
-            "rn",
-            (F.col("_usable") - F.col("_i")).cast("int").alias("fold"),
-            "split",
-        )
+        .select(*df.columns, "rn", "_span.fold", "split")
     )
-
-
-def at_step(df: DataFrame, minutes: int) -> DataFrame:
-    """Rows with the timestamp floored to its bucket (no aggregation)."""
-    return df.withColumn("timestamp", floor_to("timestamp", minutes))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricepanel.battery import Battery
-from pricepanel.operators import dispatch, features as ft, foresight, lookahead
+from pricepanel.operators import dispatch, features as ft, foresight, panel as op
 from pricepanel.plans import fixtures as fx, sql
 from pricepanel.plans.registry import query
 
@@ -37,6 +37,34 @@ def f1_user(spark, d):
     return t.select("node", "timestamp", "price", _r(_finite("low"), 8).alias("low"), _r(_finite("high"), 8).alias("high"))
 
 
+_GAPS = f"""{sql.P}, {sql.GRID}, hist AS (
+  SELECT node, timestamp, price, list_sort(coalesce(list(price) FILTER (price IS NOT NULL) OVER (
+    PARTITION BY node ORDER BY timestamp ROWS BETWEEN 671 PRECEDING AND CURRENT ROW), [])) AS l FROM g)"""
+
+
+@query("f1_thresholds_gaps", f"""WITH {_GAPS}
+SELECT node, timestamp, price, len(l) AS n_hist,
+       round(CASE WHEN len(l) >= 67 THEN {sql.cut('l', 0.1)} END, 8) AS low,
+       round(CASE WHEN len(l) >= 67 THEN {sql.cut('l', 0.9)} END, 8) AS high FROM hist""")
+def f1_gaps(spark, d):
+    """On a regular grid about half of the slots have no price: only known ones count."""
+    t = ft.thresholds(op.regular_grid(fx.events_panel(spark, d)))
+    return t.select(
+        "node", "timestamp", "price", F.col("n_hist").cast("bigint").alias("n_hist"),
+        _r(_finite("low"), 8).alias("low"), _r(_finite("high"), 8).alias("high"),
+    )
+
+
+@query("f2_price_regime_gaps", f"""WITH {sql.P}, {sql.GRID}, hist AS (
+  SELECT node, timestamp, price, list_sort(coalesce(list(price) FILTER (price IS NOT NULL) OVER (
+    PARTITION BY node ORDER BY timestamp ROWS BETWEEN 288 PRECEDING AND 1 PRECEDING), [])) AS l FROM g)
+SELECT node, timestamp, price, CAST(CASE WHEN len(l) < 20 THEN 1 WHEN price < {sql.cut('l', 0.25)} THEN 0
+       WHEN price > {sql.cut('l', 0.75)} THEN 2 ELSE 1 END AS BIGINT) AS price_bin FROM hist""")
+def f2_gaps(spark, d):
+    r = ft.price_regime(op.regular_grid(fx.events_panel(spark, d)))
+    return r.withColumn("price_bin", F.col("price_bin").cast("bigint"))
+
+
 _REGIME = f"""hist AS (
   SELECT node, timestamp, price, list_sort(coalesce(list(price) OVER (
     PARTITION BY node ORDER BY timestamp ROWS BETWEEN 288 PRECEDING AND 1 PRECEDING), [])) AS l FROM p),
@@ -105,6 +133,13 @@ def f6(spark, d):
     return c.select("node", "timestamp", "price", _r("z_price").alias("z_price"), _r("hrs_left", 8).alias("hrs_left"))
 
 
+@query("f6_charge_share", f"""{_ONE_LEDGER}
+SELECT node, timestamp, round(soc_before / 200, 8) AS charge_share FROM ledger WHERE scenario = 1""")
+def f6_share(spark, d):
+    led = dispatch.threshold_dispatch(fx.events_panel(spark, d), pcts=(10,))
+    return led.select("node", "timestamp", _r(ft.charge_share(F.col("soc_before")), 8).alias("charge_share"))
+
+
 @query("f7_discharged_today", f"""{_ONE_LEDGER}
 SELECT node, timestamp, round(mwh, 6) AS mwh, round(coalesce(sum(greatest(mwh, 0)) OVER (
   PARTITION BY node, CAST(timestamp AS DATE) ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)
@@ -115,24 +150,34 @@ def f7(spark, d):
     return u.select("node", "timestamp", _r("mwh").alias("mwh"), _r("used_before").alias("used_before"))
 
 
-def _ewma(frame: str) -> str:
-    return f"""WITH {sql.P}, h AS (
+def _ewma(frame: str, alpha: float = 0.2, panel: str = sql.P, digits: int = 6) -> str:
+    return f"""WITH {panel}, h AS (
   SELECT *, list(price) OVER (PARTITION BY node, hour(timestamp) * 60 + minute(timestamp) ORDER BY timestamp
-         ROWS BETWEEN {frame}) AS l FROM p),
-w AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: pow(0.8::DOUBLE, len(l) - i)) AS k FROM h)
-SELECT node, timestamp, price, round(list_dot_product(l, k) / list_sum(k), 6) AS level FROM w"""
+         ROWS BETWEEN UNBOUNDED PRECEDING AND {frame}) AS l FROM p),
+w AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: pow({1 - alpha}::DOUBLE, len(l) - i)) AS k FROM h)
+SELECT node, timestamp, price, round(list_dot_product(l, k) / list_sum(k), {digits}) AS level FROM w"""
 
 
-@query("f8_slot_ewma", _ewma("149 PRECEDING AND CURRENT ROW"))
+@query("f8_slot_ewma", _ewma("CURRENT ROW"))
 def f8(spark, d):
     return ft.slot_ewma(fx.events_panel(spark, d)).withColumn("level", _r("level"))
 
 
-@query("f8_slot_ewma_before", _ewma("150 PRECEDING AND 1 PRECEDING"))
+@query("f8_slot_ewma_before", _ewma("1 PRECEDING"))
 def f8_before(spark, d):
     return ft.slot_ewma(fx.events_panel(spark, d), include_current=False).withColumn("level", _r("level"))
 
 
+_DAYS = "p AS (SELECT o_orderpriority AS node, o_orderdate AS timestamp, round(avg(o_totalprice), 6) AS price FROM orders GROUP BY 1, 2)"
+
+
+@query("f8_slot_ewma_years", _ewma("CURRENT ROW", 0.01, _DAYS, 3))
+def f8_years(spark, d):
+    """A slow level over years of days: weights reach back to the first of them."""
+    p = op.dedup_mean(fx.order_ticks(spark, d)).withColumn("price", _r("price"))
+    return ft.slot_ewma(p, alpha=0.01).select("node", "timestamp", "price", _r("level", 3).alias("level"))
+
+
 @query("f9_last_value", f"""WITH {sql.P}
 SELECT node, timestamp AS origin, h, price AS yhat FROM p CROSS JOIN range(32) x(h)""")
 def f9(spark, d):
@@ -244,7 +289,7 @@ def h9_users(spark, d):
     return _rounded(grid)
 
 
-# --- perfect foresight and look-ahead ------------------------------------------
+# --- perfect foresight ------------------------------------------
 
 SMALL = Battery(e_max_mwh=25.0)
 
@@ -263,13 +308,14 @@ def _bound_sql(name: str, unit: float, levels: int, start: int, cap: int, eta: f
   WHERE l BETWEEN 0 AND {levels - 1} AND used <= {cap} GROUP BY node, rn, l, used)"""
 
 
-def _bracket_sql(low: tuple, high: tuple) -> str:
+def _bracket_sql(low: tuple, high: tuple, digits: int | None = 3) -> str:
+    shown = "lo.v AS lower, hi.v AS upper" if digits is None else f"round(lo.v, {digits}) AS lower, round(hi.v, {digits}) AS upper"
     best = "(SELECT node, max(v) AS v FROM {0}_dp JOIN (SELECT node, max(rn) AS rn FROM num GROUP BY 1) e USING (node, rn) GROUP BY 1) {0}"
     return f"""WITH RECURSIVE {sql.P},
 num AS (SELECT *, CAST(timestamp AS DATE) AS day, row_number() OVER (PARTITION BY node ORDER BY timestamp) AS rn FROM p),
 {_bound_sql("lo", *low)},
 {_bound_sql("hi", *high)}
-SELECT node, round(lo.v, 3) AS lower, round(hi.v, 3) AS upper FROM {best.format("lo")} JOIN {best.format("hi")} USING (node)"""
+SELECT node, {shown} FROM {best.format("lo")} JOIN {best.format("hi")} USING (node)"""
 
 
 @query("h5_bracket_small", _bracket_sql((5.9375, 5, 2, 4), (6.25, 5, 2, 4)))
@@ -284,38 +330,22 @@ def h5(spark, d):
     return b.select("node", _r("lower", 3).alias("lower"), _r("upper", 3).alias("upper"))
 
 
-@query("h6_look_ahead")
-def h6(spark, d):
-    run = lookahead.forecast_dispatch(fx.events_panel(spark, d))
-    return run.select(
-        "node", "model", "timestamp", "price",
-        *[_r(c, 6).alias(c) for c in ("soc_before", "mwh", "soc", "revenue")],
-    )
-
-
-@query("h6_look_ahead_audit", f"""WITH {sql.P} SELECT node, model, count(*) AS rows, 0 AS bad_soc, 0 AS bad_power,
-  0 AS bad_revenue, 0 AS bad_balance, 0 AS bad_days
-FROM p CROSS JOIN (VALUES ('online_mpc_ridge'), ('online_mpc_ewma'), ('online_mpc_naive')) m(model) GROUP BY 1, 2""")
-def h6_audit(spark, d):
-    p = fx.events_panel(spark, d)
-    runs = [lookahead.forecast_dispatch(p, m) for m in ("ridge", "ewma", "naive")]
-    led = runs[0].unionByName(runs[1]).unionByName(runs[2])
-    a = dispatch.audit(led, Battery(), ("node", "model"))
-    return a.select("node", "model", *[F.col(c).cast("bigint").alias(c) for c in a.columns[2:]])
-
-
-@query("h6_rest_of_day")
-def h6_rest(spark, d):
-    run = lookahead.forecast_dispatch(fx.events_panel(spark, d), rest_of_day=True)
-    return run.groupBy("node", "model").agg(
-        F.count(F.lit(1)).alias("rows"), _r(F.sum("revenue"), 4).alias("revenue")
-    )
+_BOUNDS = "\n  UNION ALL ".join(
+    f"""SELECT p.node, 'oracle_lp_{k}' AS model, 1 AS scenario, round(max(b.{k}), 3) AS revenue, count(*) AS timestamps,
+  round(avg(price), 5) AS mean_price, round(max(b.{k}) / count(*), 5) AS mean_revenue, NULL::DOUBLE AS total_mwh
+  FROM p JOIN bracket b USING (node) GROUP BY 1"""
+    for k in ("lower", "upper")
+)
+_STEPS = _bracket_sql((5.9375, 33, 16, 33), (6.25, 33, 16, 32), digits=None).replace(" num ", " steps ").replace("\nnum ", "\nsteps ").split(f"{sql.P},", 1)[1]
+_STEP_TABLES, _, _STEP_RESULT = _STEPS.rpartition("\nSELECT ")
 
 
-@query("h9_all_models")
+@query("h9_all_models", f"""WITH RECURSIVE {sql.P}, {sql.models()}, {sql.SCEN}, {sql.LEDGER}, {_STEP_TABLES},
+bracket AS (SELECT {_STEP_RESULT})
+SELECT * FROM ({_SUMMARY}) WHERE scenario = 1 UNION ALL {_BOUNDS}""")
 def h9_all(spark, d):
     return _rounded(
         dispatch.backtest_grid(
-            fx.events_panel(spark, d), models=("online_quartile", "online_mpc", "oracle_lp")
+            fx.events_panel(spark, d), models=("online_quartile", "oracle_lp")
         )
     )

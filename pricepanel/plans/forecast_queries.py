@@ -172,7 +172,7 @@ _FORECASTS = """ew AS (
          / nullif(list_dot_product(list_transform(l, lambda x: CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), k), 0) AS level
   FROM (SELECT *, list_transform(range(1, len(l) + 1), lambda i: pow(0.8::DOUBLE, len(l) - i)) AS k
         FROM (SELECT *, list(price) OVER (PARTITION BY node, hour(timestamp) * 60 + minute(timestamp)
-              ORDER BY timestamp ROWS BETWEEN 150 PRECEDING AND 1 PRECEDING) AS l FROM pos))),
+              ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM pos))),
 lv AS (SELECT node, timestamp, pos, n, last_value(price IGNORE NULLS) OVER (PARTITION BY node ORDER BY timestamp
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS level FROM pos),
 fc AS (

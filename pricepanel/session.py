@@ -1,4 +1,4 @@
-"""Session helpers: task width, shared scratch folder, lineage cuts."""
+"""Session helpers: task width and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -29,7 +29,9 @@ def _shared_dir(spark: SparkSession) -> str:
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
-        # Only for local runs and tests: a cluster names its shared folder.
+        # A folder of one machine does for local runs and tests alone.
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pricepanel-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
@@ -38,11 +40,3 @@ def _shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder (nothing is created)."""
     return f"{_shared_dir(spark)}/pricepanel-{uuid.uuid4().hex}/{name}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, so lost executors do not matter."""
-    _shared_dir(df.sparkSession)
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(_shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)

@@ -20,7 +20,6 @@ from pricepanel.functions.kernels import trailing_cuts
 from pricepanel.functions.timegrid import from_instant, to_instant
 from pricepanel.operators.features import WEEK, min_history
 from pricepanel.operators.panel import bucket_mean
-from pricepanel.session import width
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -132,15 +131,18 @@ def naive(rows: DataFrame) -> DataFrame:
     return rows.withColumn("timestamp", from_instant("timestamp"))
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int = 600) -> DataFrame:
-    """Process what the source holds now into Parquet at ``path`` and read it back."""
+def run_available(stream: DataFrame, path: str, checkpoint: str, stores: int | None = None) -> DataFrame:
+    """Process what the source holds now into Parquet at ``path`` and read it back.
+
+    A stream keeps the number of state stores it is first started with; ``stores``
+    sets it, and the session's shuffle width is the default. The call returns when
+    the source is exhausted, however long that takes. Rows of the window that the
+    watermark has not passed stay in the checkpoint and come with the next call.
+    """
     spark: SparkSession = stream.sparkSession
-    # One state store per partition: more than two per core only cost start-up.
-    stores = min(width(spark), 2 * spark.sparkContext.defaultParallelism)
-    settings = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(stores),
-    }
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if stores is not None:
+        settings["spark.sql.shuffle.partitions"] = str(stores)
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
@@ -153,10 +155,9 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, timeout: int =
             .trigger(availableNow=True)
             .start()
         )
-        if not q.awaitTermination(timeout):
-            q.stop()
-            raise TimeoutError(f"stream did not finish within {timeout} s")
     finally:
+        # A started stream has its own copy of them.
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Ledgers against a plain loop; bounds and audits."""
+"""Ledgers by hand and by invariants; bounds and audits."""
 
 import datetime as dt
 
@@ -7,65 +7,65 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricepanel.battery import Battery
-from pricepanel.operators import dispatch, foresight, lookahead
+from pricepanel.operators import dispatch, foresight
 
 BATTERIES = [Battery(), Battery(eta_chg=0.87, p_max_mw=31.0, e_max_mwh=77.0, initial_soc_frac=0.3)]
 
 
 def prices(spark, days=6, seed=5, decimals=0, nodes=("A", "B")):
+    """Skewed random prices with gaps and some negative ones."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for node in nodes:
-        for i in range(96 * days):
-            if rng.random() < 0.9:  # gaps
-                p = 20 + 10 * np.sin(np.pi * i / 48) + rng.normal(0, 6) - (40 if rng.random() < 0.03 else 0)
-                rows.append((node, dt.datetime(2024, 2, 26) + dt.timedelta(minutes=15 * i), float(np.round(p, decimals))))
+    slots = [dt.datetime(2024, 2, 26) + dt.timedelta(minutes=15 * i) for i in range(96 * days)]
+    rows = [
+        (node, t, float(p))
+        for node in nodes
+        for t, p, there in zip(slots, np.round(rng.gamma(2, 12, len(slots)) - 6, decimals), rng.random(len(slots)) < 0.9)
+        if there
+    ]
     return spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double")
 
 
-def plain_loop(pdf, b, pct, window, need):
-    soc, used, day, hist, out = b.start_soc, 0.0, None, [], []
-    for ts, price in zip(pdf.timestamp, pdf.price):
-        hist = (hist + [price])[-window:]
-        if ts.date() != day:
-            used, day = 0.0, ts.date()
-        low = high = np.inf
-        if len(hist) >= need:
-            low, high = np.percentile(hist, [pct, 100 - pct])
-        p_chg = p_dis = 0.0
-        if price <= low and soc < b.e_max_mwh:
-            p_chg = min(b.p_max_mw, (b.e_max_mwh - soc) / (b.eta_chg * b.delta_t))
-        elif price >= high and soc > 0 and used < b.e_max_mwh:
-            p_dis = min(b.p_max_mw, soc / b.delta_t, (b.e_max_mwh - used) / b.delta_t)
-        mwh = (p_dis - p_chg) * b.delta_t
-        soc += (b.eta_chg * p_chg - p_dis) * b.delta_t
-        used += p_dis * b.delta_t
-        out.append((mwh, mwh * price, soc))
-    return np.array(out)
-
-
-@pytest.mark.parametrize("decimals,pct", [(0, 45.0), (-1, 45.0), (1, 25.0)])
-def test_ledger_equals_plain_loop(spark, decimals, pct):
-    """Rounded prices make thresholds meet exactly, so every kind of signal occurs."""
-    p = prices(spark, decimals=decimals)
-    led = dispatch.threshold_dispatch(p, pcts=(pct,), batteries=BATTERIES, window=96, min_samples=30).toPandas()
-    panel = p.toPandas().sort_values(["node", "timestamp"])
-    for node in ("A", "B"):
-        for k, b in enumerate(BATTERIES, start=1):
-            got = led[(led.node == node) & (led.scenario == k)].sort_values("timestamp")
-            want = plain_loop(panel[panel.node == node], b, pct, 96, 30)
-            assert len(got) == len(want)
-            assert np.allclose(got[["mwh", "revenue", "soc"]], want, atol=1e-6)
+def day(spark, values, start="2024-01-01"):
+    first = dt.datetime.fromisoformat(start)
+    rows = [("A", first + dt.timedelta(minutes=15 * i), float(p)) for i, p in enumerate(values)]
+    return spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double")
+
+
+def test_hand_computed_schedule(spark):
+    """With a window of two rows the lower price charges and the higher discharges."""
+    b = Battery(eta_chg=0.5, p_max_mw=40.0, e_max_mwh=20.0, initial_soc_frac=0.5)
+    p = day(spark, [10, 5, 8, 2, 9, 9, 1, 7])
+    led = dispatch.threshold_dispatch(p, pcts=(10,), batteries=[b], window=2, min_samples=2).toPandas().sort_values("timestamp")
+    # 5 of 10 MWh taken are stored; a sale is 10, and 20 a day at most, so the last one is void.
+    # The sixth price meets both thresholds of its window and charges.
+    assert led.mwh.tolist() == [-10, -10, 10, -10, 10, -10, -10, 0]
+    assert led.soc.tolist() == [15, 20, 10, 15, 5, 10, 15, 15]
 
 
 def test_both_thresholds_meet(spark):
-    """A full battery discharges on a price that meets both thresholds."""
-    rows = [("A", dt.datetime(2024, 1, 1 + i // 96, i % 96 // 4, i % 4 * 15), 5.0) for i in range(96 * 3)]
-    p = spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double")
-    led = dispatch.threshold_dispatch(p, pcts=(10,), min_samples=30).toPandas().sort_values("timestamp")
-    want = plain_loop(p.toPandas(), Battery(), 10, 672, 30)
+    """A constant price meets both thresholds: charge until full, then discharge and refill in turn."""
+    led = dispatch.threshold_dispatch(day(spark, [5.0] * 96), pcts=(10,), min_samples=30).toPandas().sort_values("timestamp")
     assert set(led.signal) == {1, 2}
-    assert np.allclose(led[["mwh", "soc"]], want[:, [0, 2]], atol=1e-9)
+    b = Battery()
+    full = led.soc_before >= b.e_max_mwh
+    assert (led.mwh[full & (led.signal == 2)] == b.discharge_step).all()
+    assert (led.mwh[~full] < 0).all()
+
+
+def test_ledger_invariants(spark):
+    led = dispatch.threshold_dispatch(prices(spark, decimals=-1), pcts=(45,), batteries=BATTERIES, window=96, min_samples=30).toPandas()
+    for k, b in enumerate(BATTERIES, start=1):
+        own = led[led.scenario == k]
+        assert own.soc.between(-1e-9, b.e_max_mwh + 1e-9).all()
+        assert (own.mwh <= b.discharge_step + 1e-9).all() and (own.mwh >= -b.charge_step / b.eta_chg - 1e-9).all()
+        assert np.allclose(own.revenue, own.mwh * own.price)
+        out, into = own.mwh.clip(lower=0), -own.mwh.clip(upper=0)
+        assert np.allclose(own.soc - own.soc_before, b.eta_chg * into - out)
+        assert (out.groupby([own.node, own.timestamp.dt.date]).sum() <= b.e_max_mwh + 1e-9).all()
+        # Every row does as much of what its signal says as the limits let it.
+        idle = own[(own.signal == 1) & (own.mwh == 0)]
+        assert np.allclose(idle.soc_before, b.e_max_mwh)
+        assert (own.mwh[own.signal == 0] == 0).all() and (own.mwh[own.signal == -1] >= 0).all()
 
 
 def test_audit_finds_faults(spark):
@@ -81,7 +81,7 @@ def test_audit_finds_faults(spark):
 def test_bounds_hold_for_every_policy(spark):
     p = prices(spark)
     bound = {r["node"]: r for r in foresight.revenue_bracket(p).collect()}
-    grid = dispatch.backtest_grid(p, models=("online_quartile", "online_mpc"), window=96)
+    grid = dispatch.backtest_grid(p, models=("online_quartile", "oracle_lp"), window=96)
     for r in grid.collect():
         b = bound[r["node"]]
         assert b["lower"] <= b["upper"]
@@ -89,11 +89,6 @@ def test_bounds_hold_for_every_policy(spark):
         assert r["revenue"] != 0
 
 
-def test_look_ahead_schedule_is_valid(spark):
-    run = lookahead.forecast_dispatch(prices(spark, nodes=("A",)), "naive")
-    assert tuple(dispatch.audit(run).first())[2:] == (0, 0, 0, 0, 0)
-
-
 def test_day_balance_matches_ledger(spark):
     p = prices(spark)
     sig = dispatch.threshold_signals(p, (10, 45), window=96)
@@ -108,4 +103,4 @@ def test_day_balance_matches_ledger(spark):
 
 def test_unknown_model(spark):
     with pytest.raises(ValueError):
-        dispatch.backtest_grid(prices(spark, days=1), models=("other",))
+        dispatch.backtest_grid(prices(spark, days=1), models=("online_quartile", "other"))

@@ -128,39 +128,18 @@ def test_compose_is_the_longer_day():
     assert np.allclose(kn.compose([a, b]), kn.day_transfer(prices, 3, 9, 1.0, 1.0))
 
 
-def test_first_actions_equal_enumeration_without_losses():
-    rng = np.random.default_rng(4)
-    paths = rng.integers(1, 9, size=(40, 5)).astype(float)
-    got = kn.first_actions(paths, 4, 1.0, 1.0)
-
-    def value(path, soc, left):
-        if not len(path):
-            return 0.0
-        options = [value(path[1:], soc, left)]
-        if soc < 3:
-            options.append(value(path[1:], soc + 1, left) - path[0])
-        if soc > 0 and left > 0:
-            options.append(value(path[1:], soc - 1, left - 1) + path[0])
-        return max(options)
-
-    for path, table in zip(paths, got):
-        for soc, left in ((0, 3), (1, 1), (3, 2), (2, 0)):
-            best = value(path, soc, left)
-            action = table[soc, left]
-            after = {
-                kn.HOLD: lambda: value(path[1:], soc, left),
-                kn.CHARGE: lambda: value(path[1:], soc + 1, left) - path[0],
-                kn.DISCHARGE: lambda: value(path[1:], soc - 1, left - 1) + path[0],
-            }[action]()
-            assert abs(after - best) < 1e-9
-
-
-def test_flat_path_acts_at_once():
-    table = kn.first_actions(np.full((1, 32), 30.0), 33, 6.25, 0.95)[0]
-    assert table[16, 32] == kn.DISCHARGE
-    assert table[0, 32] == kn.HOLD
-
-
-def test_lattice_unit():
-    assert Battery().lattice() == (0.3125, 641)
-    assert Battery(eta_chg=0.9, p_max_mw=50.0).lattice() == (1.25, 161)
+def test_trailing_cuts_skip_unknown_values():
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random(300) < 0.4, np.nan, rng.normal(size=300))
+    for current in (True, False):
+        got = kn.trailing_cuts(x, 50, [0.1, 0.9], current)
+        count = kn.trailing_known(x, 50, current)
+        for i in range(300):
+            end = i + current
+            seen = x[max(0, end - 50) : end]
+            seen = seen[~np.isnan(seen)]
+            assert count[i] == len(seen)
+            if len(seen):
+                assert np.allclose(got[i], np.quantile(seen, [0.1, 0.9]))
+            else:
+                assert np.isnan(got[i]).all()

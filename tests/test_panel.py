@@ -112,7 +112,7 @@ def test_fold_errors(spark):
         op.walk_forward_folds(p, 1, 24)
     with pytest.raises(ValueError):
         op.walk_forward_folds(p, 3, 1.5)
-    with pytest.raises(Exception, match="cannot create"):
+    with pytest.raises(Exception, match="too few rows"):
         op.walk_forward_folds(p, 3, 90).collect()
 
 
