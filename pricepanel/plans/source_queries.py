@@ -136,13 +136,13 @@ def _daily_panel(spark, d):
 
 @query("a8_load_prices", f"""WITH {_MEAN}
 SELECT timestamp, node, price FROM m WHERE node IN ('1-URGENT', '5-LOW') AND price IS NOT NULL
-AND timestamp BETWEEN TIMESTAMP '1996-05-01' AND TIMESTAMP '2000-06-30'""")
+AND timestamp BETWEEN TIMESTAMP '1996-05-01' AND TIMESTAMP '2001-06-30'""")
 def a8(spark, d):
     """Tidy years, one wide year and one year of raw documents."""
     root = scratch(spark, "store")
     p = _daily_panel(spark, d)
     year = F.year("timestamp")
-    store.write_tidy(p.filter(year < 1999), root, "ERCOT", store.DAY_AHEAD)
+    store.write_tidy(p.filter((year < 1999) | (year > 2000)), root, "ERCOT", store.DAY_AHEAD)
     store.write_wide(p.filter(year == 1999), store.wide_path(root, "ERCOT", store.DAY_AHEAD, 1999), PRIORITIES)
     raw = p.filter(year == 2000).select(
         F.array(
@@ -157,7 +157,7 @@ def a8(spark, d):
     )
     raw.write.json(store.raw_path(root, "ERCOT", store.DAY_AHEAD, 2000) + "/json")
     loaded = store.load_prices(
-        spark, root, "ERCOT", "1996-05-01", "2000-06-30", ["1-URGENT", "5-LOW"], "1D", native="1D"
+        spark, root, "ERCOT", "1996-05-01", "2001-06-30", ["1-URGENT", "5-LOW"], "1D", native="1D"
     )
     return loaded.filter("price is not null")
 

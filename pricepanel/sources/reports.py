@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -100,69 +102,130 @@ def concat_reports(
     )
 
 
-def read_zone_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Tidy panel of zone price CSVs. Only the header of one file is looked at;
-    values are typed by casts, so no inference pass reads the data."""
-    raw = spark.read.option("header", True).csv(paths)
-    return tidy(standardise_columns(raw))
+def _csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[DataFrame]:
+    """One scan per distinct header, so that columns are taken by name in every file,
+    whatever their order. A pass over the lines finds each file's first one; the driver
+    gets the file names by header, as it has them from listing the folder."""
+    lines = spark.read.text(paths)
+    first = lines.select(
+        F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value"
+    ).filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
+    if len(groups) <= 1:
+        return [spark.read.option("header", True).csv(paths)]
+    # enforceSchema off: Spark itself fails on a file whose header is not the group's.
+    return [spark.read.option("header", True).option("enforceSchema", False).csv(sorted(g["files"])) for g in sorted(groups, key=lambda g: g["header"])]
 
 
-_MEMBER_SCHEMA = "file string, member string, timestamp string, node string, price string"
+def read_zone_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Tidy panel of zone price CSVs, by column names. Values are typed by casts, so
+    no inference pass reads the data."""
+    parts = [tidy(standardise_columns(raw)) for raw in _csv_groups(spark, paths)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def unzip_csv(files: DataFrame) -> DataFrame:
-    """Rows of every ``.csv`` member of archives given as ``(path, content)``.
+#: Columns a member may have; wider ones are rejected by name.
+MAX_FIELDS = 64
+_MEMBER_SCHEMA = "file string, member string, header string, line string, reason string"
 
-    Archives are spread over tasks; members are parsed in slices, so one archive's
-    text never exists as a whole table.
-    """
-    wanted = {**COLUMN_ALIASES, "timestamp": "timestamp", "node": "node", "price": "price"}
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _member_lines(files: DataFrame) -> DataFrame:
+    """Lines of every CSV member of archives given as ``(path, content)``, each with
+    its member's header. What can't be read gives one row with a ``reason``: damaged
+    archives and members, and members without lines. Members of other kinds are no data."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["file", "member", "header", "line", "reason"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
-                    continue  # damaged archives are skipped
+                    yield pd.DataFrame([(path, None, None, None, "damaged archive")], columns=columns)
+                    continue
                 for member in archive.namelist():
-                    if not member.endswith(".csv"):
+                    if not member.lower().endswith(".csv"):
                         continue
-                    with archive.open(member) as text:
-                        for part in pd.read_csv(text, dtype=str, chunksize=50_000):
-                            part = part.rename(columns=lambda c: wanted.get(c.lower(), c))
-                            if not {"timestamp", "node", "price"} <= set(part.columns):
-                                break
-                            yield part[["timestamp", "node", "price"]].assign(
-                                file=path, member=member
-                            )[["file", "member", "timestamp", "node", "price"]]
-
-    rows = files.select("path", "content").mapInPandas(parse, _MEMBER_SCHEMA)
-    return rows.select(
-        as_timestamp(F.col("timestamp")).alias("timestamp"),
-        "node",
-        clean_number(F.col("price")).alias("price"),
+                    try:
+                        with archive.open(member) as raw:
+                            text = io.TextIOWrapper(raw, "utf-8-sig", newline="")
+                            header = text.readline().rstrip("\r\n")
+                            if not header:
+                                yield pd.DataFrame([(path, member, None, None, "empty member")], columns=columns)
+                            while part := text.readlines(4 << 20):
+                                yield pd.DataFrame({"file": path, "member": member, "header": header, "line": [x.rstrip("\r\n") for x in part], "reason": None})
+                    except (zipfile.BadZipFile, zlib.error, EOFError, UnicodeDecodeError) as e:
+                        yield pd.DataFrame([(path, member, None, None, f"damaged member: {type(e).__name__}")], columns=columns)
+
+    return files.select("path", "content").mapInPandas(lines, _MEMBER_SCHEMA)
+
+
+def _headings() -> list[str]:
+    return ["timestamp", "node", "price"]
+
+
+def _field_at(wanted: str) -> Column:
+    """Place of the first heading that means ``wanted``, from 0; -1 without one."""
+    names = [k for k, v in COLUMN_ALIASES.items() if v == wanted] + [wanted]
+    heads = F.transform(F.split("header", ","), lambda h: F.lower(F.trim(F.regexp_replace(h, '"', ""))))
+    return F.array_position(F.transform(heads, lambda h: h.isin(*names)), F.lit(True)).cast("int") - 1
+
+
+def unzip_csv(files: DataFrame) -> DataFrame:
+    """Rows of every ``.csv`` member of archives given as ``(path, content)``.
+
+    Python only unpacks; lines are parsed by Spark. Archives are spread over tasks
+    and lines leave in slices, so one archive's text never exists as a whole table.
+    Archives and members that hold no prices are listed by :func:`rejected_members`.
+    """
+    rows = _member_lines(files).filter("reason IS NULL AND line <> ''")
+    for name in _headings():
+        rows = rows.withColumn(f"_{name}", _field_at(name))
+    rows = rows.filter("_timestamp >= 0 AND _node >= 0 AND _price >= 0").filter(F.size(F.split("header", ",")) <= MAX_FIELDS)
+    # As many text columns as any header of interest has; quotes and commas are handled by the parser.
+    parsed = rows.withColumn("_v", F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_FIELDS))))
+    fields = F.array(*[F.col("_v")[f"c{i}"] for i in range(MAX_FIELDS)])
+    value = lambda name: F.get(fields, F.col(f"_{name}"))
+    return parsed.select(
+        as_timestamp(value("timestamp")).alias("timestamp"),
+        value("node").alias("node"),
+        clean_number(value("price")).alias("price"),
         "file",
         "member",
     )
 
 
+def rejected_members(files: DataFrame) -> DataFrame:
+    """(file, member, reason, lines) of archives and members that :func:`unzip_csv` gives no rows of."""
+    rows = _member_lines(files)
+    missing = F.lit(False)
+    for name in _headings():
+        missing = missing | (_field_at(name) < 0)
+    wide = F.size(F.split("header", ",")) > MAX_FIELDS
+    why = F.coalesce("reason", F.when(missing, "no column for timestamp, node or price").when(wide, f"more than {MAX_FIELDS} columns"))
+    return (
+        rows.withColumn("reason", why)
+        .filter("reason IS NOT NULL")
+        .groupBy("file", "member", "reason")
+        .agg(F.count("line").alias("lines"))
+    )
+
+
 def read_zipped_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Tidy panel of all CSV members of many zip archives."""
     return unzip_csv(spark.read.format("binaryFile").load(paths)).drop("file", "member")
 
 
 def read_tidy(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv") -> DataFrame:
-    """Tidy files under any of the known headings."""
-    raw = (
-        spark.read.option("header", True).csv(paths) if fmt == "csv" else spark.read.format(fmt).load(paths)
-    )
-    return tidy(standardise_columns(raw))
+    """Tidy files under any of the known headings, by name in every file."""
+    if fmt == "csv":
+        return read_zone_csv(spark, paths)
+    return tidy(standardise_columns(spark.read.format(fmt).load(paths)))
 
 
 def read_wide(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Wide CSV (one column per node) as a tidy panel."""
-    return normalise_panel(spark.read.option("header", True).csv(paths))
+    """Wide CSV (one column per node) as a tidy panel, by name in every file."""
+    return reduce(DataFrame.unionByName, [normalise_panel(raw) for raw in _csv_groups(spark, paths)])
 
 
 def read_node_list(spark: SparkSession, path: str) -> DataFrame:

@@ -34,12 +34,14 @@ def market_for(iso: str, freq: str) -> str:
 
 
 def write_tidy(
-    df: DataFrame, root: str, iso: str, market: str, mode: str = "append"
+    df: DataFrame, root: str, iso: str, market: str, mode: str = "overwrite"
 ) -> None:
     """Store a panel by (iso, market, year), sorted by time and node.
 
     Rows are range-partitioned on time, so a year is several sorted files with
-    narrow timestamp statistics and no task has to hold a whole year.
+    narrow timestamp statistics and no task has to hold a whole year. By default the
+    years that ``df`` has are replaced and others stay, so a rerun changes nothing;
+    ``append`` adds to them.
     """
     out = df.select(
         "timestamp", "node", "price",
@@ -51,6 +53,7 @@ def write_tidy(
         out.repartitionByRange(width(df.sparkSession), "year", "timestamp", "node")
         .sortWithinPartitions("year", "timestamp", "node")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("iso", "market", "year")
         .parquet(f"{root}/tidy")
     )
@@ -85,17 +88,21 @@ def load_prices(
     nodes: Sequence[str] | None = None,
     freq: str = "15T",
     native: str | None = None,
+    missing: str = "error",
+    one_per_file: bool = False,
 ) -> DataFrame:
     """Tidy prices in the closed range ``[start, end]`` at frequency ``freq``.
 
     Per year the tidy table is used if it has the year, else a wide export, else
     raw reports. All tidy years are one scan: the year filter prunes partitions and
     the timestamp filter reaches the Parquet statistics. ``native`` names the step
-    of the stored data; without it the step is inferred.
+    of the stored data; without it the step is inferred. Years of the range without
+    any data raise an error, or are left out if ``missing`` is ``ignore``. Raw reports
+    are one document per line, or one per file (in any layout) with ``one_per_file``.
     """
     market = market_for(iso, freq)
     first, last = (dt.datetime.fromisoformat(str(t)) for t in (start, end))
-    tidy_years, parts = [], []
+    tidy_years, parts, absent = [], [], []
     for year in range(first.year, last.year + 1):
         wide, raw = wide_path(root, iso, market, year), raw_path(root, iso, market, year)
         if _exists(spark, f"{root}/tidy/iso={iso}/market={market}/year={year}"):
@@ -103,9 +110,13 @@ def load_prices(
         elif _exists(spark, wide):
             parts.append(reports.read_wide(spark, wide))
         elif _exists(spark, f"{raw}/json"):
-            parts.append(reports.read_report_json(spark, f"{raw}/json", nodes, one_per_file=False))
+            parts.append(reports.read_report_json(spark, f"{raw}/json", nodes, one_per_file=one_per_file))
         elif _exists(spark, f"{raw}/csv"):
             parts.append(reports.read_zone_csv(spark, f"{raw}/csv"))
+        else:
+            absent.append(year)
+    if absent and missing != "ignore":
+        raise FileNotFoundError(f"no {iso} {market} prices for {absent} below {root}")
     if tidy_years:
         stored = spark.read.parquet(f"{root}/tidy").filter(
             (F.col("iso") == iso) & (F.col("market") == market) & F.col("year").isin(tidy_years)

@@ -52,8 +52,27 @@ def test_zone_csv_and_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
         z.writestr("one.csv", text)
         z.writestr("notes.txt", "no")
+        z.writestr("UPPER.CSV", 'Name,"Time Stamp",LBMP ($/MWHr)\n"WEST, 2",01/06/2024 00:00,7\n')
+        z.writestr("other.csv", "a,b\n1,2\n3,4\n")
+        z.writestr("empty.csv", "")
     (tmp_path / "broken.zip").write_bytes(b"not a zip")
-    assert reports.read_zipped_csv(spark, str(tmp_path / "*.zip")).count() == 2
+    got = reports.read_zipped_csv(spark, str(tmp_path / "*.zip")).orderBy("timestamp").collect()
+    assert [(r["node"], r["price"]) for r in got] == [("WEST", 20.5), ("WEST", None), ("WEST, 2", 7.0)]
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))
+    bad = {(r["file"].rpartition("/")[2], r["member"]): (r["reason"], r["lines"]) for r in reports.rejected_members(files).collect()}
+    assert bad == {
+        ("broken.zip", None): ("damaged archive", 0),
+        ("m.zip", "other.csv"): ("no column for timestamp, node or price", 2),
+        ("m.zip", "empty.csv"): ("empty member", 0),
+    }
+
+
+def test_columns_by_name_in_every_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Time Stamp,Name,LBMP ($/MWHr)\n2024-01-01 00:00,A,1\n")
+    (tmp_path / "b.csv").write_text("Name,LBMP ($/MWHr),Time Stamp\nB,2,2024-01-02 00:00\n")
+    for read in (reports.read_zone_csv, reports.read_tidy):
+        got = read(spark, str(tmp_path)).orderBy("timestamp").collect()
+        assert [(r["timestamp"].day, r["node"], r["price"]) for r in got] == [(1, "A", 1.0), (2, "B", 2.0)]
 
 
 @pytest.mark.parametrize("text", ["nodes:\n  - A\n  - B\n", "A\nB\n", "A,B\n", "nodes: [A, 'B']\n# note\n"])
@@ -74,7 +93,12 @@ def test_load_prices_prunes_years(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "year" in plan and "PushedFilters: [" in plan
     hourly = store.load_prices(spark, root, "ERCOT", "2025-01-01", "2025-01-01 23:45:00", ["A"], "30T")
     assert hourly.count() == 48
-    assert store.load_prices(spark, root, "ERCOT", "2031-01-01", "2031-01-02").count() == 0
+    with pytest.raises(FileNotFoundError, match="2031"):
+        store.load_prices(spark, root, "ERCOT", "2031-01-01", "2031-01-02")
+    assert store.load_prices(spark, root, "ERCOT", "2031-01-01", "2031-01-02", missing="ignore").count() == 0
+    before = spark.read.parquet(f"{root}/tidy").count()
+    store.write_tidy(p.filter("year(timestamp) = 2025"), root, "ERCOT", store.REAL_TIME)  # a rerun doubles nothing
+    assert spark.read.parquet(f"{root}/tidy").count() == before
     assert store.market_for("NYISO", "1H") == store.REAL_TIME and store.market_for("ERCOT", "1H") == store.DAY_AHEAD
 
 
