@@ -26,7 +26,7 @@ from pricepanel.llm.common import OWN
 from pricepanel.session import width
 
 BLOCKS = 512
-SPLIT = 1 / 8
+SPLIT = 1 / 4
 
 
 def size_of(text: str | Column) -> Column:
