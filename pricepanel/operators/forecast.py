@@ -14,7 +14,7 @@ from pricepanel.functions.timegrid import calendar, plus_minutes
 from pricepanel.operators import features as ft
 from pricepanel.operators.ordering import lagged, number_rows, previous
 from pricepanel.operators.panel import regular_grid
-from pricepanel.session import spread
+from pricepanel.session import scratch, spread
 
 COEFFICIENTS = T.StructType(
     [
@@ -482,13 +482,20 @@ def walk_forward(
     first: int = 1344,
     horizon: int = 32,
 ) -> DataFrame:
-    """Forecasts of every model next to the actual price; missing actuals drop out."""
-    grid = gridded(panel)
+    """Forecasts of every model next to the actual price; missing actuals drop out.
+
+    The numbered grid, which every model starts from, is written once to the shared
+    folder: the panel is scanned and numbered once however many models run.
+    """
+    spark = panel.sparkSession
+    grid, path = gridded(panel), scratch(spark, "grid")
+    grid.write.parquet(path)
+    grid = spark.read.schema(grid.schema).parquet(path)
     parts = None
     for name in models:
         f = FORECASTERS[name](grid, first, horizon).withColumn("model", F.lit(name))
         parts = f if parts is None else parts.unionByName(f)
-    actual = panel.select(
+    actual = known(grid).select(
         "node", F.col("timestamp").alias("_ts"), F.col("price").alias("actual")
     )
     return (

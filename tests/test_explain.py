@@ -3,6 +3,7 @@
 from conftest import SMALL
 from pricepanel.operators import dispatch, metrics as mt, panel as op
 from pricepanel.plans import fixtures as fx
+from pricepanel.operators import forecast as fc
 
 
 def plan(df, run=False):
@@ -35,3 +36,17 @@ def test_no_cartesian_products_of_data(spark):
     for df in (mt.vs_oracle(det, "1-URGENT"), mt.relative_summary(det, "1-URGENT"), op.regular_grid(fx.events_panel(spark, SMALL))):
         p = plan(df)
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_walk_forward_scans_the_panel_once(spark):
+    e = fc.walk_forward(fx.events_panel(spark, SMALL), ("last_value", "previous_day", "ewma", "ridge"))
+    assert "events.parquet" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_array_passes_a_node_window(spark):
+    from pricepanel.operators import features as ft
+
+    plan = ft.context_features(fx.events_panel(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Window [" in line and "_day" in line:
+            assert "_x" not in line and "_rows" not in line
