@@ -34,7 +34,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "n_windows")
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query
@@ -109,3 +109,40 @@ gone AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTIN
 SELECT doc_id, count(*) AS n_lines, count(gone.k) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE gone.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN gone USING (k) GROUP BY doc_id"""
+
+# Windows of an item's length at every place of a document that shares a shingle with the item.
+SQL["op2_decontaminate"] = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, len(w) - 4 AS m, i, array_to_string(w[i:i + 4], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT item_id, k, s, count(*) AS n FROM (
+         SELECT item_id, len(w) - 4 AS k, array_to_string(w[i:i + 4], ' ') AS s
+         FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)) GROUP BY 1, 2, 3),
+hit AS (SELECT doc_id, item_id, m, k, n, s, unnest(generate_series(greatest(1, i - k + 1), least(i, greatest(m - k + 1, 1)))) AS a
+        FROM ds JOIN bs USING (s)),
+win AS (SELECT doc_id, item_id, m, k, a, s, least(count(*), any_value(n)) AS shared FROM hit GROUP BY 1, 2, 3, 4, 5, 6),
+sim AS (SELECT doc_id, item_id, sum(shared) / (least(m, k) + k - sum(shared)) AS similarity FROM win GROUP BY doc_id, item_id, m, k, a)
+SELECT doc_id, item_id, round(max(similarity)::DOUBLE, 6) AS similarity FROM sim WHERE similarity >= 0.8 GROUP BY 1, 2"""
+
+SQL["op3_near_vectors"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.b FROM reach JOIN links ON links.a = reach.r),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(r) AS component_id, vec_id = min(r) AS kept
+FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id"""
+
+SQL["op9_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT doc_id, s, count(*) AS n FROM s GROUP BY 1, 2),
+t AS (SELECT doc_id, count(*) AS t FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+near AS (SELECT a, b FROM pairs JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE shared / (x.t + y.t - shared) >= 0.8),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.r)
+SELECT doc_id, min(r) AS component_id, doc_id = min(r) AS kept FROM reach GROUP BY doc_id"""

@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
+from compare import difference, oracle
 from conftest import SMALL
 from pricepanel.llm import components, decontaminate, minhash, neardup_vectors, queries, reshard, substrings
 from pyspark.sql import functions as F
@@ -85,6 +86,12 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("name", ["op2_decontaminate", "op3_near_vectors", "op9_minhash"])
+def test_pair_queries_against_sql(spark, name):
+    got = queries.QUERIES[name](spark, SMALL).toPandas()
+    assert difference(got, oracle(SMALL).execute(queries.SQL[name]).df()) is None
+
+
 def test_multi_index_holds_every_print_within_the_radius():
     rng = np.random.default_rng(3)
     for _ in range(2000):
