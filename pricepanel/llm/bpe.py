@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pricepanel.llm.common import record, slices
 
 SHORT = 64
-CACHE = 600_000
+CACHE = 300_000
 NONE = np.int32(2**31 - 1)
 
 # What separates chunks: the white space of the tokenizers library. str.split()
