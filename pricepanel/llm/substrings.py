@@ -18,9 +18,9 @@ the input.
    occurrences is repeated.
 3. Merging. A shard beyond ``ARRAY_BYTES`` has several suffix arrays; the classes of
    one are looked up in the others by binary search and their numbers are added.
-4. Grams with very many different pieces, which would not fit into a shard, are
-   resolved window by window: equal windows are counted by 128-bit digest, combined
-   before the shuffle.
+4. Grams with very many different pieces, which would not fit into a shard, have
+   their pieces cut to fewer windows, which meet under the bytes that all windows of
+   a cut share, and again where those are still too many, down to single windows.
 
 Null and empty texts have no bytes. Rows are told apart by id and text; rows equal in
 both are copies of each other, and both go. Nothing depends on how rows are dealt out.
@@ -44,6 +44,7 @@ GRAM = 32
 ARRAY_BYTES = 2 << 20
 SHARD_BYTES = 1 << 20
 HOT_PIECES = 1_000
+CUTS = (32, 4, 1)
 
 U = np.uint64
 
@@ -311,20 +312,63 @@ def _by_shards(texts: DataFrame, shards: int, length: int) -> DataFrame:
     return texts.withColumn("shard", shard).repartition(width(texts.sparkSession), "shard").groupBy("shard").applyInPandas(run, _RUNS)
 
 
-def _by_windows(texts: DataFrame, length: int) -> DataFrame:
-    schema = pa.schema([("gram", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("copies", pa.int64()), ("first", pa.int32()), ("w", pa.binary())])
+_SUB = "gram bigint, hi bigint, lo bigint, copies bigint, start int, key bigint, khi bigint, klo bigint, spot int, body binary"
+_SUB_SCHEMA = pa.schema(
+    [("gram", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("copies", pa.int64()), ("start", pa.int32()), ("key", pa.int64()),
+     ("khi", pa.int64()), ("klo", pa.int64()), ("spot", pa.int32()), ("body", pa.binary())]
+)
+
+
+def _split(texts: DataFrame, step: int, length: int) -> DataFrame:
+    """Cuts pieces to ``step`` windows each. A window's distance to its gram depends
+    on its bytes alone, so equal windows fall into equal cuts; all windows of a cut
+    share the bytes in its middle, whose digest is the key they meet under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        for batch in slices(batches):
+            made = []
             for r in batch.to_pylist():
-                t = r["text"]
-                n = len(t) - length + 1
-                digests = [hashlib.blake2b(t[i : i + length], digest_size=16).digest() for i in range(n)]
-                yield record(schema, [[r[k]] * n for k in (*_NAME, "copies")] + [np.arange(n, dtype=np.int32), digests])
+                t, spot = r["text"], r["spot"]
+                if spot is None:
+                    h = gram_hashes(np.frombuffer(t, np.uint8)).view(np.int64)
+                    spot = int(np.argmax(h == r["gram"]))
+                o, n = 0, len(t) - length + 1
+                while o < n:
+                    cut = (spot - o) // step
+                    past = min(n, spot - cut * step + 1)
+                    body = t[o : past - 1 + length]
+                    last = spot - cut * step  # where the cut's last window would start
+                    core = t[last : last - step + 1 + length]
+                    key = np.frombuffer(hashlib.blake2b(core, digest_size=8).digest(), "<i8")[0]
+                    two = np.frombuffer(hashlib.blake2b(body, digest_size=16).digest(), "<i8")
+                    made.append((r["gram"], r["hi"], r["lo"], r["copies"], o, int(key), int(two[0]), int(two[1]), spot - o, body))
+                    o = past
+            if made:
+                yield record(_SUB_SCHEMA, [list(x) for x in zip(*made)])
+
+    return texts.select(*_NAME, "copies", "spot", "text").mapInArrow(run, _SUB)
 
-    each = texts.dropDuplicates(_NAME).mapInArrow(run, "gram bigint, hi bigint, lo bigint, copies bigint, first int, w binary")
-    many = each.groupBy("w").agg(F.sum("copies").alias("total")).filter("total >= 2").select("w")
-    return each.join(many, "w", "left_semi").select(*_NAME, "first", (F.col("first") + 1).alias("past"))
+
+def _by_cuts(texts: DataFrame, steps: tuple[int, ...], shards: int, length: int) -> DataFrame:
+    """Runs of pieces whose gram has very many of them: the pieces are cut finer, and
+    what still has too many under a key is cut again, down to single windows, which
+    are equal or not."""
+    sub = stored(_split(texts, steps[0], length), "cuts")
+    name = ["key", "khi", "klo"]
+    one = stored(
+        sub.groupBy(*name).agg(F.sum("copies").alias("copies"), F.first("spot").alias("spot"), F.first("body").alias("text")), "cut-texts"
+    )
+    kinds = one.groupBy("key").agg(F.count("*").alias("kinds"))
+    known = one.join(kinds, "key").withColumnsRenamed({"key": "gram", "khi": "hi", "klo": "lo"})
+    same = known.filter("copies > 1").select(*_NAME, F.lit(0).alias("first"), (F.length("text") - length + 1).alias("past"))
+    few = known.filter((F.col("kinds") > 1) & (F.col("kinds") <= HOT_PIECES))
+    runs = same.unionByName(_by_shards(few, shards, length))
+    if len(steps) > 1:
+        runs = runs.unionByName(_by_cuts(known.filter(F.col("kinds") > HOT_PIECES), steps[1:], shards, length))
+    runs = runs.withColumnsRenamed({"gram": "key", "hi": "khi", "lo": "klo"})
+    return sub.join(runs, name).select(
+        *_NAME, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("past")).alias("past")
+    )
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -348,8 +392,12 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     volume = several.agg(F.sum(F.col("n") + length - 1)).head()[0] or 0
     texts = _piece_texts(rows, several.select("id", "th", "at", "n", *_NAME, "copies", "hot"), length)
     texts = stored(texts, "piece-texts")
-    runs = same.unionByName(_by_shards(texts.filter("not hot"), max(1, -(-volume // SHARD_BYTES)), length))
-    runs = stored(runs.unionByName(_by_windows(texts.filter("hot"), length)), "runs")
+    shards = max(1, -(-volume // SHARD_BYTES))
+    runs = same.unionByName(_by_shards(texts.filter("not hot"), shards, length))
+    hot = texts.filter("hot").dropDuplicates(_NAME).withColumn("spot", F.lit(None).cast("int"))
+    if several.filter("hot").limit(1).count():
+        runs = runs.unionByName(_by_cuts(hot, CUTS, shards, length))
+    runs = stored(runs, "runs")
     spans = found.join(runs, _NAME).groupBy("id", "th").agg(
         F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("past") - 1 + length).alias("z"))).alias("spans")
     )
