@@ -16,6 +16,12 @@ documents and not with the square of a group; sorting is a range partition, whic
 splits a hot bucket. Candidates are then held against the exact weighted similarity,
 and groups are the connected components of what holds.
 
+Where a candidate fails, its bucket holds several groups, and a pair of two of them may
+lie in it that was no candidate. All documents of such groups are joined by the prefix
+rule, which is exact: of the shingles that several groups have, rarest first, two
+similar documents share one among their first few. What it finds is verified too, and
+the components are taken over both.
+
 Documents of equal word lists meet as one candidate. Null and empty texts and texts
 of white space have no shingle: they form no group, and each is its own class. So
 are documents without an id. Rows that share an id are versions of one document: a
@@ -223,6 +229,57 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _needed(share: float, n: str) -> str:
+    """The least whole number that is ``share`` of ``n``; rounding never raises it."""
+    return f"CAST(ceil({share!r} * {n} - 1e-6) AS INT)"
+
+
+def unlinked(pairs: DataFrame, parts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, c) of all documents of the groups ``c`` that failed candidates touch.
+
+    Of two documents of a bucket that are in different groups one isn't in the group of
+    the bucket's first document, with which both were candidates. So both their groups
+    are among these.
+    """
+    a, b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    mixed = named.filter("ca <> cb").select(F.explode(F.array("ca", "cb")).alias("c")).distinct()
+    groups = nodes.distinct().join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
+    return groups.join(mixed, "c", "left_semi").select("node", "c")
+
+
+def prefix_pairs(rest: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b), a < b, of different groups: all of similarity ``least`` or more, and some others.
+
+    Similar documents share ``least`` of the larger one's strips and 2 least / (1 + least)
+    of the smaller one's. Strips of a single group are shared with no other, so they are
+    put first and only counted.
+    """
+    out = pa.schema([("node", pa.int64()), ("c", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("hs", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in slices(batches):
+            found = [strips(shingles(words_of(t), hashes)).view(np.int64) for t in batch.column(3).to_pylist()]
+            sizes = np.array([len(x) for x in found], np.int32)
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found)))
+            yield record(out, [batch.column(0), batch.column(1), batch.column(2), sizes, lists])
+
+    rows = rest.join(texts, "node").filter("t IS NOT NULL").select("node", "c", F.xxhash64("t").alias("v"), "t")
+    held = stored(rows.mapInArrow(run, "node bigint, c bigint, v bigint, n int, hs array<bigint>"), "strips")
+    each = held.select("node", "c", "v", "n", F.explode("hs").alias("h"))
+    among = each.groupBy("h").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high"))
+    several = stored(among.filter("low <> high").select("h", "often"), "several")
+    ranked = each.join(several, "h").groupBy("node", "c", "v", "n").agg(F.array_sort(F.collect_set(F.struct("often", "h"))).alias("s"))
+    cut = lambda share: F.expr(f"explode(slice(s.h, 1, greatest(0, size(s) - {_needed(share, 'n')} + 1)))").alias("h")
+    ranked = stored(ranked.filter(f"size(s) >= {_needed(least, 'n')}"), "ranked")
+    large = ranked.select(F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), cut(least))
+    small = ranked.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), cut(2 * least / (1 + least)))
+    met = large.join(small, "h").filter(f"ca <> cb AND nb <= na AND nb >= {_needed(least, 'na')}")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component) per distinct id of a document with a word; the component is the
     smallest id of its group."""
@@ -231,10 +288,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     texts = stored(signed.groupBy("hi", "lo").agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "texts")
     rows = texts.select("node", F.posexplode("bands").alias("band", "bucket"))
     own = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("t"))
-    edges = stored(verified(candidates(rows), own), "near")
+    pairs = stored(candidates(rows), "candidates")
+    edges = stored(verified(pairs, own), "near")
+    parts = components(edges)
+    rest = stored(unlinked(pairs, parts, texts.select("node")), "unlinked")
+    if rest.limit(1).count():
+        more = stored(verified(prefix_pairs(rest, own), own), "more")
+        if more.limit(1).count():
+            parts = components(edges.unionByName(more))
     # Versions of a repeated id are tied through the node of each version's copies.
     tied = signed.join(texts.select("hi", "lo", "node"), ["hi", "lo"]).select("id", "node")
-    parts = components(edges)
     return (
         tied.join(parts, "node", "left")
         .groupBy("id")

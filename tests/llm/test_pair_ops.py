@@ -127,6 +127,25 @@ def test_near_documents_against_all_pairs(spark):
     assert minhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_near_documents_among_a_template(spark):
+    # 0.75 alike through the template, the planted pairs 0.82; their ids lie far apart in every bucket.
+    template, texts = words(200), []
+    for k in range(600):
+        w = list(template)
+        w[40:45] = texts[-1][40:45] if k < 120 and k % 2 else words(5)
+        w[110:125] = words(15)
+        texts.append(w)
+    ids = np.random.default_rng(31).permutation(len(texts))
+    found = [grams(w) for w in texts]
+    near = [(int(ids[i]), int(ids[i + 1])) for i in range(0, 120, 2)]
+    assert all(jaccard(found[i], found[i + 1]) >= 0.8 for i in range(0, 120, 2))
+    others = [jaccard(found[i], found[j]) for i in range(100, 140) for j in range(140, 400)]
+    assert 0.74 < np.mean(others) and max(others) < 0.8
+    docs = spark.createDataFrame([(int(i), " ".join(w)) for i, w in zip(ids, texts)], "doc_id long, text string")
+    want = groups_of(near, range(len(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in minhash.report(docs).collect()} == want
+
+
 def test_repeated_ids_leave_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A  b c d e f"), (3, "x"), (3, "y"), (4, "y")], "doc_id long, text string")
     assert Counter(r["doc_id"] for r in minhash.keep_first(docs).collect()) == {1: 1, 3: 1}
