@@ -2,9 +2,9 @@
 
 Texts become words (runs of letters and digits, lower-cased) and shingles of five
 words. A window is as many shingles of a document as an item has. A window of
-similarity 0.8 with an item shares a shingle with it, so windows are laid where that
-is so: the shared shingle at the same place in both. Where several neighbouring
-shingles are shared, the first of them lays the window for all. Every window and
+similarity 0.8 with an item holds so many shingles of items of its length that sets of
+less overlap are out of question, in whatever order they stand. Windows are laid at
+every place where that many are, and nowhere else. Every window and
 every item gets a 64-bit SimHash; fingerprints are cut into ``BLOCKS`` blocks, and
 items are indexed under all values of a block within ``NEAR`` bits of theirs. Two
 fingerprints that differ in at most ``RADIUS`` bits differ in at most ``NEAR`` in one
@@ -67,17 +67,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         shingled(benchmark, "text", F.col("item_id").cast("long").alias("item_id")).filter(F.size("hs") > 0).withColumn("print", F.expr(_simhash("hs"))),
         "items",
     )
-    places = items.select(
-        F.posexplode_outer("hs").alias("offset", "h"), F.size("hs").alias("k"), F.col("hs").alias("item")
-    ).select("h", "offset", "k", F.expr("get(item, offset - 1)").alias("before"))
-    # What lays a window is the shingle, its place and the item's length, not the item.
-    places = _sent(stored(places.distinct(), "places"))
-    own = shingled(docs, text, F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
-    laid = (
-        own.select("doc_id", "text_hash", "hs", F.posexplode_outer("hs").alias("pos", "h"))
+    # What lays a window is the shingle and the item's length, not the item.
+    places = _sent(stored(items.select(F.explode_outer("hs").alias("h"), F.size("hs").alias("k")).distinct(), "places"))
+    key = [F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
+    hits = (
+        shingled(docs, text, *key)
+        .select("doc_id", "text_hash", F.size("hs").alias("m"), F.posexplode_outer("hs").alias("pos", "h"))
         .join(places, "h")
-        .filter("before IS NULL OR pos = 0 OR get(hs, pos - 1) <> before")
-        .withColumn("at", F.expr("greatest(0, least(pos - offset, size(hs) - k))"))
+        .groupBy("doc_id", "text_hash", "m", "k")
+        .agg(F.array_sort(F.collect_set("pos")).alias("p"))
+        .withColumn("wide", F.expr("least(m, k)"))
+        # Fewer shingles of items in a window leave it below LEAST; rounding never raises the bound.
+        .withColumn("need", F.expr(f"CAST(greatest(1, ceil({LEAST / (1 + LEAST)!r} * (wide + k) - 1e-6)) AS INT)"))
+    )
+    # From p[i] to p[i + need - 1] there are enough; all windows that cover both are laid.
+    starts = """array_distinct(flatten(transform(sequence(0, size(p) - need), i -> IF(p[i + need - 1] - p[i] < wide,
+        sequence(greatest(0, p[i + need - 1] - wide + 1), least(p[i], m - wide)), CAST(array() AS array<int>)))))"""
+    starts = hits.filter("size(p) >= need").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("th"), "k", F.expr(starts).alias("starts"))
+    starts = stored(starts.filter("size(starts) > 0"), "starts")
+    found = _sent(starts.groupBy("d", "th").agg(F.collect_list(F.struct("k", "starts")).alias("spans")))
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("th"))
+    laid = (
+        shingled(docs.select(doc_id, text).join(found, same), text, "d", "th", "spans")
+        .select(F.col("d").alias("doc_id"), F.col("th").alias("text_hash"), "hs", F.expr("inline(spans)"))
+        .select("doc_id", "text_hash", "hs", "k", F.explode("starts").alias("at"))
         .select("doc_id", "text_hash", "at", "k", F.expr("slice(hs, at + 1, k)").alias("window"))
     )
     windows = stored(

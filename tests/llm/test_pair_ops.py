@@ -86,6 +86,27 @@ def test_leaks_against_all_windows(spark):
     assert decontaminate.leaks(table, bench.limit(0)).count() == 0 and decontaminate.leaks(table.limit(0), bench).count() == 0
 
 
+def test_leaks_of_items_in_another_order(spark):
+    items = [words(n) for n in (60, 100, 120, 200, 7)] + [["again", "and"] * 30 + words(40)]
+    docs = []
+    for w in items:
+        half, quarter = len(w) // 2, len(w) // 4
+        swapped, moved = w[half:] + w[:half], w[quarter : 2 * quarter] + w[:quarter] + w[2 * quarter :]
+        docs += [swapped, words(30) + swapped + words(40), words(9) + moved + words(7), w[half:] + w[:half] + w[half:], words(5) + w[half:], moved[:-3]]
+    want = {}
+    for d, w in enumerate(docs):
+        for k, item in enumerate(items):
+            size = len(item) - 4
+            own, shared = [tuple(w[i : i + 5]) for i in range(len(w) - 4)], grams(item)
+            best = max((jaccard(Counter(own[a : a + size]), shared) for a in range(max(1, len(own) - size + 1))), default=0)
+            if best >= 0.8:
+                want[d, k] = round(best, 9)
+    table = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in decontaminate.leaks(table, bench).collect()}
+    assert got == want and len(want) > 12
+
+
 @pytest.mark.parametrize("name", ["op2_decontaminate", "op3_near_vectors", "op9_minhash"])
 def test_pair_queries_against_sql(spark, name):
     got = queries.QUERIES[name](spark, SMALL).toPandas()
