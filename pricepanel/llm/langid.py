@@ -5,7 +5,7 @@ is compressed with each of them, in blocks, and the dictionary that leaves the
 fewest bytes names the language; both are lower-cased, for texts in capitals. The score is the margin, (second - first) / second
 of the sizes; where it is narrow the text counts as rejected.
 
-Fitting reads a bounded sample: ``PER_LANG`` texts of a language, the first
+Fitting reads a bounded sample: ``PER_LANG`` different texts of a language, the first
 ``CHARS`` characters of each, ``DICT_BYTES`` in all, for the ``MAX_LANGS`` most
 frequent languages. Predictions read whole texts, and nothing but the text.
 
@@ -40,11 +40,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    # Copies count for the frequency of a language, but are drawn as one.
+    texts = known.groupBy("lang", F.xxhash64("text").alias("h")).count()
+    counts = (
+        texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
+        .orderBy(F.desc("rows"), "lang").limit(MAX_LANGS).collect()
+    )
     if not counts:
         return {}
-    # A share of each language by the text's hash, some three times the wanted number; the lowest hashes stay.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * PER_LANG / r["count"]))])
+    # A share of each language's texts by their hash, some three times the wanted number; the lowest hashes stay.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * PER_LANG / r["texts"]))])
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
     first = Window.partitionBy("lang").orderBy("spot", "text")
     rows = (

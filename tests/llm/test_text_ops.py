@@ -102,6 +102,14 @@ def test_language_edge_cases(spark):
     assert langid.fit(spark.createDataFrame([(None, "en"), ("x y", None), ("12", "en")], "text string, lang string")) == {}
 
 
+def test_language_of_many_copies_is_learned(spark):
+    docs = spark.range(30_000).selectExpr("'hot words of one text' AS text", "'xx' AS lang")
+    rest = spark.createDataFrame([(f"other text {i}", lang) for i in range(12) for lang in ("xx", "yy")], "text string, lang string")
+    learned = langid.fit(docs.unionByName(rest))
+    assert sorted(learned) == ["xx", "yy"]
+    assert sorted(learned["xx"].decode().split("\n")) == sorted(["hot words of one text"] + [f"other text {i}" for i in range(12)])
+
+
 def test_keep_known_keeps_columns(spark):
     docs = spark.createDataFrame(
         [(i, ("the red house and the dog " if i % 2 else "das rote haus und der hund ") * 5, "en" if i % 2 else "de", "x") for i in range(60)]
