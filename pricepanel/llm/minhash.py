@@ -47,6 +47,8 @@ LEAST = 0.8
 BANDS, ROWS = 24, 5
 DARTS = BANDS * ROWS
 CACHE = 500_000
+#: Strips before a shared one that are looked at for an earlier meeting.
+BEFORE = 8
 
 U = np.uint64
 _MULTIPLY = [U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -272,11 +274,17 @@ def prefix_pairs(rest: DataFrame, texts: DataFrame, least: float = LEAST) -> Dat
     among = each.groupBy("h").agg(F.count("*").alias("often"), F.min("c").alias("low"), F.max("c").alias("high"))
     several = stored(among.filter("low <> high").select("h", "often"), "several")
     ranked = each.join(several, "h").groupBy("node", "c", "v", "n").agg(F.array_sort(F.collect_set(F.struct("often", "h"))).alias("s"))
-    cut = lambda share: F.expr(f"explode(slice(s.h, 1, greatest(0, size(s) - {_needed(share, 'n')} + 1)))").alias("h")
+    # With each strip the few before it: where two documents share one of those, they have met already.
+    cut = lambda share: F.expr(
+        f"""inline(transform(slice(s.h, 1, greatest(0, size(s) - {_needed(share, 'n')} + 1)),
+            (h, i) -> struct(i, h, slice(s.h, greatest(1, i - {BEFORE - 1}), least(i, {BEFORE})) AS before)))"""
+    )
     ranked = stored(ranked.filter(f"size(s) >= {_needed(least, 'n')}"), "ranked")
-    large = ranked.select(F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), cut(least))
-    small = ranked.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), cut(2 * least / (1 + least)))
-    met = large.join(small, "h").filter(f"ca <> cb AND nb <= na AND nb >= {_needed(least, 'na')}")
+    large = ranked.select(F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.size("s").alias("ka"), cut(least).alias("i", "h", "a_before"))
+    small = ranked.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.size("s").alias("kb"), cut(2 * least / (1 + least)).alias("j", "h", "b_before"))
+    # From the first shared strip on, the rest of the shorter list bounds what is shared.
+    enough = f"least(ka - i, kb - j) >= {_needed(least / (1 + least), '(na + nb)')} AND NOT arrays_overlap(a_before, b_before)"
+    met = large.join(small, "h").filter(f"ca <> cb AND nb <= na AND nb >= {_needed(least, 'na')} AND {enough}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
