@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, pii, reshard, substrings, tokenfile
+from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, periodic, pii, reshard, substrings, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -96,6 +96,12 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(docs, vocabulary()).drop("text")
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digests(periodic.planted(docs)).drop("text")
+
+
 SQL["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line
