@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, decontaminate, langid, linededup, minhash, neardup_vectors, periodic, pii, reshard, substrings, tokenfile
+from pricepanel.llm import bpe, decontaminate, divergence, langid, linededup, minhash, neardup_vectors, periodic, pii, reshard, substrings, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -102,6 +102,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.planted(docs)).drop("text")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.Audit(table(spark, sf_dir, "documents"), min_docs=10).report(most=10)
+
+
 SQL["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line
@@ -152,3 +157,26 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS shared FR
 near AS (SELECT a, b FROM pairs JOIN t x ON x.doc_id = a JOIN t y ON y.doc_id = b WHERE shared / (x.t + y.t - shared) >= 0.8),
 reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, near.b FROM reach JOIN near ON near.a = reach.r)
 SELECT doc_id, min(r) AS component_id, doc_id = min(r) AS kept FROM reach GROUP BY doc_id"""
+
+SQL["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+       regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n_all FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 2)) // (n + 2 * v) AS p,
+             1 + (1000000000::HUGEINT * (total + 2)) // (n_all + 2 * v) AS q
+      FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS f
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+QUALIFY part = 'pair' OR rank <= 10"""
