@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pricepanel.llm import bpe, decontaminate, divergence, langid, linededup, minhash, neardup_vectors, periodic, pii, reshard, substrings, tokenfile
+from pricepanel.llm import bpe, decontaminate, divergence, langid, linededup, lm, minhash, neardup_vectors, periodic, pii, reshard, substrings, tokenfile
 from pricepanel.llm.common import table
 from pricepanel.session import scratch
 
@@ -107,6 +107,14 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.Audit(table(spark, sf_dir, "documents"), min_docs=10).report(most=10)
 
 
+@query
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    trained = lm.Trained(docs.filter(~F.col("held_out")), public_tokenizers.path("byte_bpe_50k.json"))
+    return lm.score(docs, trained)
+
+
 SQL["op8_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS n, unnest(l) AS line
