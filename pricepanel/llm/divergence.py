@@ -29,20 +29,22 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricepanel.llm.common import OWN, record, slices, stored
 from pricepanel.session import width
 
-BLOCK = 400_000  # postings held in memory
-SEGMENT = 1_000  # postings of a row of a run
+BLOCK = 2_000_000  # occurrences of terms held in memory
+SEGMENT = 1_000  # terms of a row of a run
+TOGETHER = 200_000  # postings merged in one step
 SUMS = 1_000_000  # corrections held in memory
-CELLS = 1 << 20  # pairs of sources handled in one step
 UNIT = 1_000_000_000
 
 _FOLD = bytes(
@@ -54,113 +56,184 @@ def terms(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_FOLD).split()
 
 
+def _lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of sorted keys begins."""
+    changed = np.zeros(len(keys[0]), bool)
+    changed[:1] = True
+    for k in keys:
+        changed[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(changed)
+
+
 _RUNS = pa.schema(
-    [("lang", pa.string()), ("shard", pa.int32()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-     ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))]
+    [("lang", pa.string()), ("shard", pa.int32()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())), ("docs", pa.list_(pa.int64())),
+     ("fan", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
 )
+RUNS = (
+    "lang string, shard int, first binary, terms array<binary>, docs array<bigint>, fan array<bigint>, "
+    "sources array<string>, counts array<bigint>"
+)
 
 
-def _spilled(held: dict, shards: int) -> Iterator[pa.RecordBatch]:
-    """The postings of a block, by language and shard, sorted by term and source."""
-    by_lang: dict[str, list] = {}
-    for (lang, source), (counts, docs) in held.items():
-        by_lang.setdefault(lang, []).extend(zip(counts, [source] * len(counts), counts.values(), map(docs.__getitem__, counts)))
-    for lang, postings in by_lang.items():
-        postings.sort()
-        dealt: list[list] = [[] for _ in range(shards)]
-        for p in postings:
-            dealt[zlib.crc32(p[0]) % shards].append(p)
-        rows = [(s, part[a : a + SEGMENT]) for s, part in enumerate(dealt) for a in range(0, len(part), SEGMENT)]
-        for a in range(0, len(rows), 64):
-            some = rows[a : a + 64]
-            cols = [list(zip(*part)) for _, part in some]
-            yield record(
-                _RUNS,
-                [[lang] * len(some), [s for s, _ in some], [part[0][0] for _, part in some], *([c[i] for c in cols] for i in range(4))],
-            )
+class _Block:
+    """Documents in memory, as numbers of groups and arrays of terms."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.owner: list[int] = []
+        self.sizes: list[int] = []
+        self.words: list[pa.Array] = []
+        self.held = 0
+
+    def add(self, langs: list[str], sources: list[str], texts: list) -> None:
+        found = [terms(t) for t in texts]
+        self.owner += [self.groups.setdefault(g, len(self.groups)) for g in zip(langs, sources)]
+        self.sizes += map(len, found)
+        self.words.append(pa.array([w for f in found for w in f], pa.binary()))
+        self.held += len(self.words[-1])
+
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The postings, dealt by language and shard, sorted by term and source."""
+        if not self.held:
+            return
+        coded = pa.chunked_array(self.words).dictionary_encode().combine_chunks()
+        order = pc.sort_indices(coded.dictionary)
+        names = coded.dictionary.take(order)
+        rank = np.empty(len(names), np.int64)
+        rank[order.to_numpy()] = np.arange(len(names))
+        term = rank[coded.indices.to_numpy()]
+        shard_of = np.fromiter((zlib.crc32(t) % shards for t in names.to_pylist()), np.int64, len(names))
+        of_lang: dict[str, int] = {}
+        lang_of = np.array([of_lang.setdefault(lang, len(of_lang)) for lang, _ in self.groups])
+        langs, sources = pa.array(list(of_lang)), pa.array([s for _, s in self.groups], pa.string())
+        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        owner = np.array(self.owner)
+
+        posting, count = np.unique(owner[doc] * len(names) + term, return_counts=True)
+        group, term_of = np.divmod(posting, len(names))
+        once = np.unique(doc * len(names) + term)
+        holder, docs = np.unique(lang_of[owner[once // len(names)]] * len(names) + once % len(names), return_counts=True)
+
+        lang, shard = lang_of[group], shard_of[term_of]
+        at = np.lexsort((group, term_of, shard, lang))
+        group, term_of, lang, shard, count = group[at], term_of[at], lang[at], shard[at], count[at]
+        first = _starts(lang, term_of)  # of each term's postings
+        bounds = np.append(first, len(term_of))
+        place = _starts(lang[first], shard[first])
+        sizes = np.diff(np.append(place, len(first)))
+        # Rows begin with each shard, and after every SEGMENT terms of it.
+        rows = np.concatenate([np.arange(a, a + n, SEGMENT) for a, n in zip(place.tolist(), sizes.tolist())])
+        ends = np.append(rows, len(first))
+        whole = pa.RecordBatch.from_arrays(
+            [
+                langs.take(pa.array(lang[first[rows]])),
+                pa.array(shard[first[rows]], pa.int32()),
+                names.take(pa.array(term_of[first[rows]])),
+                _lists(names.take(pa.array(term_of[first])), ends),
+                _lists(pa.array(docs[np.searchsorted(holder, lang[first] * len(names) + term_of[first])], pa.int64()), ends),
+                _lists(pa.array(np.diff(bounds), pa.int64()), ends),
+                _lists(sources.take(pa.array(group)), bounds[ends]),
+                _lists(pa.array(count, pa.int64()), bounds[ends]),
+            ],
+            schema=_RUNS,
+        )
+        yield from slices([whole], 64)
 
 
 def _index(docs: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
-        size = 0
+        block = _Block()
         for batch in slices(batches):
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                counts, seen = held.setdefault((lang, source), (Counter(), Counter()))
-                words = terms(text)
-                size -= len(counts)
-                counts.update(words)
-                seen.update(set(words))
-                size += len(counts)
-                if size > BLOCK:
-                    yield from _spilled(held, shards)
-                    held, size = {}, 0
-        yield from _spilled(held, shards)
-
-    kinds = "lang string, shard int, first binary, terms array<binary>, sources array<string>, counts array<bigint>, docs array<bigint>"
-    return docs.mapInArrow(run, kinds)
+            block.add(*(c.to_pylist() for c in batch.columns))
+            if block.held > BLOCK:
+                yield from block.run(shards)
+                block = _Block()
+        yield from block.run(shards)
+
+    return docs.mapInArrow(run, RUNS)
 
 
 _MERGED = pa.schema(
-    [("lang", pa.string()), ("term", pa.string()), ("n_docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
+    [("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]
 )
 
 
-def _merge(runs: DataFrame, min_docs: int) -> DataFrame:
-    def popped(heap: list, before: bytes | None) -> Iterator[tuple]:
-        """Postings in order of term and source, up to the terms before ``before``."""
-        while heap and (before is None or heap[0][0] < before):
-            term, source, count, docs, at, rest = heap[0]
-            yield term, source, count, docs
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (*following, at, rest))
+class _Shard:
+    """A heap of run segments, by the first term that is not merged yet."""
+
+    def __init__(self, min_docs: int):
+        self.min_docs, self.heap, self.held, self.seen = min_docs, [], 0, 0
+
+    def push(self, names: list[bytes], docs: np.ndarray, fan: np.ndarray, sources: pa.Array, counts: np.ndarray) -> None:
+        segment = (names, docs, np.concatenate([[0], np.cumsum(fan)]), sources, counts)
+        self.seen += 1
+        heapq.heappush(self.heap, (names[0], self.seen, 0, segment))
+        self.held += len(counts)
+
+    def merge(self, lang: str, before: bytes | None) -> Iterator[pa.RecordBatch]:
+        """The kept terms ahead of ``before``, which no later segment holds."""
+        names, docs, fans, sources, counts = [], [], [], [], []
+        while self.heap and (before is None or self.heap[0][0] < before):
+            _, seen, a, segment = heapq.heappop(self.heap)
+            b = len(segment[0]) if before is None else bisect_left(segment[0], before, a)
+            if b < len(segment[0]):
+                heapq.heappush(self.heap, (segment[0][b], seen, b, segment))
+            x, y = segment[2][a], segment[2][b]
+            names += segment[0][a:b]
+            docs.append(segment[1][a:b])
+            fans.append(np.diff(segment[2][a : b + 1]))
+            sources.append(segment[3].slice(x, y - x))
+            counts.append(segment[4][x:y])
+            self.held -= int(y - x)
+        if not names:
+            return
+        coded = pa.array(names, pa.binary()).dictionary_encode()
+        code = coded.indices.to_numpy()
+        held = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(held, code, np.concatenate(docs))
+        kept = held >= self.min_docs
+        if not kept.any():
+            return
+        term = np.repeat(code, np.concatenate(fans))
+        use = kept[term]
+        source = pa.concat_arrays(sources).dictionary_encode()
+        key = term[use].astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()[use]
+        order = np.argsort(key, kind="stable")
+        key, count = key[order], np.concatenate(counts)[use][order]
+        first = _starts(key)
+        total, key = np.add.reduceat(count, first), key[first]
+        term, which = np.divmod(key, len(source.dictionary))
+        begin = _starts(term)
+        ends = np.append(begin, len(term))
+        words = coded.dictionary.take(pa.array(term[begin])).cast(pa.string())
+        spread = _lists(source.dictionary.take(pa.array(which)), ends)
+        whole = pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(words), pa.string()), words, spread, _lists(pa.array(total, pa.int64()), ends)], schema=_MERGED
+        )
+        yield from slices([whole], 5_000)
 
+
+def _merge(runs: DataFrame, min_docs: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap: list = []
-        done: list[list] = [[], [], [], [], []]
-        now: list = [None, None]  # language and shard
-        current: bytes | None = None
-        sources: dict[str, int] = {}
-        held = at = 0
-
-        def closed() -> None:
-            if current is not None and held >= min_docs:
-                for column, value in zip(done, (now[0], current.decode(), held, list(sources), list(sources.values()))):
-                    column.append(value)
-
-        def merge(before: bytes | None) -> None:
-            nonlocal current, sources, held
-            for term, source, count, docs in popped(heap, before):
-                if term != current:
-                    closed()
-                    current, sources, held = term, {}, 0
-                sources[source] = sources.get(source, 0) + count
-                held += docs
-            if before is None:
-                closed()
-                current = None
-
-        for batch in batches:
-            for lang, shard, first, *columns in zip(*(c.to_pylist() for c in batch.columns)):
-                if [lang, shard] != now:
-                    merge(None)
-                    now = [lang, shard]
-                merge(first)
-                rest = zip(*columns)
-                heapq.heappush(heap, (*next(rest), at, rest))
-                at += 1
-                if len(done[0]) > 5_000:
-                    yield record(_MERGED, done)
-                    done = [[], [], [], [], []]
-        merge(None)
-        if done[0]:
-            yield record(_MERGED, done)
+        shard, now = _Shard(min_docs), (None, None)
+        for batch in slices(batches, 16):
+            langs, shards, firsts, *lists = batch.columns
+            for i, at in enumerate(zip(langs.to_pylist(), shards.to_pylist())):
+                if at != now:
+                    yield from shard.merge(now[0], None)
+                    now = at
+                elif shard.held > TOGETHER:
+                    yield from shard.merge(now[0], firsts[i].as_py())
+                names, docs, fan, sources, counts = (c[i].values for c in lists)
+                shard.push(names.to_pylist(), docs.to_numpy(), fan.to_numpy(), sources, counts.to_numpy())
+        yield from shard.merge(now[0], None)
 
     dealt = runs.repartition(width(runs.sparkSession), "lang", "shard").sortWithinPartitions("lang", "shard", "first")
-    return dealt.mapInArrow(run, "lang string, term string, n_docs bigint, sources array<string>, counts array<bigint>")
+    return dealt.mapInArrow(run, "lang string, term string, sources array<string>, counts array<bigint>")
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -180,7 +253,7 @@ class Audit:
         spark = docs.sparkSession
         empty = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
         plain = docs.select(empty(lang, "lang"), empty(source, "source"), F.col(text).alias("text"))
-        #: lang, term, n_docs, sources, counts; one row per kept term.
+        #: lang, term, sources, counts; one row per kept term.
         self.kept = stored(_merge(_index(plain, width(spark)), min_docs), "kept")
         by_lang = self.kept.groupBy("lang").agg(F.count("*").alias("v"))
         counted = (
@@ -242,18 +315,32 @@ class Audit:
         def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
             return (p - q) ** 2 // (p + q)
 
+        def corrections(starts: np.ndarray, group: np.ndarray, p: np.ndarray, z: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Of all pairs of rows of one term: rows 1, 2, ... places apart."""
+            ends = np.repeat(np.append(starts[1:], len(group)), np.diff(np.append(starts, len(group))))
+            i, ahead = np.arange(len(group)), 0
+            while True:
+                ahead += 1
+                i = i[i + ahead < ends[i]]
+                if not len(i):
+                    return
+                j = i + ahead
+                value = apart(p[i], p[j]) - apart(p[i], z[j]) - apart(z[i], p[j]) + apart(z[i], z[j])
+                low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
+                yield low << 32 | high, value  # a pair has one code, the smaller number first
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names: dict[tuple[str, str], int] = {}
             codes: list[np.ndarray] = []
             sums: list[np.ndarray] = []
-            size = 0
+            size, left = 0, None
 
             def added() -> tuple[np.ndarray, np.ndarray]:
                 code, value = np.concatenate(codes), np.concatenate(sums)
                 order = np.argsort(code, kind="stable")
-                code, value = code[order], value[order]
-                first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-                return code[first], np.add.reduceat(value, first)
+                code = code[order]
+                first = _starts(code)
+                return code[first], np.add.reduceat(value[order], first)
 
             def written(code: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
                 known = list(names)
@@ -262,40 +349,42 @@ class Audit:
                     pairs = [(x, y) if x[1].encode() < y[1].encode() else (y, x) for x, y in pairs]
                     yield record(schema, [[x[0] for x, _ in pairs], [x[1] for x, _ in pairs], [y[1] for _, y in pairs], value[a : a + 20_000]])
 
-            def corrected(lang: str, group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                ids = np.array([names.setdefault((lang, s), len(names)) for s, _, _ in group], np.int64)
-                order = np.argsort(ids)  # a pair has one code, the smaller number first
-                ids = ids[order]
-                p = np.array([x for _, x, _ in group], np.int64)[order]
-                z = np.array([x for _, _, x in group], np.int64)[order]
-                step = max(1, CELLS // len(ids))
-                for a in range(0, len(ids), step):
-                    i, j = np.triu_indices(min(step, len(ids) - a), 1, len(ids) - a)
-                    i, j = i + a, j + a
-                    value = apart(p[i], p[j]) - apart(p[i], z[j]) - apart(z[i], p[j]) + apart(z[i], z[j])
-                    yield ids[i] << 32 | ids[j], value
-
-            now, group = None, []
-            for batch in batches:
-                for lang, term, source, p, z in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (lang, term) != now:
-                        if len(group) > 1:
-                            for code, value in corrected(now[0], group):
-                                codes.append(code)
-                                sums.append(value)
-                                size += len(code)
-                        now, group = (lang, term), []
-                        if size > SUMS:
-                            codes, sums = ([x] for x in added())
-                            size = len(codes[0])
-                            if size > SUMS // 2:
-                                yield from written(codes[0], sums[0])
-                                codes, sums, size, names = [], [], 0, {}
-                    group.append((source, p, z))
-            if len(group) > 1:
-                for code, value in corrected(now[0], group):
+            def numbered(table: pa.Table) -> np.ndarray:
+                """A number per language and source."""
+                lang, source = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source"))
+                both = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+                some, place = np.unique(both, return_inverse=True)
+                x, y = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+                ids = [names.setdefault((x[k // len(y)], y[k % len(y)]), len(names)) for k in some.tolist()]
+                return np.array(ids, np.int64)[place]
+
+            def terms_of(table: pa.Table) -> np.ndarray:
+                lang, term = (table.column(c).combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "term"))
+                return _starts(lang, term)
+
+            for batch in chain(batches, [None]):
+                parts = [x for x in (left, batch and pa.Table.from_batches([batch])) if x is not None]
+                table = pa.concat_tables(parts) if parts else None
+                if table is None or not table.num_rows:
+                    continue
+                starts = terms_of(table)
+                cut = table.num_rows if batch is None else int(starts[-1])  # the last term may go on
+                left, table = table.slice(cut), table.slice(0, cut)
+                if not table.num_rows:
+                    continue
+                p, z = (table.column(c).to_numpy() for c in ("p", "none"))
+                for code, value in corrections(starts[starts < cut], numbered(table), p, z):
                     codes.append(code)
                     sums.append(value)
+                    size += len(code)
+                    if size > SUMS:
+                        code, value = added()
+                        codes, sums, size = [code], [value], len(code)
+                        if size > SUMS // 2:
+                            yield from written(code, value)
+                            codes, sums, size = [], [], 0
+                if not codes:
+                    names = {}
             if codes:
                 yield from written(*added())
 

@@ -52,13 +52,13 @@ def corpus(rng, n=300, sources=7):
         yield " ".join(rng.choice(use, rng.integers(0, 40))), lang, [None, "", "b", "B", "é", "z", "src1"][s]
 
 
-@pytest.mark.parametrize("block", [400_000, 5])
+@pytest.mark.parametrize("block", [2_000_000, 5])
 def test_equals_plain_version(spark, monkeypatch, block):
     """Also when every block spills at once, segments are short and sums leave often."""
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "SEGMENT", 1_000 if block > 5 else 2)
     monkeypatch.setattr(divergence, "SUMS", 1_000_000 if block > 5 else 3)
-    monkeypatch.setattr(divergence, "CELLS", 1 << 20 if block > 5 else 2)
+    monkeypatch.setattr(divergence, "TOGETHER", 200_000 if block > 5 else 4)
     rows = list(corpus(np.random.default_rng(8)))
     assert made(spark, rows) == plain(rows)
 
