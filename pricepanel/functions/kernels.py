@@ -205,32 +205,52 @@ def ridge_from_moments(
     return my - mx @ beta, beta
 
 
-def calendar_ridge(codes: dict[str, np.ndarray], y: np.ndarray, alpha: float) -> dict:
-    """Fit on one training window given as calendar codes and prices."""
-    n = len(y)
-    x = np.zeros((n, N_CALENDAR))
-    rows = np.arange(n)
-    for name, a in OFFSETS.items():
-        code = np.asarray(codes[name])
-        on = code > 0
-        x[rows[on], a + code[on] - 1] = 1.0
-    y = np.asarray(y, dtype=float)
-    return spread_coefficients(
-        *ridge_from_moments(n, x.sum(0), y.sum(), x.T @ x, x.T @ y, alpha)
-    )
-
-
-def calendar_ridge_from_gram(cells, alpha: float) -> dict:
-    """Fit from summed cells ``(i, j, count, sum of prices)``; index 0 is the intercept."""
+def window_grams(
+    codes: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Normal equations of many overlapping windows of one run of rows.
+
+    ``codes`` has one column per calendar family, ``y`` the prices; window f covers
+    rows ``starts[f]:ends[f]``. Rows are summed once, between the borders of windows;
+    prefix sums over these stretches give each window as a difference of two.
+    Returns ``(gram, right)``, index 0 being the intercept.
+    """
+    size = N_CALENDAR + 1
+    borders, place = np.unique(np.concatenate([starts, ends]), return_inverse=True)
+    rows = np.arange(borders[0], borders[-1])
+    stretch = np.searchsorted(borders, rows, side="right")  # stretch s lies before border s
+    active = np.concatenate([np.zeros((len(rows), 1), int), codes[rows] + list(OFFSETS.values())], axis=1)
+    on = np.concatenate([np.ones((len(rows), 1), bool), codes[rows] > 0], axis=1)
+    gram, right = np.zeros((len(borders), size, size)), np.zeros((len(borders), size))
+    for i in range(active.shape[1]):
+        np.add.at(right, (stretch[on[:, i]], active[on[:, i], i]), y[rows[on[:, i]]])
+        for j in range(active.shape[1]):
+            both = on[:, i] & on[:, j]
+            np.add.at(gram, (stretch[both], active[both, i], active[both, j]), 1.0)
+    gram, right = gram.cumsum(axis=0), right.cumsum(axis=0)
+    first, last = place[: len(starts)], place[len(starts) :]
+    return gram[last] - gram[first], right[last] - right[first]
+
+
+def solve_grams(gram: np.ndarray, right: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Intercepts and coefficients of a stack of normal equations; the intercept is
+    not penalised."""
+    n, sx, sy = gram[:, 0, 0], gram[:, 0, 1:], right[:, 0]
+    mx, my = sx / n[:, None], sy / n
+    centred = gram[:, 1:, 1:] - n[:, None, None] * mx[:, :, None] * mx[:, None, :] + alpha * np.eye(sx.shape[1])
+    beta = np.linalg.solve(centred, (right[:, 1:] - n[:, None] * mx * my[:, None])[..., None])[..., 0]
+    return my - (mx * beta).sum(1), beta
+
+
+def gram_of_cells(cells) -> tuple[np.ndarray, np.ndarray]:
+    """Dense normal equations from cells ``(i, j, count, sum of prices)``, ``i <= j``."""
     size = N_CALENDAR + 1
     gram, right = np.zeros((size, size)), np.zeros(size)
     for c in cells:
         gram[c["i"], c["j"]] = gram[c["j"], c["i"]] = c["cnt"]
         if c["i"] == c["j"]:
             right[c["i"]] = c["total"]
-    return spread_coefficients(
-        *ridge_from_moments(gram[0, 0], gram[0, 1:], right[0], gram[1:, 1:], right[1:], alpha)
-    )
+    return gram, right
 
 
 def choose_alpha(blocks: list[np.ndarray], alphas: list[float]) -> dict:
@@ -266,6 +286,44 @@ def choose_alpha(blocks: list[np.ndarray], alphas: list[float]) -> dict:
     }
 
 
+def lag_responses(weights: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The recurrence ``y_h = u_h + weights . (y_h-1, y_h-2, ...)`` solved for all steps.
+
+    Returns ``(start, push)`` with ``y = start @ (y_0, y_-1, ...) + push @ u``: row h of
+    ``start`` is the first row of the h-th power of the companion matrix, and ``push``
+    holds the responses to a unit input, constant along diagonals.
+    """
+    k = len(weights)
+    companion = np.eye(k, k=-1)
+    companion[0] = weights
+    powers = np.empty((steps + 1, k))
+    powers[0] = np.eye(k)[0]
+    for h in range(steps):
+        powers[h + 1] = powers[h] @ companion
+    back = np.arange(steps)[:, None] - np.arange(steps)
+    return powers[1:], np.where(back >= 0, powers[np.maximum(back, 0), 0], 0.0)
+
+
+def lag_paths(last: list[list[float]], inputs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Forecast paths of many origins: ``last`` has each one's known values, newest
+    first, ``inputs`` what does not depend on prices, per step. Where values lack, the
+    first forecasts are the mean of what there is (0 for nothing)."""
+    k, steps = len(weights), inputs.shape[1]
+    start, push = lag_responses(weights, steps)
+    out = np.empty(inputs.shape)
+    counts = np.array([len(x) for x in last])
+    for n in np.unique(counts).tolist():
+        at = np.flatnonzero(counts == n)
+        known = np.array([last[i] for i in at.tolist()], dtype=float).reshape(len(at), n)
+        mean = known.mean(axis=1, keepdims=True) if n else np.zeros((len(at), 1))
+        lead = min(k - n, steps)
+        state = np.concatenate([np.repeat(mean, k - n, axis=1), known], axis=1)
+        out[at, :lead] = mean
+        rest = steps - lead
+        out[at, lead:] = state @ start[:rest].T + inputs[at, lead:] @ push[:rest, :rest].T
+    return out
+
+
 # --- storage value -------------------------------------------------------------
 
 

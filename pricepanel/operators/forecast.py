@@ -7,12 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricepanel.functions import kernels as kn
 from pricepanel.functions.timegrid import calendar, plus_minutes
 from pricepanel.operators import features as ft
-from pricepanel.operators.ordering import lagged, number_rows, previous
+from pricepanel.operators.ordering import lagged, last_known, number_rows, previous
 from pricepanel.operators.panel import regular_grid
 from pricepanel.session import scratch, spread
 
@@ -60,6 +62,12 @@ class RefitPlan:
             self.last_growth_row + (index - self.last_growth) * (self.every + 1)
         )
 
+    def rows(self, first: int, count: int) -> np.ndarray:
+        """Row numbers of ``count`` refits from index ``first`` on."""
+        index = np.arange(first, first + count)
+        late = self.last_growth_row + (index - self.last_growth) * (self.every + 1)
+        return np.where(index <= self.last_growth, 1 + index * self.step, late)
+
 
 def known(panel: DataFrame) -> DataFrame:
     """Rows with a price: gaps of a regular grid are no training data."""
@@ -72,19 +80,56 @@ def refit_schedule(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame
     return numbered.withColumn("refit_rn", plan.row(F.col("refit")))
 
 
-def training_rows(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame:
-    """Each row with a price once per refit that trains on it."""
-    lo = plan.index(F.col("rn") - 1) + 1
-    hi = plan.index(F.least(F.col("rn") + plan.window - 1, F.col("n")))
-    return (
+#: Refits that one task's group holds: their windows share nearly all rows.
+TOGETHER = 64
+
+
+def _window_systems(panel: DataFrame, plan: RefitPlan, schema: T.StructType, made: Callable) -> DataFrame:
+    """Calls ``made(node, refits, gram, right)`` for stretches of ``TOGETHER`` refits.
+
+    A row goes to the stretches whose windows it is in: one, or two where the window of
+    a stretch's first refit reaches back into the one before. A group holds at most
+    ``TOGETHER`` refit distances and one window of rows.
+    """
+    first = plan.index(F.col("rn") - 1) + 1
+    last = plan.index(F.least(F.col("rn") + plan.window - 1, F.col("n")))
+    rows = (
         number_rows(known(panel))
-        .withColumn("_lo", lo)
-        .withColumn("_hi", hi)
+        .withColumn("_lo", first)
+        .withColumn("_hi", last)
         .filter("_lo <= _hi")
-        .withColumn("refit", F.explode(F.sequence("_lo", "_hi")))
-        .select("node", "refit", "rn", *calendar("timestamp"), "price")
+        .withColumn("_part", F.explode(F.sequence(F.floor(F.col("_lo") / TOGETHER), F.floor(F.col("_hi") / TOGETHER))))
+        .select("node", "_part", "rn", *calendar("timestamp"), "price")
     )
 
+    def run(table: pa.Table) -> pa.Table:
+        pdf = table.to_pandas().sort_values("rn")
+        begin, end, part = int(pdf["rn"].iloc[0]), int(pdf["rn"].iloc[-1]), int(pdf["_part"].iloc[0])
+        at = plan.rows(part * TOGETHER, TOGETHER)
+        at = at[at <= end]
+        starts, ends = np.maximum(at - plan.window, begin - 1) - begin + 1, at - begin + 1
+        gram, right = kn.window_grams(pdf[list(kn.LEVELS)].to_numpy(), pdf["price"].to_numpy(), starts, ends)
+        return pa.Table.from_pylist(made(pdf["node"].iloc[0], part * TOGETHER + np.arange(len(at)), gram, right), to_arrow_schema(schema))
+
+    return spread(rows, "node", "_part").groupBy("node", "_part").applyInArrow(run, schema)
+
+
+_KEY = [T.StructField("node", T.StringType()), T.StructField("refit", T.LongType())]
+
+
+def window_cells(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame:
+    """Normal equations of every refit as cells ``(i, j, cnt, total)`` with ``i <= j``."""
+    cell = T.StructType([T.StructField(c, T.LongType()) for c in ("i", "j", "cnt")] + [T.StructField("total", T.DoubleType())])
+    schema = T.StructType([*_KEY, T.StructField("cells", T.ArrayType(cell))])
+
+    def made(node, refits, gram, right):
+        for r, g, y in zip(refits.tolist(), gram, right):
+            i, j = np.nonzero(np.triu(g))
+            total = [y[a] if a == b else None for a, b in zip(i.tolist(), j.tolist())]
+            yield {"node": node, "refit": r, "cells": [dict(zip(("i", "j", "cnt", "total"), c)) for c in zip(i.tolist(), j.tolist(), g[i, j].tolist(), total)]}
+
+    return _window_systems(panel, plan, schema, lambda *a: list(made(*a))).select("node", "refit", F.inline("cells"))
+
 
 def _active_features() -> Column:
     """Indices of the one-hot features a row switches on; 0 is the intercept."""
@@ -113,31 +158,17 @@ def gram_cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def ridge_fits(
     panel: DataFrame, plan: RefitPlan = RefitPlan(), alpha: float = 1.0
 ) -> DataFrame:
-    """Coefficients per node and refit, trained on the trailing window.
-
-    A training set is one Arrow value of at most ``plan.window`` rows.
-    """
-
-    @F.pandas_udf(COEFFICIENTS)
-    def fit(hr: pd.Series, qtr: pd.Series, dow: pd.Series, mon: pd.Series, y: pd.Series) -> pd.DataFrame:
-        fits = [
-            kn.calendar_ridge({"hr": a, "qtr": b, "dow": c, "mon": d}, p, alpha)
-            for a, b, c, d, p in zip(hr, qtr, dow, mon, y)
+    """Coefficients per node and refit, trained on the trailing window, whose normal
+    equations are differences of prefix sums."""
+    schema = T.StructType([*_KEY, T.StructField("n_train", T.LongType()), T.StructField("fit", COEFFICIENTS)])
+
+    def made(node, refits, gram, right):
+        return [
+            {"node": node, "refit": r, "n_train": n, "fit": kn.spread_coefficients(b0, beta)}
+            for r, n, b0, beta in zip(refits.tolist(), gram[:, 0, 0].astype(int).tolist(), *kn.solve_grams(gram, right, alpha))
         ]
-        return pd.DataFrame(fits, columns=["intercept", *kn.LEVELS])
 
-    row = F.struct("rn", *kn.LEVELS, "price")
-    return (
-        spread(training_rows(panel, plan), "node", "refit")
-        .groupBy("node", "refit")
-        .agg(F.sort_array(F.collect_list(row)).alias("_r"))
-        .select(
-            "node",
-            "refit",
-            F.size("_r").alias("n_train"),
-            fit(*[F.col(f"_r.{c}") for c in (*kn.LEVELS, "price")]).alias("fit"),
-        )
-    )
+    return _window_systems(panel, plan, schema, made)
 
 
 def _calendar_value(fit: Column, ts: Column) -> Column:
@@ -176,39 +207,6 @@ def explode_paths(paths: DataFrame) -> DataFrame:
     )
 
 
-def ridge_fit_errors(
-    panel: DataFrame, plan: RefitPlan = RefitPlan(), alpha: float = 1.0
-) -> DataFrame:
-    """Largest violation of the optimality conditions per fit.
-
-    Residuals of a ridge fit sum to zero, and over the rows of a calendar level
-    they sum to ``alpha`` times its coefficient.
-    """
-    rows = training_rows(panel, plan).join(ridge_fits(panel, plan, alpha), ["node", "refit"])
-    level = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("family"), F.col(name).alias("level"), F.col("fit")[name][F.col(name)].alias("coef"))
-                for name in kn.LEVELS
-            ],
-            F.struct(F.lit("all").alias("family"), F.lit(0).alias("level"), F.lit(0.0).alias("coef")),
-        )
-    )
-    fitted = F.col("fit.intercept")
-    for name in kn.LEVELS:
-        fitted = fitted + F.col("fit")[name][F.col(name)]
-    sums = (
-        rows.withColumn("_e", F.col("price") - fitted)
-        .withColumn("_l", level)
-        .groupBy("node", "refit", "n_train", "_l.family", "_l.level")
-        .agg(F.sum("_e").alias("_s"), F.max("_l.coef").alias("_b"))
-        .filter("family = 'all' or level > 0")
-    )
-    return sums.groupBy("node", "refit", "n_train").agg(
-        F.max(F.abs(F.col("_s") - alpha * F.col("_b"))).alias("gap")
-    )
-
-
 # --- whole history at chosen origins -------------------------------------------
 
 
@@ -243,7 +241,8 @@ def whole_history_fits(
 
     @F.pandas_udf(COEFFICIENTS)
     def solve(cells: pd.Series) -> pd.DataFrame:
-        fits = [kn.calendar_ridge_from_gram(c, alpha) for c in cells]
+        gram, right = map(np.array, zip(*map(kn.gram_of_cells, cells)))
+        fits = [kn.spread_coefficients(b0, beta) for b0, beta in zip(*kn.solve_grams(gram, right, alpha))]
         return pd.DataFrame(fits, columns=["intercept", *kn.LEVELS])
 
     size = F.filter("_c", lambda c: (c["i"] == 0) & (c["j"] == 0))[0]["cnt"]
@@ -264,8 +263,9 @@ _FEATURES = [*[f"lag_{k}" for k in range(1, LAGS + 1)], "hr", "qtr", "dow"]
 
 
 def lag_frame(panel: DataFrame) -> DataFrame:
-    """Complete rows of lag and calendar features with their position."""
-    rows = lagged(number_rows(panel), range(1, LAGS + 1)).filter(F.col("rn") > LAGS)
+    """Complete rows of lag and calendar features with their position. Rows without a
+    price are left out first, so lags are the last known prices."""
+    rows = lagged(number_rows(known(panel)), range(1, LAGS + 1)).filter(F.col("rn") > LAGS)
     hr, qtr, dow, _ = calendar("timestamp")
     return rows.select(
         "node", "timestamp", "price",
@@ -336,28 +336,75 @@ def lag_ridge_fits(
 
 
 def one_step_forecast(panel: DataFrame, minutes: int = 15) -> DataFrame:
-    """Price of the next interval from the last four prices and its calendar.
+    """Price of the interval after the last known one, from the last four known prices
+    and its calendar; a row without a price repeats the forecast in force.
 
-    With less history the running mean of what is there is used.
+    With fewer known prices, or too few to fit, their mean is used (0 for none).
     """
-    nxt = plus_minutes("timestamp", minutes)
-    hr, qtr, dow, _ = calendar(nxt)
-    lags = [F.col("price"), *[F.col(f"lag_{k}") for k in range(1, LAGS)]]
-    rows = lagged(number_rows(panel), range(1, LAGS))
-    x = [*lags, hr.cast("double"), qtr.cast("double"), dow.cast("double")]
+    nxt = plus_minutes(F.coalesce("_last_ts", "timestamp"), minutes)
+    x = [*[F.col("_last")[k] for k in range(LAGS)], *[c.cast("double") for c in calendar(nxt)[:3]]]
     dot = F.col("fit.intercept")
     for k, c in enumerate(x):
         dot = dot + F.col("fit.beta")[k] * c
-    known = F.array_compact(F.array(*lags))
-    mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)
-    fits = lag_ridge_fits(panel)
-    return rows.join(fits, "node").select(
+    size = F.size("_last")
+    mean = F.when(size > 0, F.aggregate("_last", F.lit(0.0), lambda a, v: a + v) / size).otherwise(0.0)
+    rows = last_known(panel, LAGS).join(lag_ridge_fits(panel), "node", "left")
+    return rows.select(
         "node",
         nxt.alias("timestamp"),
-        F.when(F.col("rn") < LAGS, F.coalesce(mean, F.lit(0.0))).otherwise(dot).alias("yhat"),
+        F.when((size == LAGS) & F.col("fit").isNotNull(), dot).otherwise(mean).alias("yhat"),
     )
 
 
+_PATHS = T.StructType(
+    [
+        T.StructField("node", T.StringType()),
+        T.StructField("origin", T.TimestampNTZType()),
+        T.StructField("path", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def day_paths(panel: DataFrame, minutes: int = 15) -> DataFrame:
+    """Forecast path of every row to the end of its day: node, origin, path, with as
+    many steps as the day has rows from the origin on; step h is for h intervals
+    after the origin.
+
+    Each forecast is a lag of the next one. The recurrence is solved by powers of its
+    companion matrix, so that all steps of all origins of a node within a batch are
+    two matrix products. The first step's calendar follows the last known price, as
+    ``one_step_forecast`` has it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            out = [None] * len(pdf)
+            for _, part in pdf.groupby(["intercept", *[f"b{k}" for k in range(LAGS + 3)]], dropna=False, sort=False):
+                weights = part.iloc[0][[f"b{k}" for k in range(LAGS + 3)]].to_numpy(float)
+                steps = int(part["_left"].max())
+                ahead = part["timestamp"].to_numpy()[:, None] + np.arange(1, steps + 1) * np.timedelta64(minutes, "m")
+                ahead[:, 0] = part["_last_ts"].fillna(part["timestamp"]).to_numpy() + np.timedelta64(minutes, "m")
+                last = [list(x) for x in part["_last"]]
+                if np.isnan(weights[0]):  # no fit: the mean of what is known
+                    paths = kn.lag_paths([[float(np.mean(x)) if x else 0.0] for x in last], np.zeros(ahead.shape), np.ones(1))
+                else:
+                    minute = ahead.astype("datetime64[m]").astype("int64")
+                    hr, qtr, dow = minute // 60 % 24, minute % 60 // 15, (minute // 1440 + 3) % 7  # day 0 was a Thursday
+                    inputs = part["intercept"].iloc[0] + weights[LAGS] * hr + weights[LAGS + 1] * qtr + weights[LAGS + 2] * dow
+                    paths = kn.lag_paths(last, inputs, weights[:LAGS])
+                for i, row, n in zip(part.index, paths, part["_left"]):
+                    out[i] = row[:n]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.float64()))], names=["node", "origin", "path"]
+            )
+
+    beta = [F.col("fit.beta")[k].alias(f"b{k}") for k in range(LAGS + 3)]
+    rows = last_known(panel, LAGS).join(lag_ridge_fits(panel), "node", "left")
+    plain = rows.select("node", "timestamp", "_last", "_last_ts", "_left", F.col("fit.intercept").alias("intercept"), *beta)
+    return plain.mapInArrow(run, _PATHS)
+
+
 # --- walk-forward evaluation and registry --------------------------------------
 
 Forecaster = Callable[[DataFrame, int, int], DataFrame]

@@ -133,6 +133,49 @@ def previous(
     )
 
 
+def last_known(
+    df: DataFrame,
+    k: int,
+    value: str = "price",
+    keys: Sequence[str] = NODE,
+    ts: str = "timestamp",
+) -> DataFrame:
+    """The ``k`` latest known values at or before each row, gaps skipped.
+
+    Adds ``_last`` (newest first, shorter where history is), ``_last_ts`` (time of
+    the newest one) and ``_left`` (rows of the day from this one on). Within a day a
+    window skips nulls and NaN; what is still missing comes from the state that a
+    scan of days carries over: each day's last ``k`` values, completed by those of
+    the ``k`` days with values before it.
+    """
+    spec = f"PARTITION BY {', '.join(f'`{c}`' for c in _by(keys, '_day'))} ORDER BY `{ts}`"
+    tagged = df.withColumn("_v", F.when(~F.isnan(value), F.col(value).cast("double"))).withColumn("_day", F.to_date(ts))
+    newest = F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct(F.col(ts).alias("t"), F.col("_v").alias("v")))), asc=False)
+    tails = tagged.groupBy(*_by(keys, "_day")).agg(F.slice(newest, 1, k).alias("_tail"))
+    known_days = Window.partitionBy(*keys, F.size("_tail") > 0).orderBy("_day").rowsBetween(1 - k, 0)
+    after = F.slice(F.flatten(F.reverse(F.collect_list("_tail").over(known_days))), 1, k)
+    earlier = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        tails.withColumn("_after", F.when(F.size("_tail") > 0, after))
+        .select(*_by(keys, "_day"), F.coalesce(F.last("_after", ignorenulls=True).over(earlier), F.slice("_tail", 1, 0)).alias("_before"))
+    )
+    steps = [F.col("_v"), *[F.expr(f"lag(_v, {j}) IGNORE NULLS OVER ({spec})") for j in range(1, k + 1)]]
+    inside = Window.partitionBy(*_by(keys, "_day")).orderBy(ts)
+    seen = F.last(F.when(F.col("_v").isNotNull(), F.col(ts)), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        tagged.join(carried, _by(keys, "_day"))
+        .withColumn("_in", F.array_compact(F.array(*steps)))
+        .withColumn("_seen", seen)
+        .withColumn("_left", F.count(F.lit(1)).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+        .select(
+            *df.columns,
+            F.slice(F.concat("_in", F.col("_before.v")), 1, k).alias("_last"),
+            F.coalesce("_seen", F.try_element_at(F.col("_before.t"), F.lit(1))).alias("_last_ts"),
+            "_left",
+        )
+    )
+
+
 def expanding_moments(
     df: DataFrame,
     value: str = "price",

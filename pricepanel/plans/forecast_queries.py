@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pricepanel.functions import kernels as kn
-from pricepanel.functions.timegrid import calendar
 from pricepanel.operators import forecast as fc
-from pricepanel.plans import fixtures as fx, sql
+from pricepanel.operators.panel import regular_grid
+from pricepanel.plans import fixtures as fx, ridge_sql as rs, sql
 from pricepanel.plans.registry import query
 
 # The refit rule played step by step: refit without a model, after 96 calls
@@ -46,30 +46,35 @@ f AS (SELECT node, refit, rn, price, unnest([0, hour(timestamp),
         CASE WHEN month(timestamp) > 1 THEN 31 + month(timestamp) ELSE 0 END]) AS i,
         unnest([0, 1, 2, 3, 4]) AS family FROM train),
 act AS (SELECT * FROM f WHERE family = 0 OR i > 0)
-SELECT a.node, a.refit, a.i, b.i AS j, count(*) AS cnt, round(sum(a.price), 6) AS total
+SELECT a.node, a.refit, a.i, b.i AS j, count(*) AS cnt, CASE WHEN a.i = b.i THEN round(sum(a.price), 6) END AS total
 FROM act a JOIN act b ON a.node = b.node AND a.refit = b.refit AND a.rn = b.rn AND a.i <= b.i GROUP BY 1, 2, 3, 4""")
 def g2_gram(spark, d):
-    cells = fc.gram_cells(fc.training_rows(fx.events_panel(spark, d)), ["node", "refit"])
-    return cells.select(
-        "node", "refit", F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"),
-        "cnt", _r("total").alias("total"),
-    )
+    cells = fc.window_cells(fx.events_panel(spark, d))
+    return cells.withColumn("total", _r("total"))
+
+
+def _levels():
+    """The intercept and each level's coefficient but the first, as rounded columns."""
+    return [
+        _r("fit.intercept", 4).alias("intercept"),
+        *[_r(F.col("fit")[name][i], 4).alias(f"{name}_{i}") for name, count in kn.LEVELS.items() for i in range(1, count)],
+    ]
 
 
-@query("g2_ridge_fit", f"""WITH RECURSIVE {sql.P}, {_RULE}, {_TRAIN}
-SELECT node, refit, count(*) AS n_train, 1 AS optimal FROM train GROUP BY 1, 2""")
+@query("g2_ridge_fit", f"""WITH RECURSIVE {sql.P}, {_RULE}, {_TRAIN}, {rs.calendar_fit("train", "node, refit")}
+SELECT node, refit, n_train, {rs.coefficients()} FROM fit""")
 def g2_fit(spark, d):
-    e = fc.ridge_fit_errors(fx.events_panel(spark, d))
-    return e.select(
-        "node", "refit", F.col("n_train").cast("bigint").alias("n_train"),
-        (F.col("gap") < 1e-6).cast("bigint").alias("optimal"),
-    )
+    f = fc.ridge_fits(fx.events_panel(spark, d))
+    return f.select("node", "refit", F.col("n_train").cast("bigint").alias("n_train"), *_levels())
 
 
-@query("g3_ridge_forecast")
+@query("g3_ridge_forecast", f"""WITH RECURSIVE {sql.P}, {_RULE}, {_TRAIN}, {rs.calendar_fit("train", "node, refit")},
+steps AS (SELECT num.node, num.timestamp AS origin, h, num.timestamp + to_minutes(CAST(15 * h AS INTEGER)) AS slot, refit
+          FROM num JOIN step USING (rn) CROSS JOIN range(32) r(h))
+SELECT node, origin, h, round({rs.calendar_value("slot")}, 2) AS yhat FROM steps JOIN fit USING (node, refit)""")
 def g3(spark, d):
     f = fc.explode_paths(fc.ridge_paths(fx.events_panel(spark, d)))
-    return f.withColumn("yhat", _r("yhat", 4))
+    return f.withColumn("yhat", _r("yhat", 2)).withColumn("h", F.col("h").cast("bigint"))
 
 
 _ORIGINS = """pos AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY timestamp) - 1 AS pos,
@@ -77,45 +82,19 @@ _ORIGINS = """pos AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY ti
 org AS (SELECT * FROM pos WHERE pos >= 1344 AND (pos - 1344) % 32 = 0 AND pos < n - 32)"""
 
 
-@query("g4_whole_history_fit", f"""WITH {sql.P}, {sql.GRID}, {_ORIGINS},
-ks AS (SELECT DISTINCT node, (pos - 1344) // 32 AS k, pos AS at FROM pos WHERE pos >= 1344 AND (pos - 1344) % 32 = 0)
-SELECT ks.node, ks.k, count(*) AS n_train, 1 AS optimal FROM ks JOIN pos
-ON pos.node = ks.node AND pos.pos < ks.at AND pos.price IS NOT NULL GROUP BY 1, 2""")
+_WHOLE = f"""ks AS (SELECT DISTINCT node, (pos - 1344) // 32 AS k, pos AS upto FROM pos WHERE pos >= 1344 AND (pos - 1344) % 32 = 0),
+hist AS (SELECT ks.node, ks.k, pos.timestamp, pos.price FROM ks JOIN pos ON pos.node = ks.node AND pos.pos < ks.upto AND pos.price IS NOT NULL),
+{rs.calendar_fit("hist", "node, k")}"""
+
+
+@query("g4_whole_history_fit", f"""WITH RECURSIVE {sql.P}, {sql.GRID}, {_ORIGINS}, {_WHOLE}
+SELECT node, k, n_train, {rs.coefficients()} FROM fit""")
 def g4(spark, d):
-    """Fits with their optimality checked on the rows themselves."""
-    grid = fc.gridded(fx.events_panel(spark, d))
-    fits = fc.whole_history_fits(grid)
-    # Residual sums per calendar level and stretch; a fit is optimal when the sums
-    # over all earlier stretches equal the penalty times its coefficients.
-    block = F.greatest(F.lit(-1), F.floor((F.col("rn") - 1 - 1344) / 32)).alias("b")
-    rows = grid.filter("price is not null").select("node", block, *calendar("timestamp"), "price")
-    cells = rows.groupBy("node", "b", "hr", "qtr", "dow", "mon").agg(
-        F.count(F.lit(1)).alias("c"), F.sum("price").alias("s")
-    )
-    pairs = cells.join(fits, ["node"]).filter("b < k")
-    fitted = F.col("fit.intercept")
-    for name in kn.LEVELS:
-        fitted = fitted + F.col("fit")[name][F.col(name)]
-    level = F.array(
-        F.struct(F.lit("all").alias("family"), F.lit(0).alias("level"), F.lit(0.0).alias("coef")),
-        *[
-            F.struct(F.lit(x).alias("family"), F.col(x).alias("level"), F.col("fit")[x][F.col(x)].alias("coef"))
-            for x in kn.LEVELS
-        ],
-    )
-    sums = (
-        pairs.withColumn("_e", F.col("s") - F.col("c") * fitted)
-        .withColumn("_l", F.explode(level))
-        .groupBy("node", "k", "n_train", "_l.family", "_l.level")
-        .agg(F.sum("_e").alias("e"), F.max("_l.coef").alias("coef"))
-        .filter("family = 'all' or level > 0")
-    )
-    return sums.groupBy("node", "k", "n_train").agg(
-        (F.max(F.abs(F.col("e") - F.col("coef"))) < 1e-6).cast("bigint").alias("optimal")
-    )
+    f = fc.whole_history_fits(fc.gridded(fx.events_panel(spark, d)))
+    return f.select("node", "k", "n_train", *_levels())
 
 
-_Z = ["1.0::DOUBLE", "l1", "l2", "l3", "l4", "hr", "qtr", "dow", "price"]
+_Z = rs.Z
 _PRICES = {1, 2, 3, 4, 8}
 
 
@@ -132,15 +111,7 @@ _MOMENTS = ", ".join(
 )
 
 
-@query("g5_block_moments", f"""WITH {sql.P}, x AS (
-  SELECT *, lag(price, 1) OVER w AS l1, lag(price, 2) OVER w AS l2, lag(price, 3) OVER w AS l3,
-         lag(price, 4) OVER w AS l4, hour(timestamp) AS hr, minute(timestamp) // 15 AS qtr,
-         isodow(timestamp) - 1 AS dow, row_number() OVER w - 4 AS pos, count(*) OVER (PARTITION BY node) - 4 AS total
-  FROM p WINDOW w AS (PARTITION BY node ORDER BY timestamp)),
-b AS (SELECT *, greatest(0, 5 - (total - pos) // (total // 6)) AS block FROM x WHERE pos > 0)
-SELECT node, block, {_MOMENTS} FROM b GROUP BY 1, 2""")
-def g5_moments(spark, d):
-    m = fc.block_moments(fx.events_panel(spark, d))
+def _moments(m):
     return m.select(
         "node",
         F.col("block").cast("bigint").alias("block"),
@@ -152,9 +123,22 @@ def g5_moments(spark, d):
     )
 
 
-@query("g5_lag_ridge")
+@query("g5_block_moments", f"WITH {sql.P}, {rs.lag_rows('p')} SELECT node, block, {_MOMENTS} FROM b GROUP BY 1, 2")
+def g5_moments(spark, d):
+    return _moments(fc.block_moments(fx.events_panel(spark, d)))
+
+
+@query("g5_block_moments_gaps", f"WITH {sql.P}, {sql.GRID}, {rs.lag_rows('g')} SELECT node, block, {_MOMENTS} FROM b GROUP BY 1, 2")
+def g5_moments_gaps(spark, d):
+    """On a regular grid, whose empty slots are no prices."""
+    return _moments(fc.block_moments(regular_grid(fx.events_panel(spark, d))))
+
+
+@query("g5_lag_ridge", f"""WITH RECURSIVE {sql.P}, {sql.GRID}, {rs.lag_fit("g")}
+SELECT node, round(alpha, 6) AS alpha, round(score, 4) AS score, round(intercept, 4) AS intercept,
+       {", ".join(f"round(beta[{k + 1}], 4) AS beta_{k}" for k in range(7))} FROM fit""")
 def g5(spark, d):
-    f = fc.lag_ridge_fits(fx.events_panel(spark, d))
+    f = fc.lag_ridge_fits(regular_grid(fx.events_panel(spark, d)))
     return f.select(
         "node", _r("fit.alpha").alias("alpha"), _r(F.array_max("fit.scores"), 4).alias("score"),
         _r("fit.intercept", 4).alias("intercept"),
@@ -162,9 +146,27 @@ def g5(spark, d):
     )
 
 
-@query("g6_one_step")
+_ONE = f"""SELECT node, coalesce(seen, timestamp) + INTERVAL 15 MINUTE AS timestamp, round({rs.one_step("l", "coalesce(seen, timestamp)")}, 3) AS yhat
+FROM lst LEFT JOIN fit USING (node)"""
+
+
+@query("g6_one_step", f"WITH RECURSIVE {sql.P}, g AS (SELECT * FROM p), {rs.lag_fit('g')}, {rs.LAST} {_ONE}")
 def g6(spark, d):
-    return fc.one_step_forecast(fx.events_panel(spark, d)).withColumn("yhat", _r("yhat", 4))
+    return fc.one_step_forecast(fx.events_panel(spark, d)).withColumn("yhat", _r("yhat", 3))
+
+
+@query("g6_one_step_gaps", f"WITH RECURSIVE {sql.P}, {sql.GRID}, {rs.lag_fit('g')}, {rs.LAST} {_ONE}")
+def g6_gaps(spark, d):
+    """A slot without a price repeats the forecast in force."""
+    return fc.one_step_forecast(regular_grid(fx.events_panel(spark, d))).withColumn("yhat", _r("yhat", 3))
+
+
+@query("g6_day_path", f"""WITH RECURSIVE {sql.P}, {sql.GRID}, {rs.lag_fit("g")}, {rs.LAST}, {rs.PATHS}
+SELECT node, origin, h, round(yhat, 2) AS yhat FROM path""")
+def g6_path(spark, d):
+    f = fc.day_paths(regular_grid(fx.events_panel(spark, d)))
+    steps = f.select("node", "origin", F.posexplode("path").alias("h", "yhat"))
+    return steps.select("node", "origin", (F.col("h") + 1).cast("bigint").alias("h"), _r("yhat", 2).alias("yhat"))
 
 
 _FORECASTS = """ew AS (
@@ -201,7 +203,15 @@ def g7_step(spark, d):
     return m.withColumn("h", F.col("h").cast("bigint"))
 
 
-@query("g7_mae_ridge")
+_RIDGE = f"""{_WHOLE},
+al AS (SELECT * FROM ev UNION ALL
+       SELECT 'ridge' AS model, o.node, o.timestamp AS origin, o.h, {rs.calendar_value("o.slot")} AS yhat, p.price AS actual
+       FROM (SELECT org.*, (pos - 1344) // 32 AS k, h, timestamp + to_minutes(CAST(h * 15 AS INTEGER)) AS slot FROM org CROSS JOIN range(32) r(h)) o
+       JOIN fit USING (node, k) JOIN p ON p.node = o.node AND p.timestamp = o.slot)"""
+
+
+@query("g7_mae_ridge", f"""WITH RECURSIVE {sql.P}, {sql.GRID}, {_ORIGINS}, {_FORECASTS}, {_RIDGE}
+SELECT model, round(avg(abs(yhat - actual)), 4) AS mae, count(*) AS n FROM al GROUP BY 1""")
 def g7_ridge(spark, d):
     e = fc.walk_forward(fx.events_panel(spark, d), (*SIMPLE, "ridge"))
     return fc.mean_absolute_error(e).withColumn("mae", _r("mae", 4))

@@ -123,6 +123,63 @@ def test_lag_ridge_and_one_step(spark):
     assert np.isclose(got.yhat[1], s.iloc[:2].mean())
 
 
+def gappy(spark, n=300, node="A"):
+    """A grid on which whole days, the first rows and single slots lack a price."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(n):
+        price = None if i < 2 or 96 <= i < 200 or i % 7 == 3 else float(np.round(rng.normal(30, 8), 2))
+        price = float("nan") if i == 40 else price
+        rows.append((node, dt.datetime(2024, 1, 30) + dt.timedelta(minutes=15 * i), price))
+    return spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double")
+
+
+def test_last_known_skips_gaps(spark):
+    from pricepanel.operators.ordering import last_known
+
+    got = last_known(gappy(spark), 4).toPandas().sort_values("timestamp")
+    seen, left = [], got.groupby(got.timestamp.dt.date).cumcount(ascending=False) + 1
+    for r, n in zip(got.itertuples(), left):
+        if not (r.price is None or np.isnan(r.price)):
+            seen.insert(0, (r.price, r.timestamp))
+        assert list(r[4]) == [x for x, _ in seen[:4]]
+        assert (pd.isna(r[5]) and not seen) or r[5] == seen[0][1]
+        assert r[6] == n
+
+
+def test_gaps_are_no_prices(spark):
+    """Fits and forecasts on a grid with gaps equal those on the known rows alone."""
+    grid = gappy(spark)
+    only = fc.known(grid)
+    a, b = (fc.lag_ridge_fits(x).first()["fit"] for x in (grid, only))
+    assert a["alpha"] == b["alpha"] and np.allclose(a["beta"], b["beta"])
+    on_grid = {r["timestamp"]: r["yhat"] for r in fc.one_step_forecast(grid).collect()}
+    for r in fc.one_step_forecast(only).collect():
+        assert np.isclose(on_grid[r["timestamp"]], r["yhat"])
+    assert not any(v is None or np.isnan(v) for v in on_grid.values())
+
+
+def test_day_paths_feed_forecasts_back(spark):
+    grid = gappy(spark)
+    fit = fc.lag_ridge_fits(grid).first()["fit"]
+    paths = {r["origin"]: r["path"] for r in fc.day_paths(grid).collect()}
+    s = grid.toPandas().set_index("timestamp").price.sort_index()
+    assert len(paths) == len(s)
+    for i in (0, 1, 2, 4, 60, 95, 97, 150, 200, 299):
+        origin, hist = s.index[i], s.iloc[: i + 1].dropna()
+        path = paths[origin]
+        assert len(path) == (s.iloc[i:].index.date == origin.date()).sum()
+        for h, got in enumerate(path, 1):
+            at = (hist.index[-1] if len(hist) else origin) + pd.Timedelta("15min")
+            x = [*hist.iloc[::-1].iloc[:4], at.hour, at.minute // 15, at.dayofweek]
+            want = fit["intercept"] + np.dot(fit["beta"], x) if len(hist) >= 4 else hist.mean() if len(hist) else 0.0
+            assert np.isclose(got, want), (origin, h)
+            hist = pd.concat([hist, pd.Series([want], index=[origin + pd.Timedelta(minutes=15 * h)])])
+    short = grid.limit(5).unionByName(gappy(spark, 4, "B"))
+    assert {len(r["path"]) > 0 for r in fc.day_paths(short).collect()} == {True}
+    assert fc.day_paths(grid.limit(0)).count() == 0
+
+
 def test_registered_function_sees_only_the_past(spark):
     seen = fc.FORECASTERS.copy()
     fc.register_function("last", lambda train, t0, h: np.full(h, train.dropna().iloc[-1]), history=50)

@@ -62,10 +62,35 @@ def test_calendar_ridge_equals_dense_solution():
     x = np.hstack([np.eye(m)[codes[k]][:, 1:] for k, m in kn.LEVELS.items()])
     xc, yc = x - x.mean(0), y - y.mean()
     beta = np.linalg.solve(xc.T @ xc + np.eye(x.shape[1]), xc.T @ yc)
-    fit = kn.calendar_ridge(codes, y, 1.0)
-    got = np.concatenate([fit[k][1:] for k in kn.LEVELS])
+    gram, right = kn.window_grams(np.column_stack(list(codes.values())), y, np.array([0]), np.array([n]))
+    (b0,), (got,) = kn.solve_grams(gram, right, 1.0)
     assert np.allclose(got, beta)
-    assert np.isclose(fit["intercept"], y.mean() - x.mean(0) @ beta)
+    assert np.isclose(b0, y.mean() - x.mean(0) @ beta)
+
+
+def test_window_grams_are_those_of_each_window():
+    rng = np.random.default_rng(4)
+    n = 250
+    codes = np.column_stack([rng.integers(0, m, n) for m in kn.LEVELS.values()])
+    y = rng.normal(40, 10, n)
+    z = np.hstack([np.ones((n, 1)), *[np.eye(m)[codes[:, i]][:, 1:] for i, m in enumerate(kn.LEVELS.values())]])
+    starts, ends = np.array([3, 3, 40, 100, 248]), np.array([4, 60, 130, 250, 250])
+    for a, b, gram, right in zip(starts, ends, *kn.window_grams(codes, y, starts, ends)):
+        assert np.allclose(gram, z[a:b].T @ z[a:b], atol=0) and np.allclose(right, z[a:b].T @ y[a:b])
+
+
+def test_lag_paths_equal_feeding_back():
+    rng = np.random.default_rng(5)
+    weights = np.array([0.6, -0.3, 0.2, 0.1])
+    last = [list(rng.normal(30, 9, n)) for n in (4, 0, 2, 4, 3, 1)]
+    inputs = rng.normal(1, 1, (6, 40))
+    for values, u, path in zip(last, inputs, kn.lag_paths(last, inputs, weights)):
+        seen = list(values)
+        for x, got in zip(u, path):
+            want = np.mean(seen) if 0 < len(seen) < 4 else 0.0 if not seen else x + np.dot(weights, seen[:4])
+            assert np.isclose(got, want)
+            seen.insert(0, want)
+    assert kn.lag_paths([[1.0]], np.zeros((1, 2)), weights).tolist() == [[1.0, 1.0]]
 
 
 def test_choose_alpha_equals_explicit_validation():
