@@ -1,12 +1,9 @@
-"""Battery parameters and the scenario columns derived from them."""
+"""Battery parameters."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
-
 
 @dataclass(frozen=True)
 class Battery:
@@ -41,35 +38,3 @@ class Battery:
     @property
     def start_soc(self) -> float:
         return self.e_max_mwh * self.initial_soc_frac
-
-
-def as_struct(b: Battery) -> Column:
-    """The parameters a ledger step needs, as a literal."""
-    return F.struct(
-        F.lit(b.eta_chg).alias("eta"),
-        F.lit(b.charge_step).alias("chg"),
-        F.lit(b.discharge_step).alias("dis"),
-        F.lit(b.e_max_mwh).alias("e_max"),
-        F.lit(b.start_soc).alias("soc0"),
-    )
-
-
-def runs(models: Sequence[str], batteries: Sequence[Battery]) -> Column:
-    """Array literal of every model with every battery.
-
-    ``k`` numbers the model's signal from 0 and ``scenario`` the battery from 1.
-    Exploding a literal multiplies rows in place, so the grid of models and
-    batteries costs neither a join nor a broadcast.
-    """
-    return F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("k"),
-                F.lit(m).alias("model"),
-                F.lit(i).alias("scenario"),
-                as_struct(b).alias("battery"),
-            )
-            for k, m in enumerate(models)
-            for i, b in enumerate(batteries, start=1)
-        ]
-    )

@@ -2,28 +2,29 @@
 
 The charge level is a running balance with clamps, which no window sum can
 express. The daily discharge allowance restarts at midnight, so a day passes on
-one number only. The ledger is therefore built in three steps:
+one number only. How the closing charge depends on the opening one is a map of a
+few linear pieces, and maps compose associatively. The ledger is a tree of them:
 
-1. per (node, day), independently: how the closing charge depends on the opening
-   charge, as a few linear pieces;
-2. per node: the opening charge of every day, a fold over these pieces (one short
-   row per day, no prices);
-3. per (node, day), independently: the rows, replayed from the opening charge.
+1. up: per (node, day), independently, the day's map; per (node, year) the maps of
+   its days composed to one; per node one short row per year, followed in order;
+2. down: per (node, year) the opening charge of every day, from that of the year;
+3. per (node, day), independently: the rows, played from the opening charge.
 
-No group is larger than a day in steps 1 and 3, whatever the length of a node.
-Models and batteries are expanded inside the tasks: prices are shuffled once, to
-their day, however many models and batteries are run.
+No group holds more than a day of prices or a year of maps, whatever the length of a
+node. Models and batteries are handled side by side in arrays: prices are shuffled
+once, to their day, however many models and batteries are run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pricepanel.battery import Battery, runs
-from pricepanel.functions.kernels import day_response
+from pricepanel.battery import Battery
+from pricepanel.functions import storage
 from pricepanel.operators.features import model_names, threshold_pairs
 from pricepanel.session import spread
 
@@ -56,7 +57,7 @@ def with_revenue(
 def _day_rows(signal_sets: DataFrame) -> DataFrame:
     """One row per (node, day) with the day's steps in time order.
 
-    Steps 1 and 3 both start here and read the same columns, so they share the
+    Maps and rows both start here and read the same columns, so they share the
     exchange (the null filters keep the two plans identical).
     """
     day = F.to_date("timestamp")
@@ -67,100 +68,167 @@ def _day_rows(signal_sets: DataFrame) -> DataFrame:
         "node",
         "day",
     )
-    return rows.groupBy("node", "day").agg(
+    steps = rows.groupBy("node", "day").agg(
         F.sort_array(F.collect_list(F.struct("timestamp", "price", "signals"))).alias("steps")
     )
+    return steps.select("node", "day", "steps.timestamp", "steps.price", "steps.signals")
 
 
-_PIECES = T.StructType(
-    [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("x", "soc", "slope")]
-)
+class _Runs:
+    """Every model with every battery, as arrays in the order of ``runs``: a run's
+    signal, scenario, model and battery."""
 
+    def __init__(self, models: Sequence[str], batteries: Sequence[Battery]):
+        grid = [(k, m, i, b) for k, m in enumerate(models) for i, b in enumerate(batteries, start=1)]
+        self.signal, self.model, self.scenario = (list(c) for c in list(zip(*grid))[:3])
+        of = lambda name: np.array([getattr(b, name) for *_, b in grid], dtype=float)
+        self.eta, self.chg, self.dis, self.e_max, self.start = map(
+            of, ("eta_chg", "charge_step", "discharge_step", "e_max_mwh", "start_soc")
+        )
 
-@F.pandas_udf(_PIECES)
-def _response(
-    signal_lists: pd.Series, chg: pd.Series, dis: pd.Series, e_max: pd.Series
-) -> pd.DataFrame:
-    found = [
-        list(zip(*day_response(s, *b)))
-        for s, b in zip(signal_lists, zip(chg, dis, e_max))
-    ]
-    return pd.DataFrame(found, columns=["x", "soc", "slope"])
+    def __len__(self) -> int:
+        return len(self.signal)
 
+    def batteries(self, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """chg, dis and e_max of every run of every item."""
+        return tuple(np.tile(v, items) for v in (self.chg, self.dis, self.e_max))
 
-def _follow(soc: Column, pieces: Column) -> Column:
-    """Closing charge for an opening charge: the last piece that starts below it."""
-    at = F.size(F.filter(pieces["x"], lambda x: x <= soc)) - 1
-    return F.get(pieces["soc"], at) + F.get(pieces["slope"], at) * (soc - F.get(pieces["x"], at))
+    def signals(self, column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Signals with a row per item and run, padded with 0, and steps per item."""
+        counts = np.diff(column.offsets.to_numpy())
+        flat = column.flatten()
+        own = flat.flatten().fill_null(0).to_numpy().reshape(len(flat), -1)[:, self.signal]
+        out = np.zeros((len(counts), len(self), int(counts.max(initial=0))), np.int8)
+        row = np.repeat(np.arange(len(counts)), counts)
+        out[row, :, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)] = own
+        return out.reshape(len(counts) * len(self), -1), counts
+
+
+#: Days that are worked on at a time.
+_SLICE = 128
+_MAP = "counts array<int>, x array<double>, soc array<double>, slope array<double>"
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
+def _written(maps: storage.Maps, runs: int) -> list[pa.Array]:
+    """Maps of all runs of an item as one row: pieces per run, then the pieces."""
+    real = np.isfinite(maps[0])
+    counts = real.sum(axis=1).reshape(-1, runs)
+    ends = np.concatenate([[0], np.cumsum(counts.sum(axis=1))])
+    pieces = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(m[real])) for m in maps]
+    whole = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * runs, pa.int32()), pa.array(counts.ravel(), pa.int32()))
+    return [whole, *pieces]
+
+
+def _read(counts: pa.ListArray, *pieces: pa.ListArray) -> storage.Maps:
+    return storage.ragged(tuple(p.flatten().to_numpy() for p in pieces), counts.flatten().to_numpy())
+
+
+def _day_maps(days: DataFrame, runs: _Runs) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            signals, counts = runs.signals(batch.column(2))
+            maps = storage.day_maps(signals, *runs.batteries(len(counts)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_written(maps, len(runs))], names=["node", "day", *_names(_MAP)])
+
+    return days.select("node", "day", "signals").mapInArrow(run, f"node string, day date, {_MAP}")
+
+
+def _names(fields: str) -> list[str]:
+    return [f.split()[0] for f in fields.split(", ")]
+
+
+def _stretches(maps: DataFrame, key: str, group: Column) -> DataFrame:
+    """Maps of a node gathered by ``group`` (null: all of it), in the order of ``key``."""
+    by = ["node"] if group is None else ["node", group.alias("part")]
+    gathered = maps.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(key, *_names(_MAP)))).alias("m"))
+    kept = ["node"] if group is None else ["node", "part"]
+    return gathered.select(*kept, *[f"m.{c}" for c in (key, *_names(_MAP))])
+
+
+def _in_turn(columns: list[pa.ListArray], runs: _Runs) -> Iterator[tuple[np.ndarray, storage.Maps]]:
+    """For the first, second, ... map of every row that has so many: the rows' numbers
+    (one per run) and their maps."""
+    counts, *pieces = columns
+    sizes = np.diff(counts.offsets.to_numpy())
+    begin = np.cumsum(sizes) - sizes
+    per_item = counts.flatten()
+    maps = _read(per_item, *(p.flatten() for p in pieces))
+    for t in range(int(sizes.max(initial=0))):
+        has = np.flatnonzero(sizes > t)
+        at = ((begin[has] + t)[:, None] * len(runs) + np.arange(len(runs))).ravel()
+        yield (has[:, None] * len(runs) + np.arange(len(runs))).ravel(), tuple(m[at] for m in maps)
+
+
+def _composed(stretches: DataFrame, runs: _Runs) -> DataFrame:
+    """One map per (node, part): its maps in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 32):
+            n, maps = batch.num_rows, None
+            e_max = runs.batteries(n)[2]
+            for rows, step in _in_turn(batch.columns[3:], runs):
+                if maps is None:  # every row has a first one
+                    maps = step
+                    continue
+                some = storage.compose(tuple(m[rows] for m in maps), step, e_max[rows])
+                maps = storage.merged(maps, rows, some)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_written(maps, len(runs))], names=["node", "part", *_names(_MAP)])
+
+    return stretches.mapInArrow(run, f"node string, part int, {_MAP}")
+
+
+def _followed(stretches: DataFrame, runs: _Runs, key: str, kind: str) -> DataFrame:
+    """Opening and closing charges of each map's runs, from those of the stretch in
+    ``soc_in`` where there is such a column, else from the battery's start."""
+    names = stretches.columns
+    opened = "soc_in" in names
+    at = names.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, 32):
+            n, r = batch.num_rows, len(runs)
+            soc = batch.column(names.index("soc_in")).flatten().to_numpy().copy() if opened else np.tile(runs.start, n)
+            e_max = runs.batteries(n)[2]
+            column = batch.column(at)
+            sizes = np.diff(column.offsets.to_numpy())
+            begin = np.cumsum(sizes) - sizes
+            out = np.empty((2, int(sizes.sum()), r))
+            for t, (rows, step) in enumerate(_in_turn(batch.columns[at + 1 : at + 5], runs)):
+                item = begin[rows[::r] // r] + t
+                out[0, item] = soc[rows].reshape(-1, r)
+                soc[rows] = storage.follow(step, soc[rows], e_max[rows])
+                out[1, item] = soc[rows].reshape(-1, r)
+            ends = pa.array(np.arange(out.shape[1] + 1) * r, pa.int32())
+            node = batch.column(0).take(pa.array(np.repeat(np.arange(n), sizes)))
+            charges = [pa.ListArray.from_arrays(ends, pa.array(v.ravel())) for v in out]
+            yield pa.RecordBatch.from_arrays([node, column.flatten(), *charges], names=["node", key, "soc_in", "soc_out"])
+
+    return stretches.mapInArrow(run, f"node string, {key} {kind}, soc_in array<double>, soc_out array<double>")
+
+
+def _openings(days: DataFrame, runs: _Runs) -> DataFrame:
+    """node, day, soc_in, soc_out with an entry per run: the tree up and down."""
+    by_year = _stretches(_day_maps(days, runs), "day", F.year("day"))
+    years = _composed(by_year, runs)
+    opened = _followed(_stretches(years, "part", None), runs, "part", "int")
+    return _followed(by_year.join(opened.select("node", "part", "soc_in"), ["node", "part"]).drop("part"), runs, "day", "date")
 
 
 def day_balance(
     signal_sets: DataFrame, models: Sequence[str], batteries: Sequence[Battery] = (Battery(),)
 ) -> DataFrame:
-    """Opening and closing charge per node, day, model and battery.
-
-    Days are summarised independently and chained per (node, model, battery).
-    """
-    return _chained(_day_rows(signal_sets), models, batteries).select(
-        "node", "run.model", "run.scenario", "day", "soc_in", "soc_out"
-    )
-
-
-def _chained(days: DataFrame, models: Sequence[str], batteries: Sequence[Battery]) -> DataFrame:
-    run = days.select("node", "day", "steps", F.explode(runs(models, batteries)).alias("run"))
-    chosen = F.transform("steps", lambda s: F.get(s["signals"], F.col("run.k")))
-    responses = run.select(
-        "node",
-        "day",
-        "run",
-        _response(chosen, "run.battery.chg", "run.battery.dis", "run.battery.e_max").alias("pieces"),
-    )
-    per_run = responses.groupBy("node", F.col("run.k").alias("k"), F.col("run.scenario").alias("scenario")).agg(
-        F.sort_array(F.collect_list(F.struct("day", "pieces"))).alias("days"),
-        F.first("run").alias("run"),
-    )
-    start = F.struct(
-        F.col("run.battery.soc0").alias("soc"),
-        F.expr("cast(array() as array<struct<day:date,soc_in:double,soc_out:double>>)").alias("out"),
-    )
-
-    def step(acc: Column, d: Column) -> Column:
-        after = _follow(acc["soc"], d["pieces"])
-        row = F.struct(d["day"].alias("day"), acc["soc"].alias("soc_in"), after.alias("soc_out"))
-        return F.struct(after.alias("soc"), F.array_append(acc["out"], row).alias("out"))
-
-    folded = F.aggregate("days", start, step, lambda acc: acc["out"])
-    return per_run.select("node", "run", F.inline(folded))
-
-
-def _flows(steps: Column, run: Column, soc_in: Column) -> Column:
-    """Charge before each step of a day and the stored energy that leaves the
-    battery (negative: enters). Only the state that depends on the order is folded;
-    everything else is derived from it afterwards, row by row."""
-    chg, dis, e_max = (run["battery"][c] for c in ("chg", "dis", "e_max"))
-    start = F.struct(
-        soc_in.alias("soc"),
-        F.lit(0.0).alias("used"),
-        F.expr("cast(array() as array<struct<soc_before:double,flow:double>>)").alias("out"),
-    )
-
-    def step(acc: Column, signals_now: Column) -> Column:
-        soc, used, now = acc["soc"], acc["used"], F.get(signals_now, run["k"])
-        flow = (
-            F.when(now == 0, F.lit(0.0))
-            .when((now > 0) & (soc < e_max), -F.least(chg, e_max - soc))
-            .when(now != 1, F.least(dis, soc, e_max - used))
-            .otherwise(0.0)
-        )
-        return F.struct(
-            (soc - flow).alias("soc"),
-            (used + F.greatest(flow, F.lit(0.0))).alias("used"),
-            F.array_append(
-                acc["out"], F.struct(soc.alias("soc_before"), flow.alias("flow"))
-            ).alias("out"),
-        )
-
-    return F.aggregate(steps["signals"], start, step, lambda acc: acc["out"])
+    """Opening and closing charge per node, day, model and battery."""
+    runs = _Runs(models, batteries)
+    labels = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("scenario")) for m, i in zip(runs.model, runs.scenario)])
+    each = F.arrays_zip(labels.alias("run"), "soc_in", "soc_out")
+    rows = _openings(_day_rows(signal_sets), runs).select("node", "day", F.explode(each).alias("e"))
+    return rows.select("node", "e.run.model", "e.run.scenario", "day", "e.soc_in", "e.soc_out")
 
 
 def storage_ledger(
@@ -172,31 +240,49 @@ def storage_ledger(
     signal per model. The opening charges come back as one small row per day, so
     the days themselves stay where they are.
     """
-    days = _day_rows(signal_sets)
-    opened = (
-        _chained(days, models, batteries)
-        .groupBy("node", "day")
-        .agg(F.collect_list(F.struct("run", "soc_in")).alias("runs"))
-    )
-    each = days.join(opened, ["node", "day"]).select("node", "steps", F.inline("runs"))
-    flows = _flows(F.col("steps"), F.col("run"), F.col("soc_in"))
-    rows = each.select(
-        "node", "run", F.explode(F.arrays_zip(F.col("steps").alias("s"), flows.alias("f"))).alias("e")
-    ).select("node", "run", "e.s.*", "e.f.*")
-    flow, price = F.col("flow"), F.col("price")
-    mwh = F.when(flow < 0, flow / F.col("run.battery.eta")).otherwise(flow)
-    return rows.select(
-        "node",
-        "run.model",
-        "run.scenario",
-        "timestamp",
-        "price",
-        F.get("signals", F.col("run.k")).alias("signal"),
-        "soc_before",
-        mwh.alias("mwh"),
-        (mwh * price).alias("revenue"),
-        (F.col("soc_before") - flow).alias("soc"),
-    )
+    runs, days = _Runs(models, batteries), _day_rows(signal_sets)
+    opened = days.join(_openings(days, runs).select("node", "day", "soc_in"), ["node", "day"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models_of, scenarios = pa.array(runs.model), np.array(runs.scenario, np.int32)
+        for batch in _slices(batches):
+            signals, counts = runs.signals(batch.column(3))
+            n, r = len(counts), len(runs)
+            before, flow = storage.play(signals, batch.column(4).flatten().to_numpy(), *runs.batteries(n))
+            # Rows of the output: steps of an item within a run of it.
+            item, which = np.divmod(np.arange(n * r), r)
+            sizes = counts[item]
+            row = np.repeat(np.arange(n * r), sizes)
+            col = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            source = (np.cumsum(counts) - counts)[item][row] + col
+            own, out = which[row], flow[row, col]
+            mwh = np.where(out < 0, out / runs.eta[own], out)
+            price = batch.column(2).flatten().take(pa.array(source))
+            missing = price.is_null().to_numpy(zero_copy_only=False)
+            revenue = mwh * price.to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(item[row])),
+                    models_of.take(pa.array(own)),
+                    pa.array(scenarios[own]),
+                    batch.column(1).flatten().take(pa.array(source)),
+                    price,
+                    pa.array(signals[row, col].astype(np.int32)),
+                    pa.array(before[row, col]),
+                    pa.array(mwh),
+                    pa.array(revenue, mask=missing),
+                    pa.array(before[row, col] - out),
+                ],
+                names=_names(_ROW),
+            )
+
+    return opened.select("node", "timestamp", "price", "signals", "soc_in").mapInArrow(run, _ROW)
+
+
+_ROW = (
+    "node string, model string, scenario int, timestamp timestamp_ntz, price double, signal int, "
+    "soc_before double, mwh double, revenue double, soc double"
+)
 
 
 def threshold_signals(
