@@ -11,38 +11,65 @@ import itertools
 import numpy as np
 
 
+class RankIndex:
+    """Order statistics of any stretch of an array, in a step per bit of its length.
+
+    Values are replaced by their ranks. From the highest bit of the ranks down, each
+    level counts the zeros before every place and then moves places with a zero to the
+    front, so the k-th smallest of a stretch is found by going down its bits: the
+    zeros of the stretch tell which half holds it, and where the stretch lies in there.
+    """
+
+    def __init__(self, values: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.sorted = values[order]
+        ranks = np.empty(len(values), np.int64)
+        ranks[order] = np.arange(len(values))
+        self.levels = []
+        for bit in range(max(0, len(values) - 1).bit_length() - 1, -1, -1):
+            zero = (ranks >> bit) & 1 == 0
+            self.levels.append((bit, np.concatenate([[0], np.cumsum(zero)])))
+            ranks = np.concatenate([ranks[zero], ranks[~zero]])
+
+    def smallest(self, k: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The k-th smallest value, from 0, of each stretch ``start:end``."""
+        found = np.zeros(len(k), np.int64)
+        for bit, zeros in self.levels:
+            a, b = zeros[start], zeros[end]
+            high = k >= b - a
+            k = np.where(high, k - (b - a), k)
+            start = np.where(high, zeros[-1] + start - a, a)
+            end = np.where(high, zeros[-1] + end - b, b)
+            found |= high.astype(np.int64) << bit
+        return self.sorted[found]
+
+
 def trailing_cuts(
-    prices: np.ndarray, window: int, shares: list[float], with_current: bool
+    prices: np.ndarray, window: int, shares: list[float], with_current: bool, first: int = 0
 ) -> np.ndarray:
-    """Linear-interpolation quantiles of the known ones of the last ``window`` values
-    per position.
+    """Linear-interpolation quantiles of the known ones of the last ``window`` values,
+    for the positions from ``first`` on.
 
-    Rows without history are NaN, as unknown values are. Work is blocked so that the sorted windows of a
-    long chunk never exist all at once.
+    Rows without history are NaN, as unknown values are. A rank index answers every
+    window, so the cost of a row grows with the logarithm of the window.
     """
     x = np.asarray(prices, dtype=float)
-    have = trailing_known(x, window, with_current)
-    x = np.where(np.isnan(x), np.inf, x)  # sorts behind every known value
-    if not with_current:
-        x = np.concatenate([[np.inf], x])[: len(prices)]
-    n = len(x)
-    padded = np.concatenate([np.full(window - 1, np.inf), x])
-    views = np.lib.stride_tricks.sliding_window_view(padded, window)
-    out = np.full((n, len(shares)), np.nan)
-    for a in range(0, n, 512):
-        z = min(a + 512, n)
-        ordered = np.sort(views[a:z], axis=1)
-        rows = np.arange(z - a)
-        count = have[a:z]
-        ok = count > 0
-        for j, share in enumerate(shares):
-            pos = np.maximum(count - 1, 0) * share
-            lo = np.floor(pos).astype(int)
-            hi = np.ceil(pos).astype(int)
-            left, right = ordered[rows, lo], ordered[rows, hi]
-            with np.errstate(invalid="ignore"):
-                value = left + (right - left) * (pos - lo)
-            out[a:z, j] = np.where(ok, value, np.nan)
+    count = trailing_known(x, window, with_current)[first:]
+    index = RankIndex(np.where(np.isnan(x), np.inf, x))  # unknown ones rank behind every known value
+    end = np.arange(first, len(x)) + int(with_current)
+    start = np.maximum(end - window, 0)
+    out = np.full((len(count), len(shares)), np.nan)
+    ok = count > 0
+    start, end, count = start[ok], end[ok], count[ok]
+    for j, share in enumerate(shares):
+        pos = (count - 1) * share
+        low = np.floor(pos).astype(np.int64)
+        high = np.ceil(pos).astype(np.int64)
+        left = index.smallest(low, start, end)
+        right = left.copy()
+        between = high > low
+        right[between] = index.smallest(high[between], start[between], end[between])
+        out[ok, j] = left + (right - left) * (pos - low)
     return out
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pricepanel.functions.kernels import trailing_cuts, trailing_known
 from pricepanel.functions.timegrid import calendar, minute_of_day, plus_minutes
@@ -35,51 +36,39 @@ def trailing_quantiles(
     """Add ``cuts`` (one quantile per share over the known prices among the last
     ``window`` rows of the node) and ``n_hist`` (how many are known).
 
-    A sliding exact quantile has no incremental form, so rows are grouped into
-    chunks of two windows plus one window of lead-in, and each chunk is one Arrow
-    value sorted by numpy. A group never exceeds three windows.
+    Rows are grouped into chunks of two windows plus one window of lead-in. A chunk is
+    one Arrow value; a rank index over it answers every window in a few steps, so long
+    windows cost little more than short ones.
     """
     shares = [float(s) for s in shares]
-    size = 2 * window
     lookback = window - 1 if with_current else window
-    chunks = spread(
-        in_chunks(number_rows(panel), size, lookback), "node", "_chunk"
-    ).groupBy("node", "_chunk")
-    grouped = chunks.agg(
-        F.sort_array(F.collect_list(F.struct("rn", "timestamp", "price", "_own"))).alias("_r")
+    chunks = spread(in_chunks(number_rows(panel), 2 * window, lookback), "node", "_chunk")
+    grouped = (
+        chunks.groupBy("node", "_chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "timestamp", "price", "_own"))).alias("_r"))
+        .select("node", "_r.rn", "_r.timestamp", "_r.price", "_r._own")
     )
 
-    names = [f"c{i}" for i in range(len(shares))]
-    columns = T.StructType(
-        [*[T.StructField(c, T.ArrayType(T.DoubleType())) for c in names], T.StructField("known", T.ArrayType(T.IntegerType()))]
-    )
-
-    @F.pandas_udf(columns)
-    def cuts(prices: pd.Series) -> pd.DataFrame:
-        found = [trailing_cuts(p, window, shares, with_current) for p in prices]
-        known = [trailing_known(p, window, with_current) for p in prices]
-        return pd.DataFrame({c: [f[:, i] for f in found] for i, c in enumerate(names)} | {"known": known})
-
-    zipped = F.arrays_zip(
-        F.col("_r").alias("r"), *[F.col("_q")[c].alias(c) for c in (*names, "known")]
-    )
-    return (
-        grouped.withColumn("_q", cuts(F.col("_r.price")))
-        .select("node", F.explode(zipped).alias("e"))
-        .filter("e.r._own")
-        .select(
-            "node", F.col("e.r").alias("r"), F.col("e.known").alias("known"),
-            F.array(*[F.col("e")[c] for c in names]).alias("cuts"),
-        )
-        .select(
-            "node",
-            F.col("r.timestamp").alias("timestamp"),
-            F.col("r.price").alias("price"),
-            F.col("r.rn").alias("rn"),
-            F.col("known").alias("n_hist"),
-            "cuts",
-        )
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rn, ts, price, own = (batch.column(c)[i].values for c in range(1, 5))
+                first = int(np.argmax(own.to_numpy(zero_copy_only=False)))  # own rows follow the lead-in
+                values = price.to_numpy(zero_copy_only=False).astype(float)
+                found = trailing_cuts(values, window, shares, with_current, first)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.full(n, i))),
+                        *(c.slice(first) for c in (ts, price, rn)),
+                        pa.array(trailing_known(values, window, with_current)[first:]),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(shares), pa.int32()), pa.array(found.ravel())),
+                    ],
+                    names=["node", "timestamp", "price", "rn", "n_hist", "cuts"],
+                )
+
+    fields = "node string, timestamp timestamp_ntz, price double, rn bigint, n_hist int, cuts array<double>"
+    return grouped.mapInArrow(run, fields)
 
 
 def _threshold(cut: Column, min_samples: int) -> Column:

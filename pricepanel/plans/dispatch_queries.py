@@ -37,6 +37,22 @@ def f1_user(spark, d):
     return t.select("node", "timestamp", "price", _r(_finite("low"), 8).alias("low"), _r(_finite("high"), 8).alias("high"))
 
 
+@query("f1_thresholds_year", f"""WITH {sql.SHIP}, daily AS (
+  SELECT node, timestamp, round(avg(price), 6) AS price FROM ship GROUP BY 1, 2),
+hist AS (SELECT *, count(price) OVER w AS n_hist, quantile_cont(price, 0.1) OVER w AS low, quantile_cont(price, 0.9) OVER w AS high
+  FROM daily WINDOW w AS (PARTITION BY node ORDER BY timestamp ROWS BETWEEN 364 PRECEDING AND CURRENT ROW))
+SELECT node, timestamp, price, n_hist, CASE WHEN n_hist >= 36 THEN round(low, 6) END AS low,
+       CASE WHEN n_hist >= 36 THEN round(high, 6) END AS high FROM hist""")
+def f1_year(spark, d):
+    """A window of a year of days."""
+    daily = op.dedup_mean(fx.ship_ticks(spark, d)).withColumn("price", _r("price"))
+    t = ft.thresholds(daily, 10, window=365)
+    return t.select(
+        "node", "timestamp", "price", F.col("n_hist").cast("bigint").alias("n_hist"),
+        _r(_finite("low")).alias("low"), _r(_finite("high")).alias("high"),
+    )
+
+
 _GAPS = f"""{sql.P}, {sql.GRID}, hist AS (
   SELECT node, timestamp, price, list_sort(coalesce(list(price) FILTER (price IS NOT NULL) OVER (
     PARTITION BY node ORDER BY timestamp ROWS BETWEEN 671 PRECEDING AND CURRENT ROW), [])) AS l FROM g)"""

@@ -9,34 +9,30 @@ from pricepanel.plans.registry import query
 from pricepanel.session import scratch
 from pricepanel.streaming import ledger
 
-# Windows that the watermark has closed when the source is exhausted.
-_CLOSED = """timestamp + INTERVAL '15 minutes'
-  <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL '10 minutes' FROM events)"""
-
-
-def _ticks(spark, d):
+def _ticks(spark, d, end):
     schema = fx.table(spark, d, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.select(
+    ticks = raw.select(
         F.col("event_type").alias("node"), F.col("ts").alias("timestamp"), F.col("value").alias("price")
     )
+    return ledger.ended_by(ticks, end)
 
 
-@query("e2_resample_stream", f"WITH {sql.P} SELECT node, timestamp, price FROM p WHERE {_CLOSED}")
+@query("e2_resample_stream", f"WITH {sql.P} SELECT node, timestamp, price FROM p")
 def e2_stream(spark, d):
-    out = ledger.run_available(
-        ledger.naive(ledger.panel_stream(_ticks(spark, d))), scratch(spark, "panel"), scratch(spark, "state")
-    )
+    end = scratch(spark, "end")
+    panel = ledger.naive(ledger.panel_stream(_ticks(spark, d, end)))
+    out = ledger.run_available(panel, scratch(spark, "panel"), scratch(spark, "state"), end=end)
     return out.withColumn("price", F.round("price", 6))
 
 
 @query("h10_stream_ledger", f"""WITH RECURSIVE {sql.P}, {sql.models((10,))}, {sql.SCEN}, {sql.LEDGER}
 SELECT node, timestamp, price, CAST(signal AS BIGINT) AS signal, round(mwh, 6) AS mwh,
-       round(revenue, 10) AS revenue, round(soc, 6) AS soc FROM ledger WHERE scenario = 1 AND {_CLOSED}""")
+       round(revenue, 10) AS revenue, round(soc, 6) AS soc FROM ledger WHERE scenario = 1""")
 def h10(spark, d):
-    out = ledger.run_available(
-        ledger.ledger_stream(_ticks(spark, d)), scratch(spark, "ledger"), scratch(spark, "state")
-    )
+    end = scratch(spark, "end")
+    rows = ledger.ledger_stream(_ticks(spark, d, end))
+    out = ledger.run_available(rows, scratch(spark, "ledger"), scratch(spark, "state"), end=end)
     return out.select(
         "node", "timestamp", "price", "signal",
         F.round("mwh", 6).alias("mwh"), F.round("revenue", 10).alias("revenue"), F.round("soc", 6).alias("soc"),
