@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from types import MappingProxyType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pricepanel.session import scratch
@@ -42,6 +44,29 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of some texts between ASCII white space, which of them each
+    word is, one text after the other, and the number of words of each text."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = lists.flatten()
+    real = pc.not_equal(flat, "")  # white space at the ends leaves empty strings
+    row = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    sizes = np.bincount(row[real.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    found = flat.filter(real).dictionary_encode()
+    return found.dictionary.cast(pa.binary()).to_pylist(), found.indices.to_numpy(), sizes
+
+
+def joined(raw: list[bytes], which: np.ndarray, sizes: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of different words, each given as bytes of ``kind``, strung together in
+    the order of ``which``; and where the values of each text end, 0 in front."""
+    lengths = np.fromiter(map(len, raw), np.int64, len(raw)) // np.dtype(kind).itemsize
+    whole = np.frombuffer(b"".join(raw), kind)
+    n = lengths[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(lengths) - lengths)[which] - ends[:-1], n) + np.arange(ends[-1])
+    return whole[at], ends[np.concatenate([[0], np.cumsum(sizes)])]
+
+
 def record(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema

@@ -111,7 +111,7 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
-    trained = lm.Trained(docs.filter(~F.col("held_out")), public_tokenizers.path("byte_bpe_50k.json"))
+    trained = lm.Trained(docs.filter(~F.col("held_out")), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return lm.score(docs, trained)
 
 
