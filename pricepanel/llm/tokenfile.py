@@ -13,8 +13,8 @@ is a prefix sum over the index. Files are memory-mapped when read. A task writes
 names of its own and the index holds those of the attempts that Spark committed, so
 lost executors leave at most files that no row names.
 
-Ids come from the tokenizers library; chunks between white space, which no token
-crosses, are encoded once per worker and looked up afterwards. Null texts are empty:
+Ids come from the tokenizers library; words between white space, which no token
+crosses, are encoded once per worker and strung together as arrays. Null texts are empty:
 they hold the end id alone. Null document ids come first. Rows that share an id are
 separate documents, by text. An empty table gives an index without rows.
 """
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pricepanel.llm.bpe import chunks, of_worker, shared
-from pricepanel.llm.common import record, slices
+from pricepanel.llm.common import joined, record, slices, split_words
 from pricepanel.session import width
 
 CACHE = 1_000_000
@@ -40,50 +40,53 @@ TOGETHER = 32
 
 
 class Library:
-    """The library's encoder with a bounded cache of chunks."""
+    """The library's encoder with a bounded cache of words."""
 
     def __init__(self, content: str):
+        import os
+
+        # Threads within a task would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.added = {a["content"]: a["id"] for a in json.loads(content)["added_tokens"] if not a["normalized"]}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def kind(self, end: int) -> str:
         return "<u2" if max(self.tokenizer.get_vocab_size(True), end + 1) <= 1 << 16 else "<u4"
 
-    def learn(self, new: list[str], kind: str) -> None:
-        """Encodes chunks, many in one call: an added token between two of them
-        keeps them apart and shows where each ends."""
+    def learn(self, new: list[bytes], kind: str) -> None:
+        """Encodes words, many in one call: an added token between two of them keeps
+        them apart and shows where each ends."""
         mark, number = next(iter(self.added.items()), (None, None))
-        alone = [c for c in new if mark is None or any(a in c for a in self.added)]
-        for c in alone:
-            self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, kind).tobytes()
-        if mark is None:
-            return
-        rest = [c for c in new if c not in self.known] if alone else new
-        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for group, got in zip(
-            groups, self.tokenizer.encode_batch_fast([mark.join(g) for g in groups], add_special_tokens=False)
-        ):
-            ids = np.array(got.ids, kind)
+        texts = [w.decode() for w in new]
+        alone = [mark is None or len(chunks(t)) != 1 or any(a in t for a in self.added) for t in texts]
+        for w, t in ((w, t) for w, t, single in zip(new, texts, alone) if single):
+            ids = [i for c in chunks(t) for i in self.tokenizer.encode(c, add_special_tokens=False).ids]
+            self.known[w] = np.array(ids, kind).tobytes()
+        rest = [(w, t) for w, t, single in zip(new, texts, alone) if not single]
+        for a in range(0, len(rest), TOGETHER):
+            group = rest[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode(mark.join([t for _, t in group]), add_special_tokens=False).ids, kind)
             ends = np.flatnonzero(ids == number).tolist()
             raw, size = ids.tobytes(), ids.itemsize
-            for c, a, b in zip(group, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
-                self.known[c] = raw[a * size : b * size]
-
-    def encode(self, texts: list[str | None], kind: str) -> list[bytes]:
-        """The ids of each text as bytes of ``kind``."""
+            for (w, _), x, y in zip(group, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
+                self.known[w] = raw[x * size : y * size]
+
+    def encode(self, texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each ends, 0 in front.
+        Words between ASCII white space, which no token crosses, are dealt with once
+        per batch; what other white space they hold is cut when they are encoded."""
+        different, which, sizes = split_words(texts)
+        new = [w for w in different if w not in self.known]
         if len(self.known) > CACHE:
             self.known.clear()
-        cut = [chunks(t or "") for t in texts]
-        found = [list(map(self.known.get, row)) for row in cut]
-        if any(None in got for got in found):
-            self.learn(list({c for row, got in zip(cut, found) if None in got for c, x in zip(row, got) if x is None}), kind)
-            found = [list(map(self.known.__getitem__, row)) if None in got else got for row, got in zip(cut, found)]
-        return [b"".join(got) for got in found]
+            new = different
+        self.learn(new, kind)
+        return joined(list(map(self.known.__getitem__, different)), which, sizes, kind)
 
 
 def _at(path: str):
@@ -109,29 +112,28 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, doc_id: str
         part = TaskContext.get().partitionId()
         stem = f"{path}/part-{part:08d}-{uuid.uuid4().hex}"
         store, place = _at(stem)
-        codec, tok, ids, nulls, offsets, at = of_worker(library, Library), None, [], [], [0], 0
+        codec, tok, off, ids, nulls, n, at = of_worker(library, Library), None, None, [], [], 0, 0
         kind = codec.kind(end)
-        last = np.array([end], kind).tobytes()
         for batch in slices(batches):
             if tok is None:
                 store.create_dir(place.rpartition("/")[0], recursive=True)
-                tok = store.open_output_stream(f"{place}.tok")
-            for raw in codec.encode(batch.column(1).to_pylist(), kind):
-                tok.write(raw)
-                tok.write(last)
-                at += (len(raw) + len(last)) // len(last)
-                offsets.append(at)
+                tok, off = (store.open_output_stream(f"{place}.{x}") for x in ("tok", "off"))
+                off.write(np.zeros(1, "<u8").tobytes())
+            found, ends = codec.encode(batch.column(1), kind)
+            tok.write(np.insert(found, ends[1:], end).tobytes())  # the end id after each text
+            ends = ends[1:] + np.arange(1, len(ends)) + at
+            off.write(ends.astype("<u8").tobytes())
+            n, at = n + len(ends), int(ends[-1])
             col = batch.column(0)
             nulls.append(col.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
             ids.append(col.fill_null(0).to_numpy().astype("<i8"))
         if tok is None:
             return
         tok.close()
-        with store.open_output_stream(f"{place}.off") as f:
-            f.write(np.array(offsets, "<u8").tobytes())
+        off.close()
         with store.open_output_stream(f"{place}.doc") as f:
             f.write(np.concatenate(ids).tobytes() + np.concatenate(nulls).tobytes())
-        yield record(_INDEX, [[part], [f"{stem}.tok"], [f"{stem}.off"], [f"{stem}.doc"], [kind], [len(offsets) - 1], [at]])
+        yield record(_INDEX, [[part], [f"{stem}.tok"], [f"{stem}.off"], [f"{stem}.doc"], [kind], [n], [at]])
 
     key = F.col(doc_id).cast("long").alias("id")
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
