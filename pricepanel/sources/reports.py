@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -114,7 +116,15 @@ def _csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[DataFra
     if len(groups) <= 1:
         return [spark.read.option("header", True).csv(paths)]
     # enforceSchema off: Spark itself fails on a file whose header is not the group's.
-    return [spark.read.option("header", True).option("enforceSchema", False).csv(sorted(g["files"])) for g in sorted(groups, key=lambda g: g["header"])]
+    return [
+        spark.read.option("header", True).option("enforceSchema", False).csv(sorted(map(_as_path, g["files"])))
+        for g in sorted(groups, key=lambda g: g["header"] or "")
+    ]
+
+
+def _as_path(uri: str) -> str:
+    """A file's own path from its URI: names with blanks, signs or glob letters."""
+    return re.sub(r"([\\\[\]{}*?^])", r"\\\1", unquote(uri))
 
 
 def read_zone_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -124,8 +134,6 @@ def read_zone_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-#: Columns a member may have; wider ones are rejected by name.
-MAX_FIELDS = 64
 _MEMBER_SCHEMA = "file string, member string, header string, line string, reason string"
 
 
@@ -164,10 +172,16 @@ def _headings() -> list[str]:
     return ["timestamp", "node", "price"]
 
 
+def _fields(line: str) -> Column:
+    """The fields of a CSV line, however many; quoted ones still in quotes. A comma in
+    front of the line lets every field start with one."""
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(',("(?:[^"]|"")*"|[^,]*)'), 1)
+
+
 def _field_at(wanted: str) -> Column:
     """Place of the first heading that means ``wanted``, from 0; -1 without one."""
     names = [k for k, v in COLUMN_ALIASES.items() if v == wanted] + [wanted]
-    heads = F.transform(F.split("header", ","), lambda h: F.lower(F.trim(F.regexp_replace(h, '"', ""))))
+    heads = F.transform(_fields("header"), lambda h: F.lower(F.trim(F.regexp_replace(h, '"', ""))))
     return F.array_position(F.transform(heads, lambda h: h.isin(*names)), F.lit(True)).cast("int") - 1
 
 
@@ -181,12 +195,14 @@ def unzip_csv(files: DataFrame) -> DataFrame:
     rows = _member_lines(files).filter("reason IS NULL AND line <> ''")
     for name in _headings():
         rows = rows.withColumn(f"_{name}", _field_at(name))
-    rows = rows.filter("_timestamp >= 0 AND _node >= 0 AND _price >= 0").filter(F.size(F.split("header", ",")) <= MAX_FIELDS)
-    # As many text columns as any header of interest has; quotes and commas are handled by the parser.
-    parsed = rows.withColumn("_v", F.from_csv("line", ", ".join(f"c{i} string" for i in range(MAX_FIELDS))))
-    fields = F.array(*[F.col("_v")[f"c{i}"] for i in range(MAX_FIELDS)])
-    value = lambda name: F.get(fields, F.col(f"_{name}"))
-    return parsed.select(
+    rows = rows.filter("_timestamp >= 0 AND _node >= 0 AND _price >= 0").withColumn("_v", _fields("line"))
+
+    def value(name: str) -> Column:
+        raw = F.get("_v", F.col(f"_{name}"))
+        bare = F.regexp_replace(F.substring(raw, F.lit(2), F.length(raw) - 2), '""', '"')
+        return F.nullif(F.when(raw.startswith('"'), bare).otherwise(raw), F.lit(""))
+
+    return rows.select(
         as_timestamp(value("timestamp")).alias("timestamp"),
         value("node").alias("node"),
         clean_number(value("price")).alias("price"),
@@ -201,8 +217,7 @@ def rejected_members(files: DataFrame) -> DataFrame:
     missing = F.lit(False)
     for name in _headings():
         missing = missing | (_field_at(name) < 0)
-    wide = F.size(F.split("header", ",")) > MAX_FIELDS
-    why = F.coalesce("reason", F.when(missing, "no column for timestamp, node or price").when(wide, f"more than {MAX_FIELDS} columns"))
+    why = F.coalesce("reason", F.when(missing, "no column for timestamp, node or price"))
     return (
         rows.withColumn("reason", why)
         .filter("reason IS NOT NULL")

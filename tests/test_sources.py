@@ -75,6 +75,29 @@ def test_columns_by_name_in_every_file(spark, tmp_path):
         assert [(r["timestamp"].day, r["node"], r["price"]) for r in got] == [(1, "A", 1.0), (2, "B", 2.0)]
 
 
+ODD_NAMES = ["a b.csv", "c+d.csv", "e%20f.csv", "g[1].csv", "h,i.csv", "{j}.csv"]
+
+
+def test_any_file_name(spark, tmp_path):
+    for i, name in enumerate(ODD_NAMES):
+        head = "Time Stamp,Name,LBMP ($/MWHr)" if i % 2 else "Name,Time Stamp,LBMP ($/MWHr)"
+        when, node = f"2024-01-01 0{i}:00:00", f"N{i}"
+        (tmp_path / name).write_text(f"{head}\n{when},{node},{i}.5\n" if i % 2 else f"{head}\n{node},{when},{i}.5\n")
+    got = reports.read_zone_csv(spark, str(tmp_path)).collect()
+    assert sorted((r["node"], r["timestamp"].hour, r["price"]) for r in got) == [(f"N{i}", i, i + 0.5) for i in range(len(ODD_NAMES))]
+
+
+def test_wide_and_quoted_archive_members(spark, tmp_path):
+    extra = [f"x{i}" for i in range(300)]
+    with zipfile.ZipFile(tmp_path / "w.zip", "w") as z:
+        z.writestr("a.csv", ",".join(["", *extra, "Name", '"Time Stamp"', "LBMP ($/MWHr)"]) + "\n" + ",".join(["", *"7" * 300, '"A, ""west"""', "2024-01-01 00:00:00", '"1.5"']) + "\n")
+        z.writestr("b.csv", "Name,Time Stamp,LBMP ($/MWHr)\n,2024-01-01 01:00:00,\nB,2024-01-01 02:00:00\n")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))
+    got = {(r["timestamp"].hour, r["node"], r["price"]) for r in reports.unzip_csv(files).collect()}
+    assert got == {(0, 'A, "west"', 1.5), (1, None, None), (2, "B", None)}
+    assert reports.rejected_members(files).count() == 0
+
+
 @pytest.mark.parametrize("text", ["nodes:\n  - A\n  - B\n", "A\nB\n", "A,B\n", "nodes: [A, 'B']\n# note\n"])
 def test_node_lists(spark, tmp_path, text):
     (tmp_path / "nodes.txt").write_text(text)
