@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricepanel.functions import kernels as kn
 from pricepanel.functions.timegrid import calendar, plus_minutes
 from pricepanel.operators import features as ft
-from pricepanel.operators.ordering import lagged, last_known, number_rows, previous
+from pricepanel.operators.ordering import in_chunks, lagged, last_known, number_rows, previous
 from pricepanel.operators.panel import regular_grid
 from pricepanel.session import scratch, spread
 
@@ -479,12 +480,16 @@ def register(name: str, forecaster: Forecaster) -> None:
     FORECASTERS[name] = forecaster
 
 
-def register_function(
-    name: str,
-    function: Callable[[pd.Series, pd.Timestamp, int], np.ndarray],
-    history: int = 672,
-) -> None:
-    """Add a plain function ``(train, t0, horizon) -> values``.
+Function = Callable[[pd.Series, pd.Timestamp, int], np.ndarray]
+
+
+def register_function(name: str, function: Function, history: int = 672) -> None:
+    """Add a plain function to the registry, see :func:`from_function`."""
+    register(name, from_function(function, history))
+
+
+def from_function(function: Function, history: int = 672) -> Forecaster:
+    """A forecaster from a plain function ``(train, t0, horizon) -> values``.
 
     ``train`` is the series of the ``history`` slots before ``t0``. Each call is
     one group of at most that many rows.
@@ -520,7 +525,43 @@ def register_function(
             call, "node string, origin timestamp_ntz, h int, yhat double"
         )
 
-    register(name, forecaster)
+    return forecaster
+
+
+#: Slots that the table function takes in one partition, besides the lead-in.
+STRETCH = 4096
+
+
+def slots(grid: DataFrame, history: int = 672) -> DataFrame:
+    """The table a SQL forecaster takes: numbered slots cut to stretches with the
+    ``history`` slots before them, so that no partition holds a whole node."""
+    return in_chunks(grid, STRETCH, lookback=history).withColumnsRenamed({"_chunk": "part", "_own": "own"})
+
+
+def sql_function(
+    spark: SparkSession, name: str, function: Function, history: int = 672, first: int = 1344, horizon: int = 32
+) -> None:
+    """Make a plain function a table function of SQL:
+
+    ``SELECT * FROM name(TABLE(slots) PARTITION BY (node, part) ORDER BY rn)`` over a
+    view of :func:`slots`. Rows of a stretch stream by in time order; only the
+    ``history`` slots before the current one are held.
+    """
+
+    class Forecast:
+        def __init__(self):
+            self.times, self.prices = deque(maxlen=history), deque(maxlen=history)
+
+        def eval(self, row: Row):
+            place, at = row["rn"] - 1, row["timestamp"]
+            if row["own"] and place >= first and (place - first) % horizon == 0 and place < row["n"] - horizon:
+                train = pd.Series(np.array(self.prices, dtype=float), index=pd.DatetimeIndex(list(self.times)))
+                for h, y in enumerate(np.asarray(function(train, pd.Timestamp(at), horizon), dtype=float).tolist()):
+                    yield row["node"], at, h, y
+            self.times.append(at)
+            self.prices.append(row["price"])
+
+    spark.udtf.register(name, F.udtf(Forecast, returnType="node string, origin timestamp_ntz, h int, yhat double"))
 
 
 def walk_forward(

@@ -221,12 +221,24 @@ def _day_mean(train, t0, horizon):
     return np.full(horizon, train.iloc[-96:].mean())
 
 
-@query("g8_registered_function", f"""WITH {sql.P}, {sql.GRID}, {_ORIGINS}
+_G8 = f"""WITH {sql.P}, {sql.GRID}, {_ORIGINS}
 SELECT org.node, org.timestamp AS origin, h, round(m, 4) AS yhat FROM (
   SELECT org.node, org.timestamp, avg(q.price) AS m FROM org JOIN pos q
-  ON q.node = org.node AND q.pos BETWEEN org.pos - 96 AND org.pos - 1 GROUP BY 1, 2) org CROSS JOIN range(32) x(h)""")
+  ON q.node = org.node AND q.pos BETWEEN org.pos - 96 AND org.pos - 1 GROUP BY 1, 2) org CROSS JOIN range(32) x(h)"""
+
+
+@query("g8_registered_function", _G8)
 def g8(spark, d):
-    fc.register_function("day_mean", _day_mean, history=96)
-    grid = fc.gridded(fx.events_panel(spark, d))
-    f = fc.FORECASTERS["day_mean"](grid, 1344, 32)
+    f = fc.from_function(_day_mean, history=96)(fc.gridded(fx.events_panel(spark, d)), 1344, 32)
     return f.select("node", "origin", F.col("h").cast("bigint").alias("h"), _r("yhat", 4).alias("yhat"))
+
+
+@query("g8_sql_function", _G8)
+def g8_sql(spark, d):
+    fc.sql_function(spark, "day_mean", _day_mean, history=96)
+    grid = fc.gridded(fx.events_panel(spark, d))
+    return spark.sql(
+        "SELECT node, origin, CAST(h AS BIGINT) AS h, round(yhat, 4) AS yhat"
+        " FROM day_mean(TABLE({slots}) PARTITION BY (node, part) ORDER BY rn)",
+        slots=fc.slots(grid, 96),
+    )

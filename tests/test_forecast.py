@@ -191,3 +191,21 @@ def test_registered_function_sees_only_the_past(spark):
     s = series(spark).toPandas().set_index("timestamp").price
     for origin, yhat in f.groupby("origin").yhat.first().items():
         assert yhat == s.loc[: origin - pd.Timedelta("15min")].iloc[-1]
+
+
+def test_sql_function_over_stretches(spark, monkeypatch):
+    """Stretches shorter than a node, with gaps: the same as calling it per origin."""
+    monkeypatch.setattr(fc, "STRETCH", 70)
+    last = lambda train, t0, h: np.full(h, (train.dropna().iloc[-1] if train.notna().any() else 0.0) + len(train))
+    grid = fc.gridded(gappy(spark))
+    fc.sql_function(spark, "last_plus", last, history=50, first=96, horizon=16)
+    got = spark.sql(
+        "SELECT * FROM last_plus(TABLE({t}) PARTITION BY (node, part) ORDER BY rn)", t=fc.slots(grid, 50)
+    ).toPandas()
+    s = grid.toPandas().sort_values("rn").set_index("timestamp").price
+    places = range(96, 300 - 16, 16)
+    assert len(got) == 16 * len(places)
+    for i in places:
+        train = s.iloc[i - 50 : i].dropna()
+        if len(train):
+            assert (got[got.origin == s.index[i]].yhat == train.iloc[-1] + 50).all()
