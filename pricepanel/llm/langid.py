@@ -5,9 +5,10 @@ is compressed with each of them, in blocks, and the dictionary that leaves the
 fewest bytes names the language; both are lower-cased, for texts in capitals. The score is the margin, (second - first) / second
 of the sizes; where it is narrow the text counts as rejected.
 
-Fitting reads a bounded sample: ``PER_LANG`` different texts of a language, the first
-``CHARS`` characters of each, ``DICT_BYTES`` in all, for the ``MAX_LANGS`` most
-frequent languages. Predictions read whole texts, and nothing but the text.
+Fitting reads a bounded sample of every language: ``PER_LANG`` different texts, which
+share ``DICT_BYTES`` evenly, ``CHARS`` characters of a text at most. All dictionaries
+together have ``ALL_BYTES``, which many languages share evenly too. Predictions read
+whole texts, and nothing but the text.
 
 Null texts and texts without a letter are ``und`` with score 0. With one language
 known every other text belongs to it with score 1; with none all are ``und``. Ties
@@ -26,7 +27,7 @@ from pricepanel.llm.common import OWN, slices
 PER_LANG = 200
 CHARS = 2_000
 DICT_BYTES = 112_640
-MAX_LANGS = 256
+ALL_BYTES = 32 << 20
 BLOCK = 4_096
 LEVEL = 6
 #: Texts of so few bytes are compressed at a slower level, which finds shorter matches and leaves fewer ties.
@@ -40,14 +41,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     known = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    # Copies count for the frequency of a language, but are drawn as one.
+    # Copies are drawn as one.
     texts = known.groupBy("lang", F.xxhash64("text").alias("h")).count()
-    counts = (
-        texts.groupBy("lang").agg(F.sum("count").alias("rows"), F.count("*").alias("texts"))
-        .orderBy(F.desc("rows"), "lang").limit(MAX_LANGS).collect()
-    )
+    counts = texts.groupBy("lang").agg(F.count("*").alias("texts")).collect()
     if not counts:
         return {}
+    size = min(DICT_BYTES, ALL_BYTES // len(counts))
+    each = {r["lang"]: max(1, min(CHARS, size // min(PER_LANG, r["texts"]))) for r in counts}
+    chars = F.create_map(*[F.lit(x) for pair in each.items() for x in pair])
     # A share of each language's texts by their hash, some three times the wanted number; the lowest hashes stay.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 3.0 * PER_LANG / r["texts"]))])
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
@@ -55,7 +56,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     rows = (
         known.withColumn("spot", spot)
         .filter(F.col("spot") < share[F.col("lang")])
-        .select("lang", "spot", F.substring("text", 1, CHARS).alias("text"))
+        .select("lang", "spot", F.col("text").substr(F.lit(1), chars[F.col("lang")]).alias("text"))
         .distinct()
         .withColumn("n", F.row_number().over(first))
         .filter(F.col("n") <= PER_LANG)
@@ -65,7 +66,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str
     parts: dict[str, list[bytes]] = {r["lang"]: [] for r in counts}
     for r in sorted(rows, key=lambda r: (r["lang"], r["n"])):
         parts[r["lang"]].append(r["text"].lower().encode())
-    return {k: b"\n".join(v)[-DICT_BYTES:] for k, v in sorted(parts.items()) if v}
+    return {k: b"\n".join(v)[:size] for k, v in sorted(parts.items()) if v}
 
 
 class Sizes:
@@ -100,7 +101,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text")
     """``docs`` with lang_pred, score and rejected; columns of those names are replaced."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected")])
     at = docs.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGS x DICT_BYTES at most
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # ALL_BYTES at most
     schema = docs.limit(0).selectExpr(
         "*", "CAST(NULL AS string) AS lang_pred", "CAST(NULL AS double) AS score", "CAST(NULL AS boolean) AS rejected"
     ).schema
