@@ -50,7 +50,16 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        # What goes and what stays, for reading: removal may cut letters of several bytes.
+        (F.col("n_removed") > 0).alias("repeats"),
+        F.expr("make_valid_utf8(CAST(kept_bytes AS STRING))").alias("kept_text"),
+    )
 
 
 @query
