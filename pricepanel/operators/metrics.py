@@ -53,14 +53,25 @@ def mean_runtime(df: DataFrame) -> DataFrame:
     )
 
 
-def pivot_models(detailed: DataFrame, value: str = "revenue", models: Sequence[str] = MODELS) -> DataFrame:
-    """One row per node, one column per model."""
-    return detailed.groupBy(*_keys(detailed)).pivot("model", list(models)).agg(F.avg(value))
+def names_in(df: DataFrame, column: str) -> list[str]:
+    """The names a column holds, for a pivot; the session's pivot limit bounds them."""
+    limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} values of {column}")
+    return [r[0] for r in rows]
 
 
-def pivot_nodes(df: DataFrame, nodes: Sequence[str], value: str = "revenue") -> DataFrame:
-    """One row per model, one column per node."""
-    return df.groupBy("model").pivot("node", list(nodes)).agg(F.avg(value))
+def pivot_models(detailed: DataFrame, value: str = "revenue", models: Sequence[str] | None = MODELS) -> DataFrame:
+    """One row per node, one column per model; those of the data where none are named."""
+    models = names_in(detailed, "model") if models is None else list(models)
+    return detailed.groupBy(*_keys(detailed)).pivot("model", models).agg(F.avg(value))
+
+
+def pivot_nodes(df: DataFrame, nodes: Sequence[str] | None = None, value: str = "revenue") -> DataFrame:
+    """One row per model, one column per node; those of the data where none are named."""
+    nodes = names_in(df, "node") if nodes is None else list(nodes)
+    return df.groupBy("model").pivot("node", nodes).agg(F.avg(value))
 
 
 def vs_oracle(detailed: DataFrame, oracle: str = ORACLE) -> DataFrame:
@@ -79,12 +90,13 @@ def vs_oracle(detailed: DataFrame, oracle: str = ORACLE) -> DataFrame:
 
 def relative(
     detailed: DataFrame,
-    models: Sequence[str] = MODELS,
+    models: Sequence[str] | None = MODELS,
     oracle: str = ORACLE,
     ridge: str = RIDGE,
     naive: str = NAIVE,
 ) -> DataFrame:
     """Percent of oracle per model and ridge over naive, one row per node."""
+    models = names_in(detailed, "model") if models is None else models
     wide = pivot_models(detailed, "revenue", models)
     out = [
         percent_of(F.col(f"`{m}`"), F.col(f"`{oracle}`")).alias(f"{m}_vs_oracle")

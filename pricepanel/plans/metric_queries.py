@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from pricepanel.operators import metrics as mt
 from pricepanel.plans import fixtures as fx, sql
-from pricepanel.plans.panel_queries import PRIORITIES
 from pricepanel.plans.registry import query
 
 ROLE = dict(oracle="1-URGENT", ridge="2-HIGH", naive="3-MEDIUM")
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]  # fixed
 
 _DET = """det AS (SELECT iso, node, model, avg(revenue) AS revenue, avg(runtime_seconds) AS runtime_seconds
   FROM res GROUP BY 1, 2, 3)"""
@@ -67,28 +65,23 @@ def i2_runtime(spark, d):
     return _all_rounded(mt.mean_runtime(fx.results(spark, d)), ["model"])
 
 
-def _pivot(value: str, column: str, names) -> str:
-    return ", ".join(
-        f"round(avg({value}) FILTER (WHERE {column} = '{n}'), 6) AS \"{n}\"" for n in names
-    )
+# Columns of pivots are the models or nodes that the data have, on both sides.
 
 
-@query("i3_pivot_revenue", f"""WITH {_CUST}
-SELECT iso, node, {_pivot('revenue', 'model', PRIORITIES)} FROM det GROUP BY 1, 2""")
+@query("i3_pivot_revenue", f"WITH {_CUST} PIVOT (SELECT iso, node, model, revenue FROM det) ON model USING round(avg(revenue), 6) GROUP BY iso, node")
 def i3(spark, d):
-    return _all_rounded(mt.pivot_models(_customers(spark, d), "revenue", PRIORITIES), ["iso", "node"])
+    return _all_rounded(mt.pivot_models(_customers(spark, d), "revenue", None), ["iso", "node"])
 
 
 @query("i3_pivot_runtime", f"""WITH {_CUST}
-SELECT iso, node, {_pivot('runtime_seconds', 'model', PRIORITIES)} FROM det GROUP BY 1, 2""")
+PIVOT (SELECT iso, node, model, runtime_seconds FROM det) ON model USING round(avg(runtime_seconds), 6) GROUP BY iso, node""")
 def i3_runtime(spark, d):
-    return _all_rounded(mt.pivot_models(_customers(spark, d), "runtime_seconds", PRIORITIES), ["iso", "node"])
+    return _all_rounded(mt.pivot_models(_customers(spark, d), "runtime_seconds", None), ["iso", "node"])
 
 
-@query("i3_pivot_nodes", f"""WITH {sql.RES}
-SELECT model, {_pivot('revenue', 'node', SEGMENTS)} FROM res GROUP BY 1""")
+@query("i3_pivot_nodes", f"WITH {sql.RES} PIVOT (SELECT model, node, revenue FROM res) ON node USING round(avg(revenue), 6) GROUP BY model")
 def i3_nodes(spark, d):
-    return _all_rounded(mt.pivot_nodes(fx.results(spark, d), SEGMENTS), ["model"])
+    return _all_rounded(mt.pivot_nodes(fx.results(spark, d)), ["model"])
 
 
 @query("c7_join_oracle", f"""WITH {_CUST}, {_VS}
@@ -98,25 +91,19 @@ def c7(spark, d):
     return _all_rounded(mt.vs_oracle(_customers(spark, d), ROLE["oracle"]), ["iso", "node", "model"])
 
 
-_OTHERS = [p for p in PRIORITIES if p != ROLE["oracle"]]
-_REL = ", ".join(
-    f"round(avg(revenue) FILTER (WHERE model = '{m}') / nullif(avg(revenue) FILTER (WHERE model = '1-URGENT'), 0) * 100, 6)"
-    f' AS "{m}_vs_oracle"'
-    for m in _OTHERS
-)
-
-
-@query("i4_percent_of_oracle", f"""WITH {_CUST}, w AS (SELECT iso, node, {_REL} FROM det GROUP BY 1, 2)
-SELECT * FROM w""")
+@query("i4_percent_of_oracle", f"""WITH {_CUST}, {_VS}
+SELECT * FROM (SELECT DISTINCT iso, node FROM det) LEFT JOIN (
+  PIVOT (SELECT iso, node, model || '_vs_oracle' AS m, pct FROM vs WHERE model <> '1-URGENT') ON m USING round(avg(pct), 6) GROUP BY iso, node)
+USING (iso, node)""")
 def i4(spark, d):
-    r = mt.relative(_customers(spark, d), PRIORITIES, ROLE["oracle"], "none", "none")
+    r = mt.relative(_customers(spark, d), None, ROLE["oracle"], "none", "none")
     return _all_rounded(r, ["iso", "node"])
 
 
 @query("i5_ridge_vs_naive", f"""WITH {_CUST}, {_TWO}
 SELECT iso, node, round((r - n) / nullif(n, 0) * 100, 6) AS ridge_vs_naive FROM two""")
 def i5(spark, d):
-    r = mt.relative(_customers(spark, d), PRIORITIES, ROLE["oracle"], ROLE["ridge"], ROLE["naive"])
+    r = mt.relative(_customers(spark, d), None, ROLE["oracle"], ROLE["ridge"], ROLE["naive"])
     return r.select("iso", "node", _r("ridge_vs_naive").alias("ridge_vs_naive"))
 
 

@@ -9,8 +9,6 @@ from pricepanel.operators import dispatch, panel as op
 from pricepanel.plans import fixtures as fx, sql
 from pricepanel.plans.registry import query
 
-NODES = ["click", "error", "purchase", "signup", "view"]  # event types, fixed
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
 def _r(c, digits=6):
@@ -184,7 +182,7 @@ def a7(spark, d):
         "tidy": p,
         "zone": p.withColumnRenamed("node", "zone"),
         "long": long_form,
-        "wide": op.to_wide(p, NODES),
+        "wide": op.to_wide(p),
     }
     parts = [
         op.normalise_panel(f).withColumn("layout", F.lit(name)) for name, f in layouts.items()
@@ -250,38 +248,33 @@ def c8(spark, d):
 
 # --- D: reshape ----------------------------------------------------------------
 
-_WIDE = ", ".join(f"avg(price) FILTER (WHERE node = '{n}') AS \"{n}\"" for n in NODES)
+# Columns are the nodes that the data have, on both sides.
+_WIDE = f"WITH {sql.P} PIVOT p ON node USING avg(price) GROUP BY timestamp"
 
 
-@query("d1_to_wide", f"WITH {sql.P} SELECT timestamp, {_WIDE} FROM p GROUP BY timestamp")
+@query("d1_to_wide", _WIDE)
 def d1(spark, d):
-    return op.to_wide(fx.events_panel(spark, d), NODES)
+    return op.to_wide(fx.events_panel(spark, d))
 
 
-@query("d2_to_wide_strict", f"WITH {sql.P} SELECT timestamp, {_WIDE} FROM p GROUP BY timestamp")
+@query("d2_to_wide_strict", _WIDE)
 def d2(spark, d):
-    return op.to_wide_strict(fx.events_panel(spark, d), NODES)
+    return op.to_wide_strict(fx.events_panel(spark, d))
 
 
-_DAY = ", ".join(
-    f"round(avg(price) FILTER (WHERE node = '{n}'), 6) AS \"{n}\"" for n in PRIORITIES
-)
-
-
-@query("d3_daily_mean_wide", f"""WITH {sql.DAILY}
-SELECT strftime(timestamp, '%Y-%m-%d') AS date, {_DAY} FROM daily GROUP BY 1""")
+@query("d3_daily_mean_wide", f"""WITH {sql.DAILY}, by_day AS (SELECT strftime(timestamp, '%Y-%m-%d') AS date, node, price FROM daily)
+PIVOT by_day ON node USING round(avg(price), 6) GROUP BY date""")
 def d3(spark, d):
-    wide = op.daily_mean_wide(fx.order_ticks(spark, d), PRIORITIES)
-    return wide.select(
-        F.col("date").cast("string").alias("date"), *[_r(F.col(f"`{n}`")).alias(n) for n in PRIORITIES]
-    )
+    wide = op.daily_mean_wide(fx.order_ticks(spark, d))
+    nodes = [c for c in wide.columns if c != "date"]
+    return wide.select(F.col("date").cast("string").alias("date"), *[_r(F.col(f"`{n}`")).alias(n) for n in nodes])
 
 
 @query("d4_wide_to_tidy", f"""WITH {sql.P}
 SELECT t.timestamp, n.node, p.price FROM (SELECT DISTINCT timestamp FROM p) t
 CROSS JOIN (SELECT DISTINCT node FROM p) n LEFT JOIN p ON p.timestamp = t.timestamp AND p.node = n.node""")
 def d4(spark, d):
-    return op.wide_to_tidy(op.to_wide(fx.events_panel(spark, d), NODES))
+    return op.wide_to_tidy(op.to_wide(fx.events_panel(spark, d)))
 
 
 # --- E: time grid --------------------------------------------------------------

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pricepanel.operators import dispatch, metrics as mt, panel as op
 from pricepanel.plans import fixtures as fx, sql
 from pricepanel.plans.metric_queries import _DET, _r
-from pricepanel.plans.panel_queries import NODES, PRIORITIES
 from pricepanel.plans.registry import query
 from pricepanel.session import scratch
 from pricepanel.sources import reports, results, store
@@ -122,7 +122,7 @@ SELECT t.timestamp, n.node, p.price FROM (SELECT DISTINCT timestamp FROM p) t
 CROSS JOIN (SELECT DISTINCT node FROM p) n LEFT JOIN p ON p.timestamp = t.timestamp AND p.node = n.node""")
 def a6(spark, d):
     path = scratch(spark, "wide")
-    wide = op.to_wide(fx.events_panel(spark, d), NODES).withColumnRenamed("timestamp", "DateTime")
+    wide = op.to_wide(fx.events_panel(spark, d)).withColumnRenamed("timestamp", "DateTime")
     wide.write.option("header", True).csv(path)
     return reports.read_wide(spark, path)
 
@@ -141,9 +141,9 @@ def a8(spark, d):
     """Tidy years, one wide year and one year of raw documents."""
     root = scratch(spark, "store")
     p = _daily_panel(spark, d)
-    year = F.year("timestamp")
+    year, nodes = F.year("timestamp"), op.node_names(p)
     store.write_tidy(p.filter((year < 1999) | (year > 2000)), root, "ERCOT", store.DAY_AHEAD)
-    store.write_wide(p.filter(year == 1999), store.wide_path(root, "ERCOT", store.DAY_AHEAD, 1999), PRIORITIES)
+    store.write_wide(p.filter(year == 1999), store.wide_path(root, "ERCOT", store.DAY_AHEAD, 1999), nodes)
     raw = p.filter(year == 2000).select(
         F.array(
             F.struct(F.lit("deliveryDate").alias("name"), F.lit(1).alias("cardinality")),
@@ -170,16 +170,15 @@ def a9(spark, d):
     return back.select("timestamp", "node", "price", F.col("year").cast("bigint").alias("year"))
 
 
-@query("a10_write_wide", f"""WITH {_MEAN}
-SELECT timestamp, {", ".join(f"avg(price) FILTER (WHERE node = '{n}') AS " + '"' + n + '"' for n in PRIORITIES)}
-FROM m GROUP BY timestamp""")
+@query("a10_write_wide", f"WITH {_MEAN} PIVOT m ON node USING avg(price) GROUP BY timestamp")
 def a10(spark, d):
     path = scratch(spark, "wide")
-    store.write_wide(_daily_panel(spark, d), path, PRIORITIES)
+    panel = _daily_panel(spark, d)
+    store.write_wide(panel, path, op.node_names(panel))
     back = spark.read.option("header", True).csv(path)
     return back.select(
         op.as_timestamp(F.col("timestamp")).alias("timestamp"),
-        *[F.col(f"`{n}`").cast("double").alias(n) for n in PRIORITIES],
+        *[F.col(f"`{n}`").cast("double").alias(n) for n in back.columns if n != "timestamp"],
     )
 
 
@@ -200,26 +199,40 @@ def a11(spark, d):
     return back.select("iso", "node", "model", _r("revenue").alias("revenue"), _r("runtime_seconds").alias("runtime_seconds"))
 
 
-@query("a12_write_metrics", f"""WITH {sql.RES_CUST}, {_DET}
-SELECT iso, node, model, round(revenue, 6) AS revenue, round(runtime_seconds, 6) AS runtime_seconds FROM det""")
+@query("a12_write_metrics", f"""WITH {sql.RES_CUST}, {_DET},
+nodes AS (SELECT DISTINCT iso, node FROM det), models AS (SELECT DISTINCT model FROM det),
+every AS (SELECT nodes.*, model, revenue, runtime_seconds FROM nodes CROSS JOIN models LEFT JOIN det USING (iso, node, model)),
+two AS (SELECT iso, node, max(revenue) FILTER (WHERE model = '1-URGENT') AS o, max(revenue) FILTER (WHERE model = '2-HIGH') AS r,
+        max(revenue) FILTER (WHERE model = '3-MEDIUM') AS n FROM det GROUP BY 1, 2)
+SELECT written, iso, node, item, round(value, 6) AS value FROM (
+  SELECT 'detailed_results' AS written, iso, node, model || ' revenue' AS item, revenue AS value FROM det
+  UNION ALL SELECT 'detailed_results', iso, node, model || ' runtime_seconds', runtime_seconds FROM det
+  UNION ALL SELECT 'revenue_by_node_model', iso, node, model, revenue FROM every
+  UNION ALL SELECT 'runtime_by_node_model', iso, node, model, runtime_seconds FROM every
+  UNION ALL SELECT 'relative_performance', iso, node, model || '_vs_oracle', revenue / nullif(o, 0) * 100
+            FROM every JOIN two USING (iso, node) WHERE model <> '1-URGENT'
+  UNION ALL SELECT 'relative_performance', iso, node, 'ridge_vs_naive', (r - n) / nullif(n, 0) * 100 FROM two)""")
 def a12(spark, d):
+    """All four tables written, read back and put one below the other."""
     path = scratch(spark, "metrics")
     detailed = mt.mean_results(fx.results(spark, d, "c_custkey"))
-    results.write_metrics(
-        {
-            "detailed_results": detailed,
-            "revenue_by_node_model": mt.pivot_models(detailed, "revenue", PRIORITIES),
-            "runtime_by_node_model": mt.pivot_models(detailed, "runtime_seconds", PRIORITIES),
-            "relative_performance": mt.relative(detailed, PRIORITIES, "1-URGENT", "2-HIGH", "3-MEDIUM"),
-        },
-        path,
-    )
-    back = spark.read.option("header", True).csv(f"{path}/detailed_results")
-    return back.select(
-        "iso", "node", "model",
-        _r(F.col("revenue").cast("double")).alias("revenue"),
-        _r(F.col("runtime_seconds").cast("double")).alias("runtime_seconds"),
-    )
+    written = {
+        "detailed_results": detailed,
+        "revenue_by_node_model": mt.pivot_models(detailed, "revenue", None),
+        "runtime_by_node_model": mt.pivot_models(detailed, "runtime_seconds", None),
+        "relative_performance": mt.relative(detailed, None, "1-URGENT", "2-HIGH", "3-MEDIUM"),
+    }
+    results.write_metrics(written, path)
+    parts = []
+    for name in written:
+        back = spark.read.option("header", True).csv(f"{path}/{name}")
+        keys = [c for c in ("iso", "node", "model") if c in back.columns]
+        values = [F.col(f"`{c}`").cast("double").alias(c) for c in back.columns if c not in keys]
+        tall = back.select(*keys, *values).unpivot(keys, [c for c in back.columns if c not in keys], "of", "value")
+        item = F.concat_ws(" ", "model", "of") if "model" in keys else F.col("of")
+        parts.append(tall.select(F.lit(name).alias("written"), "iso", "node", item.alias("item"), _r("value").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
 
 
 @query("i14_flatten_results", f"""WITH {_BY_NODE}
