@@ -37,6 +37,7 @@ from pricepanel.session import width
 
 CACHE = 1_000_000
 TOGETHER = 32
+ROWS = 512  # texts whose different words are looked up together
 
 
 class Library:
@@ -114,7 +115,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 1, doc_id: str
         store, place = _at(stem)
         codec, tok, off, ids, nulls, n, at = of_worker(library, Library), None, None, [], [], 0, 0
         kind = codec.kind(end)
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             if tok is None:
                 store.create_dir(place.rpartition("/")[0], recursive=True)
                 tok, off = (store.open_output_stream(f"{place}.{x}") for x in ("tok", "off"))
