@@ -388,6 +388,25 @@ def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
     return df.agg(count("node").alias("nodes"), count("timestamp").alias("intervals"))
 
 
+def day_sketches(df: DataFrame, lg_k: int = 12) -> DataFrame:
+    """One sketch of the distinct intervals per (node, day), of a few kB at most.
+
+    Sketches are stored and merged instead of the rows: a new day adds its own, and
+    as a union ignores what it already holds, a day that is added again, late rows
+    included, is not counted twice.
+    """
+    return df.groupBy("node", F.to_date("timestamp").alias("day")).agg(
+        F.hll_sketch_agg(F.col("timestamp").cast("string"), lg_k).alias("intervals")
+    )
+
+
+def merged_counts(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Distinct intervals per ``keys`` (all together without), from stored sketches.
+    The standard error is about 1.04 / sqrt(2 ** lg_k)."""
+    union = F.hll_sketch_estimate(F.hll_union_agg("intervals")).alias("intervals")
+    return sketches.groupBy(*keys).agg(union)
+
+
 def walk_forward_folds(
     df: DataFrame,
     n_splits: int = 3,

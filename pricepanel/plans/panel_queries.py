@@ -8,6 +8,7 @@ from pricepanel.functions import scalars, timegrid as tg
 from pricepanel.operators import dispatch, panel as op
 from pricepanel.plans import fixtures as fx, sql
 from pricepanel.plans.registry import query
+from pricepanel.session import scratch
 
 
 
@@ -246,6 +247,22 @@ def c8(spark, d):
     return op.distinct_counts(fx.ship_ticks(spark, d))
 
 
+@query("c8_day_sketches", f"""WITH {sql.SHIP}
+SELECT node, year(timestamp) AS year, count(DISTINCT timestamp) AS intervals, TRUE AS near FROM ship GROUP BY 1, 2""")
+def c8_sketches(spark, d):
+    """Sketches stored day by day, some days twice, merged by year; ``near`` tells that
+    the estimate is within three standard errors of the exact count beside it."""
+    ticks, path = fx.ship_ticks(spark, d), scratch(spark, "sketches")
+    for part in (F.month("timestamp") <= 7, F.month("timestamp") >= 6):
+        op.day_sketches(ticks.filter(part)).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path).withColumn("year", F.year("day").cast("bigint"))
+    merged = op.merged_counts(stored, "node", "year").withColumnRenamed("intervals", "estimate")
+    exact = ticks.groupBy("node", F.year("timestamp").cast("bigint").alias("year")).agg(F.countDistinct("timestamp").alias("intervals"))
+    error = 3 * 1.04 / 2**6
+    near = F.abs(F.col("estimate") - F.col("intervals")) <= error * F.col("intervals")
+    return exact.join(merged, ["node", "year"]).select("node", "year", "intervals", near.alias("near"))
+
+
 # --- D: reshape ----------------------------------------------------------------
 
 # Columns are the nodes that the data have, on both sides.

@@ -160,3 +160,17 @@ def test_grid_starts_at_the_first_row_and_fills_whole_days(spark):
     assert len(got) == 2 * 96 + 3
     assert [r["timestamp"] for r in got] == [t0 + dt.timedelta(minutes=15 * k) for k in range(len(got))]
     assert [r["price"] for r in got if r["price"] is not None] == [1.0, 2.0]
+
+
+def test_sketches_of_days_merge(spark):
+    """Many intervals, a day that comes twice, and late rows of a day."""
+    rows = spark.range(40_000).selectExpr(
+        "concat('N', id % 2) AS node", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST(id * 7 AS DECIMAL(18, 6))) AS timestamp"
+    )
+    early = op.day_sketches(rows.filter("timestamp < timestamp_ntz'2024-01-03 12:00:00'"))
+    late = op.day_sketches(rows.filter("timestamp >= timestamp_ntz'2024-01-02 00:00:00'"))
+    both = early.unionByName(late)
+    for r in op.merged_counts(both, "node").collect():
+        assert abs(r["intervals"] - 20_000) <= 3 * 1.04 / 64 * 20_000
+    assert abs(op.merged_counts(both).first()["intervals"] - 40_000) <= 3 * 1.04 / 64 * 40_000
+    assert op.merged_counts(both.limit(0), "node").count() == 0
