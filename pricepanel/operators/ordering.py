@@ -9,11 +9,14 @@ holds a third of the data is then spread over as many tasks as it has buckets.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pricepanel.functions.timegrid import floor_to
+from pricepanel.session import scratch, width
 
 NODE = ("node",)
 
@@ -110,27 +113,60 @@ def previous(
     keys: Sequence[str] = NODE,
     ts: str = "timestamp",
 ) -> DataFrame:
-    """Last known value of strictly earlier rows, without numbering the rows.
+    """Last known value of earlier rows, without numbering the rows.
 
-    Works on raw ticks with any number of rows per node: detail windows cover one
-    hour, and the last value of each hour is carried over by a scan of hours.
+    Works on raw ticks: rows are range-partitioned by key and time (rows of one moment
+    by their content, in an order that no run changes), so any number of ticks of a
+    node, even of one second, is spread. A task fills forward as rows stream by; what
+    comes before its part is carried over by a scan of one row per part and key. The
+    filled parts are written to the shared folder first, so that parts stay as they
+    are for both steps.
     """
-    tagged = df.withColumn("_v", value).withColumn("_hour", floor_to(ts, 60))
-    known_at = F.when(F.col("_v").isNotNull(), F.col(ts))
-    ends = tagged.groupBy(*_by(keys, "_hour")).agg(F.max_by("_v", known_at).alias("_last"))
-    earlier = (Window.unboundedPreceding, -1)
-    scan = Window.partitionBy(*keys).orderBy("_hour").rowsBetween(*earlier)
-    carried = ends.select(
-        *_by(keys, "_hour"), F.last("_last", ignorenulls=True).over(scan).alias("_carried")
-    )
-    inside = Window.partitionBy(*_by(keys, "_hour")).orderBy(ts).rowsBetween(*earlier)
-    return (
-        tagged.join(carried, _by(keys, "_hour"))
-        .withColumn(
-            alias, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carried"))
-        )
-        .select(*df.columns, alias)
-    )
+    spark = df.sparkSession
+    tagged = df.withColumn("_v", value).withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    dealt = tagged.repartitionByRange(width(spark), *keys, ts, "_tie").sortWithinPartitions(*keys, ts, "_tie")
+    at = [dealt.columns.index(k) for k in keys]
+    v = dealt.columns.index("_v")
+    schema = dealt.withColumn("_before", F.col("_v")).withColumn("_part", F.lit(0)).limit(0).schema
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, now, carried = TaskContext.get().partitionId(), None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            changes = np.zeros(n, bool)
+            for k in at:
+                codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy()
+                changes[1:] |= codes[1:] != codes[:-1]
+            changes[0] = [batch.column(k)[0].as_py() for k in at] != now
+            column = batch.column(v)
+            # Value 0 is what was carried here, value i + 1 that of row i.
+            values = pa.concat_arrays([pa.array([None if changes[0] else carried], column.type), column])
+            known = values.is_valid().to_numpy(zero_copy_only=False)
+            last = np.maximum.accumulate(np.where(known, np.arange(n + 1), 0))[:-1]
+            begin = np.maximum.accumulate(np.where(changes, np.arange(n), 0))
+            # Nothing from before the key's first row, unless it goes on from the last batch.
+            open_ = last < np.where((begin == 0) & ~changes[0], 0, begin + 1)
+            before = values.take(pa.array(last, mask=open_))
+            now = [batch.column(k)[n - 1].as_py() for k in at]
+            end = column[n - 1] if column[n - 1].is_valid else before[n - 1]
+            carried = end.as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, before, pa.array(np.full(n, part, np.int32))], names=names)
+
+    path = scratch(spark, "parts")
+    dealt.mapInArrow(run, schema).write.parquet(path)
+    filled = spark.read.schema(schema).parquet(path)
+    known_at = F.when(F.col("_v").isNotNull(), F.struct(ts, "_tie"))
+    ends = filled.groupBy("_part", *keys).agg(F.max_by("_v", known_at).alias("_last"))
+    scan = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    carried = ends.select(F.col("_part").alias("_p"), *own, F.last("_last", ignorenulls=True).over(scan).alias("_carried"))
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return filled.join(carried, same).select(*df.columns, F.coalesce("_before", "_carried").alias(alias))
 
 
 def last_known(

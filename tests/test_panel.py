@@ -174,3 +174,26 @@ def test_sketches_of_days_merge(spark):
         assert abs(r["intervals"] - 20_000) <= 3 * 1.04 / 64 * 20_000
     assert abs(op.merged_counts(both).first()["intervals"] - 40_000) <= 3 * 1.04 / 64 * 40_000
     assert op.merged_counts(both.limit(0), "node").count() == 0
+
+
+def test_previous_over_parts_of_a_second(spark):
+    """One second with most ticks, gaps, nulls over many parts, several keys."""
+    rng = np.random.default_rng(12)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("hot", start + dt.timedelta(seconds=int(s)), float(i)) for i, s in enumerate(np.sort(rng.integers(0, 400, 3000)) // 390)]
+    rows += [(f"n{i % 5}", start + dt.timedelta(seconds=7 * i), None if i % 3 or i < 60 else float(i)) for i in range(300)]
+    rows += [(None, start + dt.timedelta(seconds=i), float(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "node string, timestamp timestamp_ntz, price double").repartition(5)
+    got = ordering.previous(df, F.col("price"), "before").toPandas()
+    assert len(got) == len(rows)
+    for node in [f"n{i}" for i in range(5)]:
+        own = got[got.node == node].sort_values("timestamp")
+        want = own.price.ffill().shift()
+        assert (own.before.isna() == want.isna()).all() and (own.before.dropna() == want.dropna()).all()
+    hot = got[got.node == "hot"]
+    assert hot.before.isna().sum() == 1  # every tick but one has another one before it
+    assert hot.before.dropna().nunique() == len(hot) - 1
+    stamps = ordering.previous(df, F.col("timestamp"), "before").filter("node = 'hot'").toPandas()
+    assert (stamps.before.dropna() <= stamps.timestamp[stamps.before.notna()]).all()
+    assert got[got.node.isna()].before.isna().sum() == 1
+    assert ordering.previous(df.limit(0), F.col("price"), "before").count() == 0
