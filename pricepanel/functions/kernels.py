@@ -243,12 +243,9 @@ def window_grams(
     Returns ``(gram, right)``, index 0 being the intercept.
     """
     size = N_CALENDAR + 1
-    borders, place = np.unique(np.concatenate([starts, ends]), return_inverse=True)
-    rows = np.arange(borders[0], borders[-1])
-    stretch = np.searchsorted(borders, rows, side="right")  # stretch s lies before border s
-    active = np.concatenate([np.zeros((len(rows), 1), int), codes[rows] + list(OFFSETS.values())], axis=1)
-    on = np.concatenate([np.ones((len(rows), 1), bool), codes[rows] > 0], axis=1)
-    gram, right = np.zeros((len(borders), size, size)), np.zeros((len(borders), size))
+    rows, stretch, place, count = _stretches(starts, ends)
+    active, on = _active(codes[rows])
+    gram, right = np.zeros((count, size, size)), np.zeros((count, size))
     for i in range(active.shape[1]):
         np.add.at(right, (stretch[on[:, i]], active[on[:, i], i]), y[rows[on[:, i]]])
         for j in range(active.shape[1]):
@@ -259,6 +256,42 @@ def window_grams(
     return gram[last] - gram[first], right[last] - right[first]
 
 
+def window_totals(
+    codes: np.ndarray, y: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of rows and sums of prices by pair of features ``(i, j)``, ``i <= j``, of
+    the windows of ``window_grams``. Each row is summed once; a window adds up its own
+    stretches, so that prices outside it do not touch its sums."""
+    size = N_CALENDAR + 1
+    rows, stretch, place, count = _stretches(starts, ends)
+    active, on = _active(codes[rows])
+    gram, total = np.zeros((count, size, size)), np.zeros((count, size, size))
+    for i in range(active.shape[1]):
+        for j in range(i, active.shape[1]):
+            both = on[:, i] & on[:, j]
+            at = stretch[both], active[both, i], active[both, j]
+            np.add.at(gram, at, 1.0)
+            np.add.at(total, at, y[rows[both]])
+    own = [slice(a + 1, b + 1) for a, b in zip(place[: len(starts)].tolist(), place[len(starts) :].tolist())]
+    return np.stack([gram[s].sum(0) for s in own]), np.stack([total[s].sum(0) for s in own])
+
+
+def _stretches(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of some windows, the stretch between borders of windows that each is in,
+    the place of each start, then end, among the borders, and their number. Stretch s
+    lies before border s."""
+    borders, place = np.unique(np.concatenate([starts, ends]), return_inverse=True)
+    rows = np.arange(borders[0], borders[-1])
+    return rows, np.searchsorted(borders, rows, side="right"), place, len(borders)
+
+
+def _active(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The feature of each family that a row would switch on, and whether it does; the
+    intercept comes first."""
+    active = np.concatenate([np.zeros((len(codes), 1), int), codes + list(OFFSETS.values())], axis=1)
+    return active, np.concatenate([np.ones((len(codes), 1), bool), codes > 0], axis=1)
+
+
 def solve_grams(gram: np.ndarray, right: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Intercepts and coefficients of a stack of normal equations; the intercept is
     not penalised."""

@@ -85,8 +85,8 @@ def refit_schedule(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame
 TOGETHER = 64
 
 
-def _window_systems(panel: DataFrame, plan: RefitPlan, schema: T.StructType, made: Callable) -> DataFrame:
-    """Calls ``made(node, refits, gram, right)`` for stretches of ``TOGETHER`` refits.
+def _window_systems(panel: DataFrame, plan: RefitPlan, schema: T.StructType, made: Callable, sums: Callable = kn.window_grams) -> DataFrame:
+    """Calls ``made(node, refits, *sums(...))`` for stretches of ``TOGETHER`` refits.
 
     A row goes to the stretches whose windows it is in: one, or two where the window of
     a stretch's first refit reaches back into the one before. A group holds at most
@@ -109,8 +109,8 @@ def _window_systems(panel: DataFrame, plan: RefitPlan, schema: T.StructType, mad
         at = plan.rows(part * TOGETHER, TOGETHER)
         at = at[at <= end]
         starts, ends = np.maximum(at - plan.window, begin - 1) - begin + 1, at - begin + 1
-        gram, right = kn.window_grams(pdf[list(kn.LEVELS)].to_numpy(), pdf["price"].to_numpy(), starts, ends)
-        return pa.Table.from_pylist(made(pdf["node"].iloc[0], part * TOGETHER + np.arange(len(at)), gram, right), to_arrow_schema(schema))
+        found = sums(pdf[list(kn.LEVELS)].to_numpy(), pdf["price"].to_numpy(), starts, ends)
+        return pa.Table.from_pylist(made(pdf["node"].iloc[0], part * TOGETHER + np.arange(len(at)), *found), to_arrow_schema(schema))
 
     return spread(rows, "node", "_part").groupBy("node", "_part").applyInArrow(run, schema)
 
@@ -123,13 +123,13 @@ def window_cells(panel: DataFrame, plan: RefitPlan = RefitPlan()) -> DataFrame:
     cell = T.StructType([T.StructField(c, T.LongType()) for c in ("i", "j", "cnt")] + [T.StructField("total", T.DoubleType())])
     schema = T.StructType([*_KEY, T.StructField("cells", T.ArrayType(cell))])
 
-    def made(node, refits, gram, right):
-        for r, g, y in zip(refits.tolist(), gram, right):
-            i, j = np.nonzero(np.triu(g))
-            total = [y[a] if a == b else None for a, b in zip(i.tolist(), j.tolist())]
-            yield {"node": node, "refit": r, "cells": [dict(zip(("i", "j", "cnt", "total"), c)) for c in zip(i.tolist(), j.tolist(), g[i, j].tolist(), total)]}
+    def made(node, refits, gram, total):
+        for r, g, y in zip(refits.tolist(), gram, total):
+            i, j = np.nonzero(g)
+            cells = zip(i.tolist(), j.tolist(), g[i, j].astype(int).tolist(), y[i, j].tolist())
+            yield {"node": node, "refit": r, "cells": [dict(zip(("i", "j", "cnt", "total"), c)) for c in cells]}
 
-    return _window_systems(panel, plan, schema, lambda *a: list(made(*a))).select("node", "refit", F.inline("cells"))
+    return _window_systems(panel, plan, schema, lambda *a: list(made(*a)), kn.window_totals).select("node", "refit", F.inline("cells"))
 
 
 def _active_features() -> Column:

@@ -209,3 +209,22 @@ def test_sql_function_over_stretches(spark, monkeypatch):
         train = s.iloc[i - 50 : i].dropna()
         if len(train):
             assert (got[got.origin == s.index[i]].yhat == train.iloc[-1] + 50).all()
+
+
+def test_cells_hold_the_sum_of_every_pair(spark):
+    """Pairs of different features too, against sums over each window's rows."""
+    panel = series(spark, 900, keep=0.9)
+    got = {(r["refit"], r["i"], r["j"]): (r["cnt"], r["total"]) for r in fc.window_cells(panel).collect()}
+    rows = panel.orderBy("timestamp").collect()
+    plan, wanted = fc.RefitPlan(), {}
+    for refit, end in enumerate(plan.rows(0, 40).tolist()):
+        for t, price in ((r["timestamp"], r["price"]) for r in rows[max(0, end - plan.window) : end] if end <= len(rows)):
+            codes = [0, t.hour, t.minute // 15 and 23 + t.minute // 15, t.weekday() and 26 + t.weekday(), t.month > 1 and 31 + t.month]
+            on = [c for f, c in enumerate(codes) if c or not f]
+            for k, i in enumerate(on):
+                for j in on[k:]:
+                    cnt, total = wanted.get((refit, i, j), (0, 0.0))
+                    wanted[refit, i, j] = cnt + 1, total + price
+    assert got.keys() == wanted.keys()
+    for key, (cnt, total) in wanted.items():
+        assert got[key] == (cnt, pytest.approx(total, abs=1e-8)), key

@@ -79,6 +79,19 @@ def test_window_grams_are_those_of_each_window():
         assert np.allclose(gram, z[a:b].T @ z[a:b], atol=0) and np.allclose(right, z[a:b].T @ y[a:b])
 
 
+def test_window_totals_are_those_of_each_window():
+    rng = np.random.default_rng(6)
+    n = 250
+    codes = np.column_stack([rng.integers(0, m, n) for m in kn.LEVELS.values()])
+    y = rng.normal(40, 10, n)
+    y[[0, 20]] = np.inf, 1e18  # outside of some windows, whose sums they must not touch
+    z = np.hstack([np.ones((n, 1)), *[np.eye(m)[codes[:, i]][:, 1:] for i, m in enumerate(kn.LEVELS.values())]])
+    starts, ends = np.array([3, 3, 40, 100, 248]), np.array([4, 60, 130, 250, 250])
+    for a, b, gram, total in zip(starts, ends, *kn.window_totals(codes, y, starts, ends), strict=True):
+        assert (gram == np.triu(z[a:b].T @ z[a:b])).all()
+        assert np.allclose(total, np.triu(z[a:b].T @ (z[a:b] * y[a:b, None])))
+
+
 def test_lag_paths_equal_feeding_back():
     rng = np.random.default_rng(5)
     weights = np.array([0.6, -0.3, 0.2, 0.1])
