@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -262,6 +263,17 @@ def test_repeated_strings_against_brute_force(spark, hot, array_bytes, monkeypat
     assert substrings.removed(docs.limit(0)).count() == 0
 
 
+def test_suffix_arrays_take_bounded_memory():
+    passage = RNG.integers(97, 123, 500).astype(np.uint8).tobytes()
+    texts = [RNG.integers(97, 123, 700).astype(np.uint8).tobytes() + passage * (i % 3 == 0) for i in range(1_000)]
+    tracemalloc.start()
+    found = substrings.repeated(texts, np.ones(len(texts), np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [bool(runs) for runs in found] == [len(t) > 700 for t in texts]
+    assert peak < 70 * sum(map(len, texts))
+
+
 def test_repeated_strings_query(spark):
     got = queries.op5_repeated_strings(spark, SMALL).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").toPandas()
